@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from datetime import datetime
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,7 +32,9 @@ def add_metadata(df: DataFrame, run_time: datetime, source_system: str | None =
     The time is one literal for the whole run: a retried task writes the same
     value and later row comparisons are not disturbed.
     """
-    stamp = F.lit(run_time).cast("timestamp_ntz")
+    wall = run_time.astimezone(UTC).replace(tzinfo=None) if run_time.tzinfo else run_time
+    # As text, so that the session time zone cannot shift it.
+    stamp = F.lit(wall.isoformat(sep=" ")).cast("timestamp_ntz")
     if source_system is None:
         return df.withColumn("ingestion_timestamp", stamp)
     return df.withColumns({"processed_at": stamp, "source_system": F.lit(source_system)})

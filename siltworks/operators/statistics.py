@@ -249,7 +249,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
         .agg(F.min(F.struct((-F.col("count")).alias("rank"), F.col("value"))).alias("best"))
         .select("column", "best.value")
     )
-    found = {r["column"]: r["value"] for r in best.toLocalIterator()}
+    found = {r["column"]: r["value"] for r in best.collect()}
     return {n: found.get(n) for n in columns}
 
 

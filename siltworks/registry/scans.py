@@ -117,11 +117,6 @@ def standardize_names(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Landed payloads. A response holds one page of at most 100 rows.
 
-_CUSTOMER_ROW = T.StructType.fromDDL(
-    "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-)
-
-
 def _pages(rows: DataFrame, key: str) -> DataFrame:
     """Responses with the rows of 100 consecutive keys each."""
     page = F.floor(F.col(key) / 100).alias("page")
@@ -130,15 +125,16 @@ def _pages(rows: DataFrame, key: str) -> DataFrame:
 
 @query("select * from customer")
 def api_json_results(spark, sf_dir):
-    pages = _pages(table(spark, sf_dir, "customer"), "c_custkey")
-    bodies = pages.select(F.to_json(F.struct(F.col("page"), F.col("results"))).alias("body"))
-    return payloads.payload_rows(bodies, "body", _CUSTOMER_ROW)
+    customer = table(spark, sf_dir, "customer")
+    bodies = _pages(customer, "c_custkey").select(F.to_json(F.struct("page", "results")).alias("body"))
+    return payloads.payload_rows(bodies, "body", customer.schema)
 
 
 @query("select * from customer")
 def api_json_list(spark, sf_dir):
-    pages = _pages(table(spark, sf_dir, "customer"), "c_custkey")
-    return payloads.payload_rows(pages.select(F.to_json("results").alias("body")), "body", _CUSTOMER_ROW)
+    customer = table(spark, sf_dir, "customer")
+    bodies = _pages(customer, "c_custkey").select(F.to_json("results").alias("body"))
+    return payloads.payload_rows(bodies, "body", customer.schema)
 
 
 @query("""
@@ -197,7 +193,8 @@ def customer_workbooks(spark, sf_dir) -> DataFrame:
 
 @query("select * from customer")
 def excel_xlsx_rows(spark, sf_dir):
-    return workbook_columns(parse_workbooks(customer_workbooks(spark, sf_dir)), _CUSTOMER_ROW)
+    schema = table(spark, sf_dir, "customer").schema
+    return workbook_columns(parse_workbooks(customer_workbooks(spark, sf_dir)), schema)
 
 
 @query("""
