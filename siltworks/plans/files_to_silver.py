@@ -102,10 +102,14 @@ def _groups(spark, source, glob, file_format, schema, options) -> list[_Group]:
     lines = (
         spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob)
         .text(source)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+        .withColumns({
+            "path": F.col("_metadata.file_path"),
+            "block": F.col("_metadata.file_block_start"),
+            "line": F.monotonically_increasing_id(),
+        })
         .filter(F.col("block") == 0)
     )
-    first = lines.groupBy("path").agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
     titles = [r["header"] for r in first.select("header").distinct().collect()]
     if len(titles) <= 1:
         return [everything]
