@@ -16,11 +16,11 @@ from siltworks.functions.text import strip_whitespace
 # Spellings the contract types accept.
 TRUE_WORDS = ["1", "on", "t", "true", "y", "yes"]
 FALSE_WORDS = ["0", "f", "false", "n", "no", "off"]
-WHOLE_NUMBER = r"^[+-]?\d+(_\d+)*(\.0+)?$"
-REAL_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
+WHOLE_NUMBER = r"^[+-]?\d+(_\d+)*(\.0+)?\z"
+REAL_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\z"
 STRAY_UNDERSCORE = "^_|__|_$"
-EPOCH_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
-ISO_DATETIME = r"(?i)^\d{4}-\d\d-\d\d([t _]\d\d:\d\d(:\d\d([.,]\d+)?)?(z|[+-]\d\d:?\d\d)?)?$"
+EPOCH_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)\z"
+ISO_DATETIME = r"(?i)^\d{4}-\d\d-\d\d([t _]\d\d:\d\d(:\d\d([.,]\d+)?)?(z|[+-]\d\d:?\d\d)?)?\z"
 # Epoch numbers above this are milliseconds, below it seconds.
 EPOCH_MILLIS_FROM = 2e10
 # Years 1 to 9999.

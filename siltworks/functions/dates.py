@@ -52,13 +52,51 @@ def spark_pattern(fmt: str) -> str:
     return pattern
 
 
+def shape(pattern: str) -> str | None:
+    """Regular expression that every text of the pattern fits, or None if it has other letters."""
+    quoted = re.compile(r"'([^']*)'|([A-Za-z])\2*|.", re.DOTALL)
+    parts = []
+    for m in quoted.finditer(pattern):
+        run, letter = m.group(), m.group(2)
+        if m.group(1) is not None:
+            parts.append(re.escape(m.group(1)))
+        elif letter is None:
+            parts.append(re.escape(run))
+        elif letter == "M" and len(run) > 2:
+            parts.append(r"\p{L}+\.?")
+        elif letter in "yMdHhmsS":
+            parts.append(r"\d{1,2}" if len(run) == 1 else rf"\d{{{len(run)}}}")
+        elif letter == "a":
+            parts.append("[AaPp][Mm]")
+        else:
+            return None
+    return "".join(parts)
+
+
+_ISO = re.compile(r"yyyy-MM?-dd?(( |'T')HH?:mm(:ss(\.S{1,6})?)?)?")
+
+
+def wall_time(c: Column, pattern: str) -> Column:
+    """Text of a pattern as ``timestamp_ntz``; other text is null.
+
+    Text of another shape is turned away by a regular expression, as the parser
+    refuses it by way of an exception. ISO text is left to the plain cast.
+    """
+    if _ISO.fullmatch(pattern):
+        parsed = c.try_cast("timestamp_ntz")
+    else:
+        parsed = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    expected = shape(pattern)
+    return F.when(c.rlike(rf"^{expected}\z"), parsed) if expected else parsed
+
+
 def parse_local(c: Column, fmt: str, zone: str = "UTC", instant: bool = False) -> Column:
     """Read text as local time of ``zone``; text that does not fit is null.
 
     The default result is the UTC wall time as ``timestamp_ntz``, the same under
     any session time zone. ``instant=True`` gives a ``timestamp``.
     """
-    wall = F.try_to_timestamp(c, F.lit(spark_pattern(fmt))).cast("timestamp_ntz")
+    wall = wall_time(c, spark_pattern(fmt))
     if instant:
         return F.convert_timezone(F.lit(zone), F.current_timezone(), wall).cast("timestamp")
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.functions.text import WHITESPACE, strip_whitespace
+
 # SQL type names of the source system and what they are in Spark.
 SQL_TYPE_NAMES = {
     "BIGINT": "bigint",
@@ -38,6 +40,10 @@ SQL_TYPE_NAMES = {
     "VARCHAR": "string",
 }
 
+# How numbers are written in text columns.
+NUMBER_SHAPE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)"
+WHOLE_SHAPE = r"[+-]?\d+"
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
 
@@ -59,6 +65,25 @@ def missing(c: Column, dtype: T.DataType) -> Column:
     return (c.isNull() | F.isnan(c)) if isinstance(dtype, FRACTIONAL) else c.isNull()
 
 
+def spaced(shape: str) -> str:
+    """Pattern for a whole text of the given shape with white space around it."""
+    return rf"^[{WHITESPACE}]*({shape})[{WHITESPACE}]*\z"
+
+
+def text_to_double(c: Column) -> Column:
+    """Number in a text; null for other text.
+
+    The pattern comes first: Spark's own parser also takes spellings such as
+    ``1d``, and refuses a text by way of an exception, which is slow.
+    """
+    stripped = F.regexp_replace(strip_whitespace(c), "(?i)^[+-](nan)$", "$1")
+    return F.when(c.rlike(spaced(NUMBER_SHAPE)), F.coalesce(c.try_cast("double"), stripped.try_cast("double")))
+
+
+def text_to_bigint(c: Column) -> Column:
+    return F.when(c.rlike(spaced(WHOLE_SHAPE)), strip_whitespace(c).try_cast("bigint"))
+
+
 def nan_as_null(c: Column, dtype: T.DataType) -> Column:
     return F.nanvl(c, F.lit(None).cast(dtype)) if isinstance(dtype, FRACTIONAL) else c
 

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 # with combining marks under (?U)), so the classes are spelled out.
 WHITESPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    # Looks at both ends only; a pattern would be tried at every space of a long text.
+    return F.trim(c, F.lit(SPACES))
 
 
 def remove_special_characters(c: Column) -> Column:

@@ -19,13 +19,15 @@ def fit_medians(df: DataFrame, columns: list[str] | None = None, approx: bool =
     A column that is missing throughout has no median and is left out.
     """
     names = st.numeric_columns(df) if columns is None else columns
-    found = st.missing_counts(df, names)
-    return medians(df, [n for n in names if 0 < found.counts[n] < found.rows], approx)
+    rows, found = st.spans(df, names)
+    return medians(df, [n for n in names if 0 < found[n].values < rows], approx, found)
 
 
-def medians(df: DataFrame, columns: list[str], approx: bool = False) -> dict[str, float]:
-    quantiles = st.approximate_quantiles if approx else st.exact_quantiles
-    answer = quantiles(df, {n: [0.5] for n in columns})
+def medians(
+    df: DataFrame, columns: list[str], approx: bool = False, known: dict[str, st.Span] | None = None
+) -> dict[str, float]:
+    wanted = {n: [0.5] for n in columns}
+    answer = st.approximate_quantiles(df, wanted) if approx else st.exact_quantiles(df, wanted, known=known)
     return {n: v[0] for n, v in answer.items() if v[0] is not None}
 
 

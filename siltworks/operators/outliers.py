@@ -14,13 +14,18 @@ FENCE = 1.5
 
 
 def fit_fences(
-    df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = (), approx: bool = False
+    df: DataFrame,
+    columns: list[str] | None = None,
+    exclude: tuple[str, ...] = (),
+    approx: bool = False,
+    known: dict[str, st.Span] | None = None,
 ) -> dict[str, tuple[float, float]]:
     """(lowest, highest) value to keep for each numeric column."""
     names = [n for n in (st.numeric_columns(df) if columns is None else columns) if n not in exclude]
-    quantiles = st.approximate_quantiles if approx else st.exact_quantiles
+    wanted = {n: [0.25, 0.75] for n in names}
+    quartiles = st.approximate_quantiles(df, wanted) if approx else st.exact_quantiles(df, wanted, known=known)
     fences = {}
-    for name, (q1, q3) in quantiles(df, {n: [0.25, 0.75] for n in names}).items():
+    for name, (q1, q3) in quartiles.items():
         if q1 is not None:
             reach = FENCE * (q3 - q1)
             fences[name] = (q1 - reach, q3 + reach)

@@ -56,6 +56,26 @@ def missing_counts(df: DataFrame, columns: list[str] | None = None) -> Missing:
     return Missing(row["rows"], {n: row[f"m{i}"] for i, n in enumerate(names)})
 
 
+@dataclass(frozen=True)
+class Span:
+    """How many values a numeric column holds, and its ends; NaN counts as missing."""
+
+    values: int
+    low: object
+    high: object
+
+
+def spans(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Span]]:
+    """Row count and the span of each given numeric column, in one pass."""
+    types = column_types(df)
+    aggregates = []
+    for i, n in enumerate(columns):
+        c = nan_as_null(F.col(quoted(n)), types[n])
+        aggregates += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
+    return row["rows"], {n: Span(row[f"n{i}"], row[f"l{i}"], row[f"h{i}"]) for i, n in enumerate(columns)}
+
+
 # --------------------------------------------------------------------------
 # Quantiles
 
@@ -74,35 +94,40 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], limit: int = RANK_LIMIT
+    df: DataFrame,
+    wanted: dict[str, list[float]],
+    limit: int = RANK_LIMIT,
+    known: dict[str, Span] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between neighbours.
 
     Null and NaN are left out; a column without values gives ``None``. A first
-    pass counts each column. Columns of up to ``limit`` values are then ranked
-    by one aggregate whose state cannot exceed that limit. For longer ones,
-    sketches propose tighter brackets and exact counts confirm them until what
-    lies strictly inside is that small too. A value repeated many times is one
-    entry of the state, so hot values cost nothing.
+    pass counts each column that is not in ``known``. Columns of up to ``limit``
+    values are then ranked by one aggregate whose state cannot exceed that
+    limit. For longer ones, sketches propose tighter brackets and exact counts
+    confirm them until what lies strictly inside is that small too. A value
+    repeated many times is one entry of the state, so hot values cost nothing.
     """
     if not wanted:
         return {}
     types = column_types(df)
+    found = dict(known or {})
+    unknown = [n for n in wanted if n not in found]
+    if unknown:
+        found |= spans(df, unknown)[1]
     work = df.select(
         *[nan_as_null(F.col(quoted(n)), types[n]).alias(f"c{i}") for i, n in enumerate(wanted)]
     )
     cols = {n: f"c{i}" for i, n in enumerate(wanted)}
-    row = work.agg(
-        *[f(c).alias(f"{p}{c}") for c in cols.values() for p, f in (("n", F.count), ("l", F.min), ("h", F.max))]
-    ).first()
     brackets: dict[tuple[str, int], _Bracket] = {}
     positions: dict[str, list[float]] = {}
     for name, quantiles in wanted.items():
-        c, n = cols[name], row[f"n{cols[name]}"]
+        c, span = cols[name], found[name]
+        n = span.values
         positions[name] = [q * (n - 1) for q in quantiles] if n else []
         for position in positions[name]:
             for rank in {math.floor(position), math.ceil(position)}:
-                brackets[c, rank] = _Bracket(c, rank, row[f"l{c}"], row[f"h{c}"], 0, n, n)
+                brackets[c, rank] = _Bracket(c, rank, span.low, span.high, 0, n, n)
     _narrow(work, brackets, limit)
     values = _ranked(work, brackets)
     result: dict[str, list[float | None]] = {}

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.dates import parse_local, spark_pattern
+from siltworks.functions.dates import parse_local, spark_pattern, wall_time
+from siltworks.functions.dates import shape as date_shape
 from siltworks.functions.names import quoted
-from siltworks.functions.numbers import lenient_cast, money, spark_type, strict
-from siltworks.functions.text import strip_whitespace
+from siltworks.functions.numbers import (
+    NUMBER_SHAPE,
+    lenient_cast,
+    money,
+    spaced,
+    spark_type,
+    strict,
+    text_to_bigint,
+    text_to_double,
+)
+from siltworks.functions.text import SPACES, WHITESPACE
 from siltworks.operators import statistics as st
 
 # Date formats tried on text columns, parts of column names that
@@ -25,7 +37,10 @@ DATE_FORMATS = (
 )
 DATE_NAME_PARTS = ("date", "time", "created", "updated")
 NAMED_DATE_FORMAT = "yyyy-MM-dd"
-NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
+# How many of the first rows are looked at to rule formats out before the full pass.
+FIRST_ROWS = 200
+FIRST_LENGTH = 100
+NUMBER = "number"
 
 
 @dataclass(frozen=True)
@@ -36,9 +51,25 @@ class TextTypes:
     dates: dict[str, str]
 
 
-def _number(name: str):
-    text = strip_whitespace(F.col(quoted(name)))
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+def _possible(df: DataFrame, names: list[str], formats: tuple[str, ...]) -> dict[str, list[str]]:
+    """The formats of each column that no value of its first rows contradicts.
+
+    One value of another shape rules a format out for the whole column, so the
+    full pass need not try it. What is left proves nothing yet.
+    """
+    short = [F.when(F.length(quoted(n)) <= FIRST_LENGTH, F.col(quoted(n))).alias(n) for n in names]
+    first = df.select(*short).take(FIRST_ROWS)
+    shapes = {f: spaced(NUMBER_SHAPE) if f == NUMBER else date_shape(f) for f in formats}
+    # Java's patterns in Python's spelling; where the two differ Python's takes more.
+    python = {WHITESPACE: SPACES, r"\p{L}": r"[^\W\d_]", r"\z": ""}
+    checks = {f: s and re.compile(reduce(lambda t, swap: t.replace(*swap), python.items(), s)) for f, s in shapes.items()}
+    return {
+        n: [
+            f for f, check in checks.items()
+            if check is None or all(row[i] is None or check.fullmatch(row[i]) for row in first)
+        ]
+        for i, n in enumerate(names)
+    }
 
 
 def fit_text_types(
@@ -53,27 +84,30 @@ def fit_text_types(
     fits, and it holds at least one. A column of numbers is never a date.
     """
     names = st.text_columns(df) if columns is None else columns
-    if not names:
+    possible = _possible(df, names, (*formats, NUMBER) if numbers else formats) if names else {}
+    open_names = [n for n in names if possible[n]]
+    if not open_names:
         return TextTypes({}, {})
     aggregates = []
-    for i, n in enumerate(names):
+    for i, n in enumerate(open_names):
         c = F.col(quoted(n))
         aggregates.append(F.count(c).alias(f"n{i}"))
-        if numbers:
-            aggregates.append(F.count(_number(n)).alias(f"d{i}"))
-            aggregates.append(F.count(strip_whitespace(c).try_cast("bigint")).alias(f"i{i}"))
-        for j, fmt in enumerate(formats):
-            aggregates.append(F.count(F.try_to_timestamp(c, F.lit(fmt))).alias(f"t{i}_{j}"))
+        for j, fmt in enumerate(possible[n]):
+            if fmt == NUMBER:
+                aggregates.append(F.count(text_to_double(c)).alias(f"d{i}"))
+                aggregates.append(F.count(text_to_bigint(c)).alias(f"i{i}"))
+            else:
+                aggregates.append(F.count(wall_time(c, fmt)).alias(f"t{i}_{j}"))
     row = df.agg(*aggregates).first()
     number_types, date_formats = {}, {}
-    for i, n in enumerate(names):
+    for i, n in enumerate(open_names):
         values = row[f"n{i}"]
         if not values:
             continue
-        if numbers and row[f"d{i}"] == values:
+        if NUMBER in possible[n] and row[f"d{i}"] == values:
             number_types[n] = "bigint" if row[f"i{i}"] == values else "double"
             continue
-        fitting = [fmt for j, fmt in enumerate(formats) if row[f"t{i}_{j}"] == values]
+        fitting = [f for j, f in enumerate(possible[n]) if f != NUMBER and row[f"t{i}_{j}"] == values]
         if fitting:
             date_formats[n] = fitting[0]
     return TextTypes(number_types, date_formats)
@@ -83,10 +117,10 @@ def apply_text_types(df: DataFrame, found: TextTypes) -> DataFrame:
     """Convert; text that does not fit, possible only in new data, becomes null."""
     converted = {}
     for name, kind in found.numbers.items():
-        text = strip_whitespace(F.col(quoted(name)))
-        converted[name] = text.try_cast("bigint") if kind == "bigint" else _number(name)
+        c = F.col(quoted(name))
+        converted[name] = text_to_bigint(c) if kind == "bigint" else text_to_double(c)
     for name, fmt in found.dates.items():
-        converted[name] = parse_local(F.col(quoted(name)), fmt)
+        converted[name] = wall_time(F.col(quoted(name)), fmt)
     return df.withColumns(converted) if converted else df
 
 

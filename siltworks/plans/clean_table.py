@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -57,16 +57,22 @@ def fit_cleaning(
     """
     if sparse_stage not in SPARSE_STAGES:
         raise ValueError(f"sparse_stage must be one of {SPARSE_STAGES}")
-    found = st.missing_counts(df)
+    numbers = st.numeric_columns(df)
+    others = [n for n in df.columns if n not in numbers]
+    rows, spans = st.spans(df, numbers)
+    counts = {n: rows - s.values for n, s in spans.items()} | (st.missing_counts(df, others).counts if others else {})
+    found = st.Missing(rows, {n: counts[n] for n in df.columns})
     dropped = sparse_columns(found, sparse_threshold) if sparse_stage == "before_fill" else []
     left = df.drop(*dropped)
     gaps = {n for n in left.columns if found.counts[n]}
     numeric = [n for n in st.numeric_columns(left) if n in gaps and found.counts[n] < found.rows]
     text = [n for n in st.text_columns(left) if n in gaps]
-    fills = {**medians(left, numeric, approx), **modes(left, text)}
+    fills = {**medians(left, numeric, approx, spans), **modes(left, text)}
     types = fit_text_types(left, formats=formats)
     typed = apply_text_types(fill_values(left, fills), types)
-    fences = fit_fences(typed, exclude=outlier_exclude, approx=approx)
+    # A median fill adds values but moves no end; an all-missing column stays as it is.
+    filled = {n: replace(s, values=rows if s.values else 0) for n, s in spans.items()}
+    fences = fit_fences(typed, exclude=outlier_exclude, approx=approx, known=filled)
     if sparse_stage == "after_fill":
         dropped = sparse_columns(st.missing_counts(typed), sparse_threshold)
         fences = {n: f for n, f in fences.items() if n not in dropped}

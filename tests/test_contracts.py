@@ -30,6 +30,7 @@ TEXTS = {
         "1700000000000", " 2024-01-02 ", "2024-1-2", "2024-02-30", "20240102", "2024-01-02T24:00", "2024-01-02T03",
         "2e10", "-1", "+1", "2024-01-02T03:04:05 +02:00", "2024-01-02T03:04:05,123", "2024-01-02 03:04:60", "nan",
         "1e5", "2024-01-02T03:04:05+02", "0001-01-01", ".5", "5.", "2024-01-02T03:04Z ", "2024-01-02T03:04:05.", "",
+        "2024-01-02\n", "17\n",
     ],
 }
 NUMBERS = {

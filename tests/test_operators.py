@@ -180,6 +180,15 @@ def test_text_types(spark):
     }
 
 
+def test_a_late_value_still_counts(spark):
+    """The first rows only rule formats out; every row decides."""
+    rows = [(i, str(i), "2024-01-02") for i in range(2_000)]
+    frame = spark.createDataFrame(rows + [(2_000, "x", "2024-13-02")], "id int, n string, day string")
+    assert types.fit_text_types(frame.orderBy("id")) == types.TextTypes({}, {})
+    frame = spark.createDataFrame(rows + [(2_000, "\u2003-1.5e3\n", "2024-12-31")], "id int, n string, day string")
+    assert types.fit_text_types(frame.orderBy("id")) == types.TextTypes({"n": "double"}, {"day": "yyyy-MM-dd"})
+
+
 def test_named_dates_all_or_nothing(spark):
     frame = spark.createDataFrame([("2024-01-02", "2024-01-02", "x"), (None, "soon", "y")], "Created string, update_time string, day string")
     assert dict(types.name_hinted_dates(frame).dtypes) == {"Created": "timestamp_ntz", "update_time": "string", "day": "string"}
