@@ -15,6 +15,9 @@ from siltworks.functions.dates import shape as date_shape
 from siltworks.functions.names import quoted
 from siltworks.functions.numbers import (
     NUMBER_SHAPE,
+    WHOLE_SHAPE,
+    is_bigint,
+    is_number,
     lenient_cast,
     money,
     spaced,
@@ -40,7 +43,7 @@ NAMED_DATE_FORMAT = "yyyy-MM-dd"
 # How many of the first rows are looked at to rule formats out before the full pass.
 FIRST_ROWS = 200
 FIRST_LENGTH = 100
-NUMBER = "number"
+NUMBER, WHOLE = "number", "whole number"
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,8 @@ def _possible(df: DataFrame, names: list[str], formats: tuple[str, ...]) -> dict
     """
     short = [F.when(F.length(quoted(n)) <= FIRST_LENGTH, F.col(quoted(n))).alias(n) for n in names]
     first = df.select(*short).take(FIRST_ROWS)
-    shapes = {f: spaced(NUMBER_SHAPE) if f == NUMBER else date_shape(f) for f in formats}
+    numbers = {NUMBER: spaced(NUMBER_SHAPE), WHOLE: spaced(WHOLE_SHAPE)}
+    shapes = {f: numbers[f] if f in numbers else date_shape(f) for f in formats}
     # Java's patterns in Python's spelling; where the two differ Python's takes more.
     python = {WHITESPACE: SPACES, r"\p{L}": r"[^\W\d_]", r"\z": ""}
     checks = {f: s and re.compile(reduce(lambda t, swap: t.replace(*swap), python.items(), s)) for f, s in shapes.items()}
@@ -84,7 +88,7 @@ def fit_text_types(
     fits, and it holds at least one. A column of numbers is never a date.
     """
     names = st.text_columns(df) if columns is None else columns
-    possible = _possible(df, names, (*formats, NUMBER) if numbers else formats) if names else {}
+    possible = _possible(df, names, (*formats, NUMBER, WHOLE) if numbers else formats) if names else {}
     open_names = [n for n in names if possible[n]]
     if not open_names:
         return TextTypes({}, {})
@@ -93,22 +97,18 @@ def fit_text_types(
         c = F.col(quoted(n))
         aggregates.append(F.count(c).alias(f"n{i}"))
         for j, fmt in enumerate(possible[n]):
-            if fmt == NUMBER:
-                aggregates.append(F.count(text_to_double(c)).alias(f"d{i}"))
-                aggregates.append(F.count(text_to_bigint(c)).alias(f"i{i}"))
-            else:
-                aggregates.append(F.count(wall_time(c, fmt)).alias(f"t{i}_{j}"))
+            fits = {NUMBER: is_number, WHOLE: is_bigint}.get(fmt, lambda x, f=fmt: wall_time(x, f).isNotNull())
+            aggregates.append(F.count_if(fits(c)).alias(f"t{i}_{j}"))
     row = df.agg(*aggregates).first()
     number_types, date_formats = {}, {}
     for i, n in enumerate(open_names):
         values = row[f"n{i}"]
         if not values:
             continue
-        if NUMBER in possible[n] and row[f"d{i}"] == values:
-            number_types[n] = "bigint" if row[f"i{i}"] == values else "double"
-            continue
-        fitting = [f for j, f in enumerate(possible[n]) if f != NUMBER and row[f"t{i}_{j}"] == values]
-        if fitting:
+        fitting = [f for j, f in enumerate(possible[n]) if row[f"t{i}_{j}"] == values]
+        if NUMBER in fitting:
+            number_types[n] = "bigint" if WHOLE in fitting else "double"
+        elif fitting:
             date_formats[n] = fitting[0]
     return TextTypes(number_types, date_formats)
 
