@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltworks.functions.names import quoted, standard_names
 from siltworks.functions.numbers import missing
 from siltworks.operators.statistics import Missing, column_types, missing_counts
-from siltworks.session import checkpoint
+from siltworks.session import materialize
 
 Processor = Callable[[DataFrame], DataFrame]
 
@@ -77,8 +77,8 @@ def row_index(
 ) -> DataFrame:
     """Consecutive numbers from 0 in the order of ``order_by``, per group of ``within`` if given.
 
-    A range shuffle sorts the table in parallel and the result is checkpointed,
-    so the positions cannot shift between the two reads. Counts per range then
+    A range shuffle sorts the table in parallel and the result is written to the
+    shared folder, so the positions cannot shift between the two reads. Counts per range then
     give each range its offset; no window ever spans the table or a group. Rows
     that tie are spread by a hash of the whole row, equal rows by their place in
     the input, so a long run of ties is cut as well.
@@ -96,7 +96,7 @@ def row_index(
         .drop(*ties)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    fixed = checkpoint(ordered)
+    fixed = materialize(ordered, "ordered")
     # monotonically_increasing_id holds the partition above bit 33 and the position below.
     block = F.shiftright("_id", 33).cast("int")
     counted = fixed.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("rows"))

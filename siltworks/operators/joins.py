@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.names import quoted
-from siltworks.session import checkpoint
+from siltworks.session import materialize
 
 HOWS = ("inner", "left", "right", "full")
 
@@ -109,8 +109,8 @@ def enrich_band(
     helpers = ("_spot", "_level", "_cell", "_row")
     if how == "inner" or len(levels) == 1:
         return t.withColumn("_spot", F.explode(spots)).join(placed, match, how).drop(*helpers)
-    # Several lookups per row: numbers, fixed by a checkpoint, tell the rows that matched nowhere.
-    numbered = checkpoint(t.withColumn("_row", F.monotonically_increasing_id()))
+    # Several lookups per row: numbers, fixed by writing them, tell the rows that matched nowhere.
+    numbered = materialize(t.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     joined = numbered.withColumn("_spot", F.explode(spots)).join(placed, match, "inner")
     alone = numbered.join(joined.select("_row").distinct(), "_row", "left_anti")
     return joined.drop(*helpers).unionByName(alone.drop("_row"), allowMissingColumns=True)

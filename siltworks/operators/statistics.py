@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from siltworks.functions.names import quoted
 from siltworks.functions.numbers import missing, nan_as_null
 
-# A column with no more distinct values than this is ranked in one aggregate.
-RANK_LIMIT = 200_000
+# Values that one aggregate may hold for ranking, shared by the columns it ranks.
+RANK_BUDGET = 1_000_000
 # Each narrowing pass keeps about 4 / ACCURACY of the rows it looked at.
 ACCURACY = 10_000
 
@@ -96,20 +96,21 @@ class _Bracket:
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, list[float]],
-    limit: int = RANK_LIMIT,
+    limit: int | None = None,
     known: dict[str, Span] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between neighbours.
 
     Null and NaN are left out; a column without values gives ``None``. A first
     pass counts each column that is not in ``known``. Columns of up to ``limit``
-    values are then ranked by one aggregate whose state cannot exceed that
-    limit. For longer ones, sketches propose tighter brackets and exact counts
+    values, by default their part of the budget, are then ranked by one aggregate
+    whose state cannot exceed that. For longer ones, sketches propose tighter brackets and exact counts
     confirm them until what lies strictly inside is that small too. A value
     repeated many times is one entry of the state, so hot values cost nothing.
     """
     if not wanted:
         return {}
+    limit = limit or max(RANK_BUDGET // len(wanted), 1)
     types = column_types(df)
     found = dict(known or {})
     unknown = [n for n in wanted if n not in found]

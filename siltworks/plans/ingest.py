@@ -31,6 +31,7 @@ def ingest(
     strict: bool = True,
     framework: str = "spark",
     file_format: str = "csv",
+    source_url: str | None = None,
 ) -> Ingested:
     """Write the rows that keep the contract to bronze.
 
@@ -47,6 +48,6 @@ def ingest(
         if mode == "quarantine":
             rejects_path = f"{root.rstrip('/')}/quarantine/{bronze_name(origin, framework, run_time)}.json"
             write_table(rejected(checked), rejects_path, "json")
-    entry = write_bronze(rows, root, origin, run_time, framework, file_format)
+    entry = write_bronze(rows, root, origin, run_time, framework, file_format, source_url)
     append_audit(df.sparkSession, root, [entry])
     return Ingested(entry, rejects_path)

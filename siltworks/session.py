@@ -58,19 +58,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/siltworks/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Unlike a cached or checkpointed frame the result stays columnar, so a later
-    pass over two columns reads two columns.
+    This cuts the lineage and survives the loss of any executor. Unlike a cached
+    or checkpointed frame the result stays columnar, so a later pass over two
+    columns reads two columns.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 AUDIT_SCHEMA = (
     "origin string, framework string, timestamp timestamp_ntz, status string, data_file string, "
-    "rows bigint, columns int, columns_types map<string,string>"
+    "rows bigint, columns int, columns_types map<string,string>, source_url string"
 )
 
 
@@ -24,11 +24,12 @@ class AuditEntry:
     rows: int
     columns: int
     columns_types: dict[str, str]
+    source_url: str | None = None
 
 
 def audit_frame(spark: SparkSession, entries: list[AuditEntry]) -> DataFrame:
     rows = [
-        (e.origin, e.framework, e.timestamp, e.status, e.data_file, e.rows, e.columns, e.columns_types)
+        (e.origin, e.framework, e.timestamp, e.status, e.data_file, e.rows, e.columns, e.columns_types, e.source_url)
         for e in entries
     ]
     return spark.createDataFrame(rows, AUDIT_SCHEMA)

@@ -60,7 +60,13 @@ def bronze_name(origin: str, framework: str, run_time: datetime) -> str:
 
 
 def write_bronze(
-    df: DataFrame, root: str, origin: str, run_time: datetime, framework: str = "spark", file_format: str = "csv"
+    df: DataFrame,
+    root: str,
+    origin: str,
+    run_time: datetime,
+    framework: str = "spark",
+    file_format: str = "csv",
+    source_url: str | None = None,
 ) -> AuditEntry:
     """Write a table to the bronze layer and describe it.
 
@@ -78,6 +84,7 @@ def write_bronze(
         rows=counted.get["rows"],
         columns=len(df.columns),
         columns_types=dict(df.dtypes),
+        source_url=source_url,
     )
 
 
