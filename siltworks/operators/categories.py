@@ -35,12 +35,14 @@ def map_categories(df: DataFrame, column: str, mappings: dict[str, str]) -> Data
     return df.withColumn(column, mapped.otherwise(c))
 
 
-def fit_frequent(df: DataFrame, columns: list[str] | None = None, share: float = RARE_SHARE) -> dict[str, list[str]]:
+def fit_frequent(
+    df: DataFrame, columns: list[str] | None = None, share: float = RARE_SHARE, rows: int | None = None
+) -> dict[str, list[str]]:
     """The values of each text column that are not rare; at most 1 / share of them."""
     if not 1 / LITERAL_LIMIT <= share <= 1:
         raise ValueError(f"share must lie between {1 / LITERAL_LIMIT} and 1")
     names = st.text_columns(df) if columns is None else columns
-    return st.frequent_values(df, names, share)
+    return st.frequent_values(df, names, share, rows)
 
 
 def keep_frequent(df: DataFrame, kept: dict[str, list[str]]) -> DataFrame:

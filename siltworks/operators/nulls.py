@@ -19,8 +19,8 @@ def fit_medians(df: DataFrame, columns: list[str] | None = None, approx: bool =
     A column that is missing throughout has no median and is left out.
     """
     names = st.numeric_columns(df) if columns is None else columns
-    rows, found = st.spans(df, names)
-    return medians(df, [n for n in names if 0 < found[n].values < rows], approx, found)
+    found, spans = st.overview(df, names)
+    return medians(df, [n for n in names if 0 < found.counts[n] < found.rows], approx, spans)
 
 
 def medians(

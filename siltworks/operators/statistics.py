@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.names import quoted
-from siltworks.functions.numbers import missing, nan_as_null
+from siltworks.functions.numbers import is_numeric, missing, nan_as_null
 
 # Values that one aggregate may hold for ranking, shared by the columns it ranks.
 RANK_BUDGET = 1_000_000
@@ -47,15 +47,6 @@ class Missing:
         return self.counts[name] / self.rows if self.rows else 0.0
 
 
-def missing_counts(df: DataFrame, columns: list[str] | None = None) -> Missing:
-    """One pass over the given columns."""
-    types = column_types(df)
-    names = list(types) if columns is None else columns
-    aggregates = [F.count_if(missing(F.col(quoted(n)), types[n])).alias(f"m{i}") for i, n in enumerate(names)]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
-    return Missing(row["rows"], {n: row[f"m{i}"] for i, n in enumerate(names)})
-
-
 @dataclass(frozen=True)
 class Span:
     """How many values a numeric column holds, and its ends; NaN counts as missing."""
@@ -65,15 +56,28 @@ class Span:
     high: object
 
 
-def spans(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Span]]:
-    """Row count and the span of each given numeric column, in one pass."""
+def overview(df: DataFrame, columns: list[str] | None = None) -> tuple[Missing, dict[str, Span]]:
+    """Missing values of the given columns and spans of the numeric ones, in one pass."""
     types = column_types(df)
-    aggregates = []
-    for i, n in enumerate(columns):
+    names = list(types) if columns is None else columns
+    numeric = [n for n in names if is_numeric(types[n])]
+    aggregates = [F.count(nan_as_null(F.col(quoted(n)), types[n])).alias(f"n{i}") for i, n in enumerate(names)]
+    for i, n in enumerate(numeric):
         c = nan_as_null(F.col(quoted(n)), types[n])
-        aggregates += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}")]
+        aggregates += [F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
+    values = {n: row[f"n{i}"] for i, n in enumerate(names)}
+    found = Missing(row["rows"], {n: row["rows"] - v for n, v in values.items()})
+    return found, {n: Span(values[n], row[f"l{i}"], row[f"h{i}"]) for i, n in enumerate(numeric)}
+
+
+def missing_counts(df: DataFrame, columns: list[str] | None = None) -> Missing:
+    """One pass over the given columns."""
+    types = column_types(df)
+    names = list(types) if columns is None else columns
+    aggregates = [F.count_if(missing(F.col(quoted(n)), types[n])).alias(f"m{i}") for i, n in enumerate(names)]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
-    return row["rows"], {n: Span(row[f"n{i}"], row[f"l{i}"], row[f"h{i}"]) for i, n in enumerate(columns)}
+    return Missing(row["rows"], {n: row[f"m{i}"] for i, n in enumerate(names)})
 
 
 # --------------------------------------------------------------------------
@@ -115,7 +119,7 @@ def exact_quantiles(
     found = dict(known or {})
     unknown = [n for n in wanted if n not in found]
     if unknown:
-        found |= spans(df, unknown)[1]
+        found |= overview(df, unknown)[1]
     work = df.select(
         *[nan_as_null(F.col(quoted(n)), types[n]).alias(f"c{i}") for i, n in enumerate(wanted)]
     )
@@ -279,16 +283,19 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     return {n: found.get(n) for n in columns}
 
 
-def frequent_values(df: DataFrame, columns: list[str], share: float) -> dict[str, list[str]]:
+def frequent_values(
+    df: DataFrame, columns: list[str], share: float, rows: int | None = None
+) -> dict[str, list[str]]:
     """Values that hold at least ``share`` of all rows, nulls counted in the total.
 
     At most 1 / share values per column can qualify, which bounds the answer.
     The first pass shuffles 8-byte hashes in place of the values; only the rows
-    whose hash is frequent are then counted by value.
+    whose hash is frequent are then counted by value. ``rows`` is the number of
+    rows where it is known.
     """
     if not columns:
         return {}
-    total = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    total = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"] if rows is None else rows
 
     def often(counts: DataFrame) -> DataFrame:
         return counts.filter(F.col("count") / F.lit(max(total, 1)) >= share)

@@ -57,11 +57,7 @@ def fit_cleaning(
     """
     if sparse_stage not in SPARSE_STAGES:
         raise ValueError(f"sparse_stage must be one of {SPARSE_STAGES}")
-    numbers = st.numeric_columns(df)
-    others = [n for n in df.columns if n not in numbers]
-    rows, spans = st.spans(df, numbers)
-    counts = {n: rows - s.values for n, s in spans.items()} | (st.missing_counts(df, others).counts if others else {})
-    found = st.Missing(rows, {n: counts[n] for n in df.columns})
+    found, spans = st.overview(df)
     dropped = sparse_columns(found, sparse_threshold) if sparse_stage == "before_fill" else []
     left = df.drop(*dropped)
     gaps = {n for n in left.columns if found.counts[n]}
@@ -71,12 +67,12 @@ def fit_cleaning(
     types = fit_text_types(left, formats=formats)
     typed = apply_text_types(fill_values(left, fills), types)
     # A median fill adds values but moves no end; an all-missing column stays as it is.
-    filled = {n: replace(s, values=rows if s.values else 0) for n, s in spans.items()}
+    filled = {n: replace(s, values=found.rows if s.values else 0) for n, s in spans.items()}
     fences = fit_fences(typed, exclude=outlier_exclude, approx=approx, known=filled)
     if sparse_stage == "after_fill":
         dropped = sparse_columns(st.missing_counts(typed), sparse_threshold)
         fences = {n: f for n, f in fences.items() if n not in dropped}
-    kept = fit_frequent(clean_text(typed.drop(*dropped)), share=rare_share)
+    kept = fit_frequent(clean_text(typed.drop(*dropped)), share=rare_share, rows=found.rows)
     return CleaningStats(dropped, fills, types.numbers, types.dates, fences, kept)
 
 
