@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +87,15 @@ def missing_counts(df: DataFrame, columns: list[str] | None = None) -> Missing:
 
 @dataclass(frozen=True)
 class _Bracket:
-    """The wanted value has index ``rank`` in sorted order and lies in [low, high]."""
+    """The wanted value has index ``rank`` in sorted order and lies in [low, high].
+
+    ``position`` is the possibly fractional index of the quantile; the two ranks
+    around it share every aggregate as long as they share a bracket.
+    """
 
     column: str
     rank: int
+    position: float
     low: object
     high: object
     below: int  # values < low
@@ -132,7 +138,7 @@ def exact_quantiles(
         positions[name] = [q * (n - 1) for q in quantiles] if n else []
         for position in positions[name]:
             for rank in {math.floor(position), math.ceil(position)}:
-                brackets[c, rank] = _Bracket(c, rank, span.low, span.high, 0, n, n)
+                brackets[c, rank] = _Bracket(c, rank, position, span.low, span.high, 0, n, n)
     _narrow(work, brackets, limit)
     values = _ranked(work, brackets)
     result: dict[str, list[float | None]] = {}
@@ -149,16 +155,20 @@ def _interpolate(low: float, high: float, fraction: float) -> float:
 
 
 def _narrow(work: DataFrame, brackets: dict[tuple[str, int], _Bracket], limit: int) -> None:
-    accuracy = ACCURACY
+    halve = False
     while True:
         wide = {k: b for k, b in brackets.items() if b.between > limit}
         if not wide:
             return
-        proposals = _propose(work, wide, accuracy)
-        counted = _count(work, wide, proposals)
+        # Ranks with the same bracket and position get the same proposal.
+        groups = {k: (b.column, b.low, b.high, b.below, b.inside, b.position) for k, b in wide.items()}
+        propose = _halves if halve else _propose
+        proposals = propose(work, set(groups.values()))
+        counted = _count(work, {(g[0], *ends) for g, ends in proposals.items()})
         shrunk = False
-        for key, (low, high) in proposals.items():
-            b, (below, inside, between, at_low, at_high) = wide[key], counted[key]
+        for key, group in groups.items():
+            low, high = proposals[group]
+            b, (below, inside, between, at_low, at_high) = wide[key], counted[group[0], low, high]
             if below <= b.rank < below + inside:
                 new = replace(b, low=low, high=high, below=below, inside=inside, between=between)
             elif b.rank < below:
@@ -170,31 +180,48 @@ def _narrow(work: DataFrame, brackets: dict[tuple[str, int], _Bracket], limit: i
                 new = replace(b, low=high, below=start, inside=rest, between=rest - at_high)
             shrunk |= new.between < b.between
             brackets[key] = new
-        if not shrunk:
-            accuracy *= 10
+        # Sketches normally shrink every bracket a thousandfold; halving always ends.
+        halve = not shrunk
 
 
-def _inside(b: _Bracket) -> Column:
-    c = F.col(b.column)
-    return F.when((c >= F.lit(b.low)) & (c <= F.lit(b.high)), c)
+def _inside(column: str, low, high) -> Column:
+    c = F.col(column)
+    return F.when((c >= F.lit(low)) & (c <= F.lit(high)), c)
 
 
-def _propose(work, wide, accuracy):
-    """Bracket ends a little below and above the rank, from one sketch each."""
-    margin = 2.0 / accuracy
+def _propose(work: DataFrame, groups: set[tuple]) -> dict[tuple, tuple]:
+    """Bracket ends a little below and above each position; one sketch per bracket."""
+    sketches: dict[tuple, list[tuple]] = {}
+    for group in groups:
+        sketches.setdefault(group[:3], []).append(group)
+    margin = 2.0 / ACCURACY
     aggregates = []
-    for i, b in enumerate(wide.values()):
-        p = (b.rank - b.below) / max(b.inside - 1, 1)
-        ends = F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin)))
-        aggregates.append(F.percentile_approx(_inside(b), ends, accuracy).alias(f"b{i}"))
+    for i, (bracket, members) in enumerate(sketches.items()):
+        ends = []
+        for *_, below, inside, position in members:
+            last = max(inside - 1, 1)
+            low, high = (math.floor(position) - below) / last - margin, (math.ceil(position) - below) / last + margin
+            ends += [F.lit(min(max(0.0, p), 1.0)) for p in (low, high)]
+        aggregates.append(F.percentile_approx(_inside(*bracket), F.array(*ends), ACCURACY).alias(f"b{i}"))
     row = work.agg(*aggregates).first()
-    return {key: tuple(row[f"b{i}"]) for i, key in enumerate(wide)}
+    return {
+        group: tuple(row[f"b{i}"][2 * j : 2 * j + 2])
+        for i, members in enumerate(sketches.values())
+        for j, group in enumerate(members)
+    }
+
+
+def _halves(work: DataFrame, groups: set[tuple]) -> dict[tuple, tuple]:
+    """The lower half of each bracket by value."""
+    return {g: (g[1], g[1] + (g[2] - g[1]) // 2 if isinstance(g[1], int) else g[1] / 2 + g[2] / 2) for g in groups}
 
 
-def _count(work, wide, proposals):
+def _count(work: DataFrame, brackets: set[tuple]) -> dict[tuple, tuple[int, ...]]:
+    """Values below, inside, strictly inside, at the low end and at the high end."""
+    names = list(brackets)
     aggregates = []
-    for i, key in enumerate(wide):
-        c, (low, high) = F.col(wide[key].column), map(F.lit, proposals[key])
+    for i, (column, *ends) in enumerate(names):
+        c, (low, high) = F.col(column), map(F.lit, ends)
         aggregates += [
             F.count_if(c < low).alias(f"b{i}"),
             F.count_if((c >= low) & (c <= high)).alias(f"i{i}"),
@@ -203,7 +230,7 @@ def _count(work, wide, proposals):
             F.count_if(c == high).alias(f"h{i}"),
         ]
     row = work.agg(*aggregates).first()
-    return {key: tuple(row[f"{p}{i}"] for p in "bislh") for i, key in enumerate(wide)}
+    return {name: tuple(row[f"{p}{i}"] for p in "bislh") for i, name in enumerate(names)}
 
 
 def _ranked(work: DataFrame, brackets: dict[tuple[str, int], _Bracket]) -> dict[tuple[str, int], float]:
@@ -223,8 +250,10 @@ def _ranked(work: DataFrame, brackets: dict[tuple[str, int], _Bracket]) -> dict[
         aggregates.append(
             F.expr(f"percentile_disc(array({shares})) within group (order by v{i})").alias(f"r{i}")
         )
-    picked = work.select(*[_inside(m[0]).alias(f"v{i}") for i, m in enumerate(groups.values())])
-    row = picked.agg(*aggregates).first()
+    picked = work.select(*[_inside(*g[:3]).alias(f"v{i}") for i, g in enumerate(groups)])
+    # Most rows lie in no bracket; only the others reach the ranking.
+    useful = reduce(Column.__or__, [F.col(f"v{i}").isNotNull() for i in range(len(groups))])
+    row = picked.filter(useful).agg(*aggregates).first()
     return {
         (m.column, m.rank): float(value)
         for i, members in enumerate(groups.values())

@@ -49,18 +49,26 @@ def test_narrowing_recovers_from_a_wrong_sketch(spark, monkeypatch):
     real = st._propose
     calls = []
 
-    def wrong_first(work, wide, accuracy):
-        calls.append(accuracy)
+    def wrong_first(work, groups):
+        calls.append(len(groups))
         if len(calls) <= 2:
-            shift = 300.0 if len(calls) == 1 else -900.0
-            return {k: (b.rank + shift, b.rank + shift + 10) for k, b in wide.items()}
-        return real(work, wide, accuracy)
+            shift = 300.5 if len(calls) == 1 else -899.5
+            return {g: (g[-1] + shift, g[-1] + shift + 10) for g in groups}
+        return real(work, groups)
 
     monkeypatch.setattr(st, "_propose", wrong_first)
     assert st.exact_quantiles(frame, {"v": [0.5]}, limit=20) == {"v": [999.5]}
     assert len(calls) >= 3
 
 
+def test_halving_ends_without_any_sketch(spark, monkeypatch):
+    monkeypatch.setattr(st, "_propose", lambda work, groups: {g: g[1:3] for g in groups})
+    frame = spark.range(500).select((F.col("id") * 37 % 501).alias("i"), F.sqrt("id").alias("d"))
+    found = st.exact_quantiles(frame, {"i": [0.5], "d": [0.25]}, limit=8)
+    pdf = frame.toPandas()
+    assert found == {"i": [pdf["i"].quantile(0.5)], "d": [pytest.approx(pdf["d"].quantile(0.25), rel=1e-14)]}
+
+
 def test_approximate_quantiles(spark):
     frame = spark.range(10_001).select(F.col("id").alias("v"), F.lit(None).cast("double").alias("n"))
     found = st.approximate_quantiles(frame, {"v": [0.5], "n": [0.5, 0.6]})
