@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.numbers import FRACTIONAL, INTEGRAL
+from siltworks.functions.numbers import FRACTIONAL, INTEGRAL, PLAIN_NUMBER, PLAIN_WHOLE
 from siltworks.functions.text import strip_whitespace
 
 # Spellings the contract types accept.
@@ -52,7 +52,8 @@ def _to_int(c: Column, source: T.DataType) -> Column:
     if isinstance(source, T.StringType):
         text = strip_whitespace(c)
         digits = F.regexp_replace(text, r"_|\.0+$", "")
-        return _guarded(text, WHOLE_NUMBER, digits.try_cast("bigint"))
+        plain = F.when(c.rlike(PLAIN_WHOLE), c.try_cast("bigint"))
+        return plain.when(text.rlike(WHOLE_NUMBER), digits.try_cast("bigint"))
     return _null("int")
 
 
@@ -63,7 +64,8 @@ def _to_float(c: Column, source: T.DataType) -> Column:
         text = strip_whitespace(c)
         digits = F.regexp_replace(text, "_", "")
         number = F.regexp_replace(digits, "(?i)^[+-]nan$", "nan").try_cast("double")
-        return F.when(digits.rlike(REAL_NUMBER) & ~text.rlike(STRAY_UNDERSCORE), number)
+        plain = F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
+        return plain.when(digits.rlike(REAL_NUMBER) & ~text.rlike(STRAY_UNDERSCORE), number)
     return _null("float")
 
 

@@ -43,7 +43,9 @@ SQL_TYPE_NAMES = {
 # How numbers are written in text columns.
 NUMBER_SHAPE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?([nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)"
 WHOLE_SHAPE = r"[+-]?\d+"
-SAFE_WHOLE_SHAPE = r"[+-]?\d{1,18}"
+# The common spellings among them, told by a short pattern and cast as they are.
+PLAIN_NUMBER = r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?\z"
+PLAIN_WHOLE = r"^[+-]?\d{1,18}\z"
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -78,21 +80,22 @@ def text_to_double(c: Column) -> Column:
     ``1d``, and refuses a text by way of an exception, which is slow.
     """
     stripped = F.regexp_replace(strip_whitespace(c), "(?i)^[+-](nan)$", "$1")
-    return F.when(is_number(c), F.coalesce(c.try_cast("double"), stripped.try_cast("double")))
+    plain = F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
+    return plain.when(c.rlike(spaced(NUMBER_SHAPE)), stripped.try_cast("double"))
 
 
 def text_to_bigint(c: Column) -> Column:
-    whole = c.rlike(spaced(WHOLE_SHAPE))
-    return F.when(whole, F.coalesce(c.try_cast("bigint"), strip_whitespace(c).try_cast("bigint")))
+    plain = F.when(c.rlike(PLAIN_WHOLE), c.try_cast("bigint"))
+    return plain.when(c.rlike(spaced(WHOLE_SHAPE)), strip_whitespace(c).try_cast("bigint"))
 
 
 def is_number(c: Column) -> Column:
-    return c.rlike(spaced(NUMBER_SHAPE))
+    return c.rlike(PLAIN_NUMBER) | c.rlike(spaced(NUMBER_SHAPE))
 
 
 def is_bigint(c: Column) -> Column:
-    """Whole numbers of up to 18 digits always fit; only longer ones are parsed to see."""
-    return c.rlike(spaced(SAFE_WHOLE_SHAPE)) | text_to_bigint(c).isNotNull()
+    """Whole numbers of up to 18 digits always fit; only other ones are parsed to see."""
+    return c.rlike(PLAIN_WHOLE) | text_to_bigint(c).isNotNull()
 
 
 def nan_as_null(c: Column, dtype: T.DataType) -> Column:
