@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.functions.names import quoted
 from siltworks.operators.columns import Processor, add_metadata, row_index, run_all
 from siltworks.operators.dedupe import distinct_rows
 from siltworks.sinks.files import processed_name, write_per_source
@@ -23,6 +24,7 @@ from siltworks.sources.inventory import object_inventory
 REPORT_SCHEMA = "path string, rows bigint, output string, error string"
 SOURCE_PATH, SOURCE_FILE = "source_path", "source_file"
 JOB_ERRORS = (PySparkException, Py4JJavaError)
+CORRUPT = "_corrupt_record"
 
 
 @dataclass(frozen=True)
@@ -179,7 +181,36 @@ def _paths(spark, paths: list[str]) -> DataFrame:
 
 
 def _unreadable(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
-    """The files that fail to read, found by halving. Runs only after a failure."""
+    """The files that fail to read, with the reason. Runs only after a failure."""
+    if file_format in ("csv", "json"):
+        bad = _malformed(spark, file_format, paths, schema, options)
+        if bad:
+            return bad
+    return _halved(spark, file_format, paths, schema, options)
+
+
+def _malformed(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
+    """Text files with a record that does not parse, found in one job."""
+    lenient = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    group = _Group(paths, file_format)
+    try:
+        expected = schema or _read(spark, group, None, lenient).schema
+        fields = [f for f in expected.fields if f.name != CORRUPT]
+        full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+        rows = _read(spark, group, full, lenient)
+        # The hash keeps every column in the read: a record is judged by all of them.
+        judged = rows.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col(CORRUPT).isNotNull().alias("bad"),
+            F.xxhash64(*[F.col(quoted(f.name)) for f in fields]).alias("row"),
+        )
+        found = judged.groupBy("path").agg(F.max("bad").alias("bad"), F.max("row")).filter("bad").collect()
+        return {r["path"]: "malformed record" for r in found}
+    except JOB_ERRORS:
+        return {}
+
+
+def _halved(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
     try:
         _read(spark, _Group(paths, file_format), schema, options).write.format("noop").mode("overwrite").save()
         return {}
@@ -188,8 +219,8 @@ def _unreadable(spark, file_format, paths: list[str], schema, options) -> dict[s
             return {paths[0]: str(error).split("\n")[0]}
     middle = len(paths) // 2
     return {
-        **_unreadable(spark, file_format, paths[:middle], schema, options),
-        **_unreadable(spark, file_format, paths[middle:], schema, options),
+        **_halved(spark, file_format, paths[:middle], schema, options),
+        **_halved(spark, file_format, paths[middle:], schema, options),
     }
 
 

@@ -17,11 +17,16 @@ ROW_FIELDS = "table_idx int, row_idx int, header array<string>, cells array<stri
 NO_TABLE = "no table in page"
 
 
+class _FirstTableRead(Exception):
+    pass
+
+
 class _Tables(HTMLParser):
     """Collects rows as (table, is_header, cells); nested tables get their own number."""
 
-    def __init__(self):
+    def __init__(self, first_only: bool = False):
         super().__init__(convert_charrefs=True)
+        self.first_only = first_only
         self.rows: list[tuple[int, bool, list[str]]] = []
         self.count = 0
         self.open: list[dict] = []
@@ -61,6 +66,8 @@ class _Tables(HTMLParser):
         elif tag == "table":
             self._end_row(table)
             self.open.pop()
+            if self.first_only and not self.open:
+                raise _FirstTableRead
 
     def handle_data(self, data):
         for table in self.open:
@@ -108,15 +115,19 @@ class _Tables(HTMLParser):
         self.rows.append((table["idx"], header, texts))
 
 
-def page_rows(html: str | None) -> list[tuple]:
+def page_rows(html: str | None, first_only: bool = False) -> list[tuple]:
     """(table, row, header, cells, error) for each body row of one page.
 
     The leading header row of a table names its columns; without one they are
-    numbered from 0. Later header rows are left out.
+    numbered from 0. Later header rows are left out. ``first_only`` stops where
+    the first table ends.
     """
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
+    parser = _Tables(first_only)
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except _FirstTableRead:
+        pass
     tables: dict[int, list[tuple[bool, list[str]]]] = {}
     for table, is_header, cells in parser.rows:
         tables.setdefault(table, []).append((is_header, cells))
@@ -129,19 +140,21 @@ def page_rows(html: str | None) -> list[tuple]:
     return found if tables else [(None, None, None, None, NO_TABLE)]
 
 
-def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+def html_tables(pages: DataFrame, key: str, html: str = "html", first_only: bool = False) -> DataFrame:
     """One row per table row of every page; a page without a table is an error row.
 
     Parsing has no column expression, so pages pass through pandas in Arrow
-    batches. Each page is parsed alone and whole, and there is no shuffle.
+    batches. Each page is parsed alone, and there is no shuffle. The text of a
+    page without any table tag stays in the JVM.
     """
-    picked = pages.select(F.col(quoted(key)).alias("_key"), F.col(quoted(html)).alias("_html"))
+    text = F.col(quoted(html))
+    picked = pages.select(F.col(quoted(key)).alias("_key"), F.when(text.rlike("(?i)<table"), text).alias("_html"))
     key_type = picked.schema["_key"].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["_key", "table_idx", "row_idx", "header", "cells", "error"]
         for batch in batches:
-            rows = [(k, *row) for k, page in zip(batch["_key"], batch["_html"]) for row in page_rows(page)]
+            rows = [(k, *row) for k, page in zip(batch["_key"], batch["_html"]) for row in page_rows(page, first_only)]
             yield pd.DataFrame(rows, columns=columns).astype({"table_idx": "Int32", "row_idx": "Int32"})
 
     return picked.mapInPandas(parse, f"_key {key_type}, {ROW_FIELDS}").withColumnRenamed("_key", key)
@@ -149,7 +162,7 @@ def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def read_first_tables(pages: DataFrame, key: str, names: list[str], html: str = "html") -> DataFrame:
     """The first table of each page as text columns with the given names."""
-    rows = html_tables(pages, key, html).filter(F.col("table_idx") == 0)
+    rows = html_tables(pages, key, html, first_only=True).filter(F.col("table_idx") == 0)
     return cells_to_columns(rows, names, [key])
 
 

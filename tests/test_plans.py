@@ -136,7 +136,8 @@ def test_a_malformed_line_fails_its_whole_file(spark, tmp_path):
     _put(source / "good.jsonl", '{"x": 1}\n{"x": 2}\n')
     _put(source / "bad.jsonl", '{"x": 3}\n{"x": \n')
     report = files_to_silver(spark, str(source), target, run_time=RUN_TIME)
-    assert [r["path"].rsplit("/", 1)[1] for r in report.files.filter("error is not null").collect()] == ["bad.jsonl"]
+    (failed,) = report.files.filter("error is not null").collect()
+    assert (failed["path"].rsplit("/", 1)[1], failed["error"]) == ("bad.jsonl", "malformed record")
     assert sorted(r["x"] for r in read_parquet(spark, target).collect()) == [1, 2]
 
 
