@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Date tokens as users write them and the Spark pattern letters.
@@ -97,6 +97,15 @@ def parse_local(c: Column, fmt: str, zone: str = "UTC", instant: bool = False) -
     any session time zone. ``instant=True`` gives a ``timestamp``.
     """
     wall = wall_time(c, spark_pattern(fmt))
+    if _session_in_utc():
+        # Several times cheaper, and right only where wall time and instant coincide.
+        shifted = wall.cast("timestamp") if zone == "UTC" else F.to_utc_timestamp(wall.cast("timestamp"), zone)
+        return shifted if instant else shifted.cast("timestamp_ntz")
     if instant:
         return F.convert_timezone(F.lit(zone), F.current_timezone(), wall).cast("timestamp")
     return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+
+
+def _session_in_utc() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z")

@@ -80,22 +80,22 @@ def text_to_double(c: Column) -> Column:
     ``1d``, and refuses a text by way of an exception, which is slow.
     """
     stripped = F.regexp_replace(strip_whitespace(c), "(?i)^[+-](nan)$", "$1")
-    plain = F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
+    plain = F.when(F.trim(c).rlike(PLAIN_NUMBER), c.try_cast("double"))
     return plain.when(c.rlike(spaced(NUMBER_SHAPE)), stripped.try_cast("double"))
 
 
 def text_to_bigint(c: Column) -> Column:
-    plain = F.when(c.rlike(PLAIN_WHOLE), c.try_cast("bigint"))
+    plain = F.when(F.trim(c).rlike(PLAIN_WHOLE), c.try_cast("bigint"))
     return plain.when(c.rlike(spaced(WHOLE_SHAPE)), strip_whitespace(c).try_cast("bigint"))
 
 
 def is_number(c: Column) -> Column:
-    return c.rlike(PLAIN_NUMBER) | c.rlike(spaced(NUMBER_SHAPE))
+    return F.trim(c).rlike(PLAIN_NUMBER) | c.rlike(spaced(NUMBER_SHAPE))
 
 
 def is_bigint(c: Column) -> Column:
     """Whole numbers of up to 18 digits always fit; only other ones are parsed to see."""
-    return c.rlike(PLAIN_WHOLE) | text_to_bigint(c).isNotNull()
+    return F.trim(c).rlike(PLAIN_WHOLE) | text_to_bigint(c).isNotNull()
 
 
 def nan_as_null(c: Column, dtype: T.DataType) -> Column:
@@ -108,7 +108,9 @@ def float_to_decimal(c: Column, target: T.DecimalType) -> Column:
     That is how the source system stores such values; going through the decimal
     text instead differs for values half way between two units.
     """
-    units = F.round(c.cast("double") * float(10**target.scale), 0)
+    scaled = c.cast("double") * float(10**target.scale)
+    even = F.rint(scaled)
+    units = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even)
     unit = F.lit(f"{10.0**-target.scale:.{target.scale}f}").cast(T.DecimalType(target.scale + 1, target.scale))
     return (units.try_cast("decimal(18,0)") * unit).try_cast(target)
 

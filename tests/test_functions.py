@@ -77,14 +77,25 @@ def test_unknown_date_token():
         spark_pattern("%Q")
 
 
-def test_parse_local(spark):
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York"])
+def test_parse_local(spark, session_zone):
     frame = spark.createDataFrame([("03/10/1998",), ("4/11/2018",), ("n/a",), (None,), ("31/02/2020",)], "t string")
-    utc = [str(r[0]) for r in frame.select(parse_local(F.col("t"), "DD/MM/YYYY", "America/Sao_Paulo")).collect()]
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        found = frame.select(
+            parse_local(F.col("t"), "DD/MM/YYYY", "America/Sao_Paulo").alias("utc"),
+            parse_local(F.col("t"), "DD/MM/YYYY", "America/Sao_Paulo", instant=True).alias("instant"),
+            parse_local(F.col("t"), "DD/MM/YYYY").alias("plain"),
+        ).withColumn("seconds", F.unix_timestamp("instant"))
+        rows = found.drop("instant").collect()
+        types = dict(found.dtypes)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     # 4 November 2018 has no midnight there: clocks went from 24:00 to 01:00.
-    assert utc == ["1998-10-03 03:00:00", "2018-11-04 03:00:00", "None", "None", "None"]
-    instant = frame.select(parse_local(F.col("t"), "DD/MM/YYYY", "America/Sao_Paulo", instant=True).alias("x"))
-    assert instant.schema["x"].dataType == T.TimestampType()
-    assert instant.selectExpr("cast(x as string)").first()[0] == "1998-10-03 03:00:00"
+    assert [str(r["utc"]) for r in rows] == ["1998-10-03 03:00:00", "2018-11-04 03:00:00", "None", "None", "None"]
+    assert [r["seconds"] for r in rows] == [907383600, 1541300400, None, None, None]
+    assert str(rows[0]["plain"]) == "1998-10-03 00:00:00"
+    assert (types["utc"], types["instant"], types["plain"]) == ("timestamp_ntz", "timestamp", "timestamp_ntz")
 
 
 def test_spark_type_names(spark):
