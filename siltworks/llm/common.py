@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from siltworks.session import materialize
 
 #: Entries a worker keeps in a cache of words before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
+#: Rows of a batch that functions see at once.
+SLICE_ROWS = 1024
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -33,6 +36,15 @@ def made_once(key: tuple, make: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
 def scan(df: DataFrame, columns: dict[str, str], function: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """Run ``function`` over Arrow batches of some columns, renamed to fixed names.
 
@@ -40,7 +52,12 @@ def scan(df: DataFrame, columns: dict[str, str], function: Callable[[Batches], B
     reach Python, so their names cannot clash.
     """
     picked = df.select(*[df[source].alias(name) for name, source in columns.items()])
-    return picked.mapInArrow(function, schema)
+
+    def in_slices(batches: Batches) -> Batches:
+        yield from function(batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+        give_back()
+
+    return picked.mapInArrow(in_slices, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -145,10 +162,6 @@ def json_tokenizer(path: str):
     return made_once(("tokenizer", path), load)
 
 
-def word_hashes() -> WordHashes:
-    return made_once(("word hashes",), WordHashes)
-
-
 def parked(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: lineage ends there, on files that outlive executors."""
     return materialize(df, label)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltworks.llm.common import Batches, WordHashes, arrow_type, by_size, mixed, scan, shingles_in_order, texts_of, word_hashes
+from siltworks.llm.common import Batches, WordHashes, arrow_type, by_size, mixed, scan, shingles_in_order, texts_of
 
 SCHEMA = "doc_id long, license string, containment double, first_word long, n_words long, n_windows long"
 SHINGLE = 5
@@ -169,7 +169,7 @@ def license_scan(
     templates = build_templates(texts, containment, certainty)
 
     def run(batches: Batches) -> Batches:
-        hashes, out = word_hashes(), arrow_type(SCHEMA)
+        hashes, out = WordHashes(), arrow_type(SCHEMA)
         for batch in batches:
             doc_ids, texts, rows = batch.column("doc_id").cast(pa.int64()).to_pylist(), texts_of(batch), []
             for first, last in by_size(texts, SLICE_BYTES):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import Batches, WordHashes, arrow_type, parked, scan, shingles_in_order, texts_of, word_hashes, words_of
+from siltworks.llm.common import Batches, WordHashes, arrow_type, give_back, parked, scan, shingles_in_order, texts_of, words_of
 from siltworks.llm.components import connected_components, forest
 
 #: The bucket table: a fixed size whatever the corpus.
@@ -149,6 +149,16 @@ def groups_of(batches: Batches, keys: list[str]) -> Iterator[dict[str, list]]:
         yield held
 
 
+def tasks(run):
+    """``run`` as a function of batches that gives its memory back."""
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def as_sets(data: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(d, "<u8") for d in data]
 
@@ -158,7 +168,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     schema = "doc_id long, n long, k1 long, k2 long, slice int, counts binary"
 
     def run(batches: Batches) -> Batches:
-        hashes, out = word_hashes(), arrow_type(schema)
+        hashes, out = WordHashes(), arrow_type(schema)
         counts = np.zeros(1 << BUCKET_BITS, np.uint8)
         any_shingles = False
         for batch in batches:
@@ -201,13 +211,13 @@ def _bucket_classes(slices: DataFrame) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total = totals.setdefault(at, np.zeros(1 << SLICE_BITS, np.int64))
+                total = totals.setdefault(at, np.zeros(1 << SLICE_BITS, np.uint32))
                 total += np.frombuffer(zlib.decompress(packed), np.uint8)
         for at, total in totals.items():
             packed = zlib.compress(order_class(total).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], schema=out)
 
-    summed = slices.select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, classes binary")
+    summed = slices.select("slice", "counts").repartition("slice").mapInArrow(tasks(run), "slice int, classes binary")
     table = np.zeros(1 << BUCKET_BITS, np.uint8)
     for row in summed.collect():
         table[row.slice << SLICE_BITS : row.slice + 1 << SLICE_BITS] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
@@ -218,7 +228,7 @@ def _entries(docs: DataFrame, table, width: int, percent: int) -> DataFrame:
     """The index: a row for every prefix shingle that another document may share."""
 
     def run(batches: Batches) -> Batches:
-        hashes, out, classes = word_hashes(), arrow_type("shingle long, doc_id long"), table.value
+        hashes, out, classes = WordHashes(), arrow_type("shingle long, doc_id long"), table.value
         for batch in batches:
             shingles, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
@@ -242,7 +252,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     few = docs.withColumn("mark", mark("doc_id")).join(F.broadcast(marks), "mark", "left_semi")
 
     def run(batches: Batches) -> Batches:
-        hashes, out = word_hashes(), arrow_type("doc_id long, set binary")
+        hashes, out = WordHashes(), arrow_type("doc_id long, set binary")
         for batch in batches:
             sets = [shingle_set(t, hashes, width).astype("<u8").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=out)
@@ -284,7 +294,7 @@ def _compare_families(placed: DataFrame, percent: int) -> DataFrame:
 
     keys = ["leader", "block"]
     rows = placed.repartition(*keys).sortWithinPartitions(*keys, "role").select("leader", "block", "blocks", "role", "member", "set")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tasks(run), schema)
 
 
 def _compare_blocks(tiles: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +315,7 @@ def _compare_blocks(tiles: DataFrame, percent: int) -> DataFrame:
 
     keys = ["leader", "query_block", "block"]
     rows = tiles.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "member", "overlap", "set")
-    return rows.mapInArrow(run, "member long, other long")
+    return rows.mapInArrow(tasks(run), "member long, other long")
 
 
 def ngram_components(
