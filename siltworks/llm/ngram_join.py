@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from siltworks.llm.common import Batches, WordHashes, arrow_type, give_back, parked, scan, shingles_in_order, texts_of, words_of
 from siltworks.llm.components import connected_components, forest
 
-#: The bucket table: a fixed size whatever the corpus.
+#: The bucket table: two rows of buckets, a fixed size whatever the corpus.
 BUCKET_BITS = 26
+ROW_FACTORS = (1, 0xD6E8FEB86659FD93)
 SLICE_BITS = 16
 #: Members of a family that are compared together.
 BLOCK_ROWS = 512
@@ -52,18 +53,30 @@ def linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
     return (100 * overlap >= percent * (n + m - overlap)) & (overlap > 0)
 
 
-def bucket_of(shingles: np.ndarray, bits: int) -> np.ndarray:
-    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+def buckets_of(shingles: np.ndarray) -> np.ndarray:
+    """The bucket of each shingle in each row of the table."""
+    rows = [(shingles * np.uint64(f)) >> np.uint64(64 - BUCKET_BITS) | np.uint64(r << BUCKET_BITS) for r, f in enumerate(ROW_FACTORS)]
+    return np.array(rows).astype(np.int64)
 
 
 def order_class(counts: np.ndarray) -> np.ndarray:
-    """Counts in one byte: exact up to 64, by eighths of a power of two above."""
-    over = counts > 64
-    out = np.minimum(counts, 64).astype(np.uint8)
-    out[over] = np.minimum(255, 64 + np.ceil(8 * np.log2(counts[over] / 64))).astype(np.uint8)
+    """Counts in four bits: exact up to 8, then by powers of two."""
+    over = counts > 8
+    out = np.minimum(counts, 8).astype(np.uint8)
+    out[over] = np.minimum(15, 5 + np.ceil(np.log2(counts[over]))).astype(np.uint8)
     return out
 
 
+def packed_classes(classes: np.ndarray) -> np.ndarray:
+    return classes[0::2] | classes[1::2] << 4
+
+
+def classes_of(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The lower of a shingle's classes: its count is at most that of its rarest bucket."""
+    buckets = buckets_of(shingles)
+    return (table[buckets >> 1] >> ((buckets & 1) << 2).astype(np.uint8) & 15).min(axis=0)
+
+
 def prefix_of(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in the global order; two linked sets share one of them. Those of single buckets are left out."""
     size = len(shingles) - int(least_overlap(len(shingles), percent)) + 1
@@ -169,7 +182,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         hashes, out = WordHashes(), arrow_type(schema)
-        counts = np.zeros(1 << BUCKET_BITS, np.uint8)
+        counts = np.zeros(len(ROW_FACTORS) << BUCKET_BITS - 1, np.uint8)
         any_shingles = False
         for batch in batches:
             rows, held, size = [], [], 0
@@ -179,7 +192,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((doc_id, len(own), int(key[0]), int(key[1])) if len(own) else (doc_id, 0, None, None))
                 held.append(own)
                 size += len(own)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     _count(counts, held)
                     held, size, any_shingles = [], 0, True
             if size:
@@ -188,8 +201,8 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             empty = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + empty, schema=out)
-        for at in range((1 << BUCKET_BITS >> SLICE_BITS) if any_shingles else 0):
-            part = counts[at << SLICE_BITS : at + 1 << SLICE_BITS]
+        for at in range((len(counts) >> SLICE_BITS - 1) if any_shingles else 0):
+            part = counts[at << SLICE_BITS - 1 : at + 1 << SLICE_BITS - 1]
             if part.any():
                 packed = zlib.compress(part.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([at], pa.int32()), pa.array([packed], pa.binary())], schema=out)
@@ -198,13 +211,18 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
-    """Add sets to the bucket counts, which stay at 255 once there."""
-    buckets, times = np.unique(bucket_of(np.concatenate(sets), BUCKET_BITS), return_counts=True)
-    counts[buckets] = np.minimum(255, counts[buckets] + np.minimum(times, 255))
+    """Add sets to the bucket counts, two to a byte, which stay at 15 once there."""
+    buckets, times = np.unique(buckets_of(np.concatenate(sets)), return_counts=True)
+    for half in (0, 1):
+        own = buckets & 1 == half
+        places, shift = buckets[own] >> 1, np.uint8(4 * half)
+        held = counts[places]
+        total = np.minimum(15, (held >> shift & 15) + np.minimum(times[own], 15)).astype(np.uint8)
+        counts[places] = held & np.uint8(15 << 4 * (1 - half)) | total << shift
 
 
 def _bucket_classes(slices: DataFrame) -> np.ndarray:
-    """One byte for every bucket of the whole corpus: a table of fixed size, whatever the corpus."""
+    """Four bits for every bucket of the whole corpus: a table of fixed size, whatever the corpus."""
 
     def run(batches: Batches) -> Batches:
         out = arrow_type("slice int, classes binary")
@@ -212,15 +230,17 @@ def _bucket_classes(slices: DataFrame) -> np.ndarray:
         for batch in batches:
             for at, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 total = totals.setdefault(at, np.zeros(1 << SLICE_BITS, np.uint32))
-                total += np.frombuffer(zlib.decompress(packed), np.uint8)
+                pairs = np.frombuffer(zlib.decompress(packed), np.uint8)
+                total[0::2] += pairs & 15
+                total[1::2] += pairs >> 4
         for at, total in totals.items():
-            packed = zlib.compress(order_class(total).tobytes(), 1)
+            packed = zlib.compress(packed_classes(order_class(total)).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], schema=out)
 
     summed = slices.select("slice", "counts").repartition("slice").mapInArrow(tasks(run), "slice int, classes binary")
-    table = np.zeros(1 << BUCKET_BITS, np.uint8)
+    table = np.zeros(len(ROW_FACTORS) << BUCKET_BITS - 1, np.uint8)
     for row in summed.collect():
-        table[row.slice << SLICE_BITS : row.slice + 1 << SLICE_BITS] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
+        table[row.slice << SLICE_BITS - 1 : row.slice + 1 << SLICE_BITS - 1] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
     return table
 
 
@@ -234,7 +254,7 @@ def _entries(docs: DataFrame, table, width: int, percent: int) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 own = shingle_set(text, hashes, width)
                 if len(own):
-                    shingles.append(prefix_of(own, classes[bucket_of(own, BUCKET_BITS)], percent))
+                    shingles.append(prefix_of(own, classes_of(own, classes), percent))
                     owners.append(np.full(len(shingles[-1]), doc_id))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(owners))], schema=out)
 
@@ -257,8 +277,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t, hashes, width).astype("<u8").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=out)
 
-    found = scan(few, {"doc_id": "doc_id", "text": "text"}, run, "doc_id long, set binary")
-    return found.join(wanted.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return scan(few, {"doc_id": "doc_id", "text": "text"}, run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
 def _compare_families(placed: DataFrame, percent: int) -> DataFrame:
@@ -362,29 +381,30 @@ def ngram_components(
     table.unpersist()
 
     ids = families.select(F.explode(F.array("leader", "member")).alias("member")).distinct()
-    found = parked(_sets(with_id, ids, width), "ngram-candidates")
     heads = families.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     rows = families.join(heads, "leader").select("leader", block.alias("block"), "blocks", F.lit(1).alias("role"), "member")
     tops = heads.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", F.lit(0).alias("role"), F.col("leader").alias("member"))
-    placed = rows.unionByName(tops).join(found, F.col("member") == F.col("doc_id"))
+    placed = rows.unionByName(tops).join(_sets(with_id, ids, width), F.col("member") == F.col("doc_id"))
     compared = parked(_compare_families(placed, percent), "ngram-links")
     links = compared.filter("other is not null").select("member", "other")
 
     large = compared.filter("other is null")
-    linked_to_leader = links.select("member", F.col("other").alias("leader")).distinct()
-    rest = large.join(linked_to_leader, ["leader", "member"], "left_anti").select("leader", "member", "overlap")
-    rest_heads = rest.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("query_blocks"))
-    rest = rest.join(heads, "leader").join(rest_heads, "leader")
-    queries = rest.select(
-        "leader", F.pmod(F.xxhash64("member"), F.col("query_blocks")).cast("int").alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "member", "overlap",
-    )
-    targets = large.join(rest_heads, "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "block", F.lit(1).alias("role"), "member", "overlap",
-    )
-    tiles = queries.unionByName(targets).join(found, F.col("member") == F.col("doc_id"))
-    links = links.unionByName(_compare_blocks(tiles, percent))
+    if not large.isEmpty():
+        linked_to_leader = links.select("member", F.col("other").alias("leader")).distinct()
+        rest = large.join(linked_to_leader, ["leader", "member"], "left_anti").select("leader", "member", "overlap")
+        rest_heads = rest.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("query_blocks"))
+        rest = rest.join(heads, "leader").join(rest_heads, "leader")
+        queries = rest.select(
+            "leader", F.pmod(F.xxhash64("member"), F.col("query_blocks")).cast("int").alias("query_block"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "member", "overlap",
+        )
+        targets = large.join(rest_heads, "leader").select(
+            "leader", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "block", F.lit(1).alias("role"), "member", "overlap",
+        )
+        tiles = queries.unionByName(targets)
+        tiles = tiles.join(_sets(with_id, tiles.select("member"), width), F.col("member") == F.col("doc_id"))
+        links = links.unionByName(_compare_blocks(tiles, percent))
 
     components = connected_components(links, "ngram")
     return members.join(components, F.col("class_id") == F.col("node"), "left").select(
