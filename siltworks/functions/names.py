@@ -31,3 +31,15 @@ def standard_names(names: Iterable[str]) -> list[str]:
 def quoted(name: str) -> str:
     """A name that may hold dots, spaces or backticks, safe for ``col`` and SQL text."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for helper columns: the wanted ones, lengthened until no column has them, upper and lower case alike."""
+    used = {name.lower() for name in taken}
+    result = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        result.append(name)
+    return result

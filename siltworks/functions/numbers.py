@@ -112,7 +112,12 @@ def float_to_decimal(c: Column, target: T.DecimalType) -> Column:
     even = F.rint(scaled)
     units = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even)
     unit = F.lit(f"{10.0**-target.scale:.{target.scale}f}").cast(T.DecimalType(target.scale + 1, target.scale))
-    return (units.try_cast("decimal(18,0)") * unit).try_cast(target)
+    if target.precision <= 18:
+        return (units.try_cast("decimal(18,0)") * unit).try_cast(target)
+    # The product must fit 38 digits; beyond that, and for scales this leaves no room for, a double has no fraction left to round.
+    whole = min(target.precision, 36 - target.scale)
+    scaled_value = (units.try_cast(T.DecimalType(whole, 0)) * unit).try_cast(target) if whole > 0 else F.lit(None).cast(target)
+    return F.coalesce(scaled_value, c.try_cast(target))
 
 
 def lenient_cast(c: Column, source: T.DataType, target: T.DataType) -> Column:
@@ -127,8 +132,10 @@ def lenient_cast(c: Column, source: T.DataType, target: T.DataType) -> Column:
         if isinstance(source, T.DecimalType):
             return F.round(c, 0).try_cast(target)
         if isinstance(source, T.StringType):
-            return F.round(F.trim(c).try_cast("decimal(38,10)"), 0).try_cast(target)
-    if isinstance(target, T.DecimalType) and isinstance(source, FRACTIONAL) and target.precision <= 18:
+            # Digits beyond the decimal type are cut off, not rounded, so that rounding happens once.
+            digits = F.regexp_replace(F.trim(c), r"(\.\d{18})\d+$", "$1")
+            return F.round(digits.try_cast("decimal(38,18)"), 0).try_cast(target)
+    if isinstance(target, T.DecimalType) and isinstance(source, FRACTIONAL):
         return float_to_decimal(c, target)
     return c.try_cast(target)
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.names import quoted
+from siltworks.functions.names import free_names, quoted
 from siltworks.operators import statistics as st
 
 # The replacement of rare values and the share below which a value is rare.
 OTHER = "Other"
 RARE_SHARE = 0.01
-# Longer mappings become a join with a small table instead of one expression.
-BRANCH_LIMIT = 50
-# At most 1 / share values are frequent; up to this many they travel as literals.
+# At most 1 / share values are frequent; up to this many they travel as literals in ``rare_to_other``.
 LITERAL_LIMIT = 1_000
 
 
@@ -21,26 +19,21 @@ def map_categories(df: DataFrame, column: str, mappings: dict[str, str]) -> Data
     """Replace values by a mapping; other values stay."""
     if not mappings:
         return df
+    # One constant map, whatever its size: values are compared as text.
     c = F.col(quoted(column))
-    if len(mappings) > BRANCH_LIMIT:
-        # The mapping is a Python dict on the driver, so it fits a broadcast.
-        table = df.sparkSession.createDataFrame(list(mappings.items()), "_old string, _new string")
-        joined = df.join(F.broadcast(table), c == F.col("_old"), "left")
-        mapped = F.when(F.col("_old").isNotNull(), F.col("_new")).otherwise(c)
-        return joined.withColumn(column, mapped).drop("_old", "_new")
-    (first_old, first_new), *others = mappings.items()
-    mapped = F.when(c == F.lit(first_old), F.lit(first_new))
-    for old, new in others:
-        mapped = mapped.when(c == F.lit(old), F.lit(new))
-    return df.withColumn(column, mapped.otherwise(c))
+    entries = [F.lit(x) for pair in mappings.items() for x in pair]
+    text = c.cast("string")
+    mapped = F.element_at(F.create_map(*entries), text)
+    known = F.map_contains_key(F.create_map(*entries), text)
+    return df.withColumn(column, F.when(known, mapped).otherwise(text))
 
 
 def fit_frequent(
     df: DataFrame, columns: list[str] | None = None, share: float = RARE_SHARE, rows: int | None = None
 ) -> dict[str, list[str]]:
     """The values of each text column that are not rare; at most 1 / share of them."""
-    if not 1 / LITERAL_LIMIT <= share <= 1:
-        raise ValueError(f"share must lie between {1 / LITERAL_LIMIT} and 1")
+    if not 0 < share <= 1:
+        raise ValueError("share must lie above 0 and up to 1")
     names = st.text_columns(df) if columns is None else columns
     return st.frequent_values(df, names, share, rows)
 
@@ -65,10 +58,11 @@ def rare_to_other(df: DataFrame, columns: list[str] | None = None, share: float
     result = df
     for name in names:
         c = F.col(quoted(name))
-        counts = df.filter(c.isNotNull()).groupBy(c.alias("_kept")).agg(F.count(F.lit(1)).alias("_count"))
-        kept = counts.filter(F.col("_count") / F.lit(max(total, 1)) >= share).select("_kept")
-        value = F.when(c.isNull() | F.col("_kept").isNotNull(), c).otherwise(F.lit(OTHER))
-        result = result.join(kept, c == F.col("_kept"), "left").withColumn(name, value).drop("_kept")
+        key, count = free_names(df.columns, "_kept", "_count")
+        counts = df.filter(c.isNotNull()).groupBy(c.alias(key)).agg(F.count(F.lit(1)).alias(count))
+        kept = counts.filter(F.col(count) / F.lit(max(total, 1)) >= share).select(key)
+        value = F.when(c.isNull() | F.col(key).isNotNull(), c).otherwise(F.lit(OTHER))
+        result = result.join(kept, c == F.col(key), "left").withColumn(name, value).drop(key)
     return result
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.names import quoted, standard_names
+from siltworks.functions.names import free_names, quoted, standard_names
 from siltworks.functions.numbers import missing
 from siltworks.operators.statistics import Missing, column_types, missing_counts
 from siltworks.session import materialize
@@ -87,18 +87,19 @@ def row_index(
         raise ValueError("row_index needs order_by: without it the numbering is arbitrary")
     group = [F.col(quoted(c)) for c in within or []]
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ties = {"_tie": F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), "_place": F.monotonically_increasing_id()}
-    keys = [*group, *[F.col(quoted(c)) for c in order_by], F.col("_tie"), F.col("_place")]
+    tie, place, place_id, first = free_names([*df.columns, name], "_tie", "_place", "_id", "_first")
+    ties = {tie: F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), place: F.monotonically_increasing_id()}
+    keys = [*group, *[F.col(quoted(c)) for c in order_by], F.col(tie), F.col(place)]
     ordered = (
         df.withColumns(ties)
         .repartitionByRange(count, *keys)
         .sortWithinPartitions(*keys)
         .drop(*ties)
-        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn(place_id, F.monotonically_increasing_id())
     )
     fixed = materialize(ordered, "ordered")
     # monotonically_increasing_id holds the partition above bit 33 and the position below.
-    block = F.shiftright("_id", 33).cast("int")
+    block = F.shiftright(place_id, 33).cast("int")
     counted = fixed.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("rows"))
     sizes = {r["block"]: r["rows"] for r in counted.collect()}
     offsets, total = [], 0
@@ -106,12 +107,13 @@ def row_index(
         offsets.append(total)
         total += sizes.get(i, 0)
     start = F.lit(offsets or [0])[block].cast("bigint")
-    position = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    position = F.col(place_id).bitwiseAND(F.lit((1 << 33) - 1))
     columns = [F.col(quoted(c)) for c in df.columns]
     numbered = fixed.select((start + position).alias(name), *columns)
     if not group:
         return numbered
     # The first number of each group turns the numbers of the table into numbers of the group.
-    starts = numbered.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(name).alias("_first"))
-    same = [g.eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    return numbered.join(starts, same).select((F.col(name) - F.col("_first")).alias(name), *columns)
+    keys = free_names([*df.columns, name, first], *[f"_g{i}" for i in range(len(group))])
+    starts = numbered.groupBy(*[g.alias(k) for g, k in zip(group, keys)]).agg(F.min(quoted(name)).alias(first))
+    same = [g.eqNullSafe(F.col(k)) for g, k in zip(group, keys)]
+    return numbered.join(starts, same).select((F.col(quoted(name)) - F.col(first)).alias(name), *columns)

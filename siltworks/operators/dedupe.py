@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.names import quoted
+from siltworks.functions.names import free_names, quoted
 
 STRATEGIES = ("keep_first", "keep_last", "keep_none")
 
@@ -38,20 +38,24 @@ def dedupe(
         raise ValueError(f"{strategy} needs order_by: without it the kept row is arbitrary")
     order = [F.col(quoted(o)) if isinstance(o, str) else o for o in order_by]
     if strategy == "keep_last":
+        if any("NULLS FIRST" in repr(o) or "NULLS LAST" in repr(o) for o in order):
+            raise ValueError("keep_last reverses order_by itself: give columns without asc() or desc()")
         order = [o.desc_nulls_last() for o in order]
     # The filter on rank 1 is also applied before the shuffle (WindowGroupLimit).
     ranked = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") == 1).drop("_rank")
+    (rank,) = free_names(df.columns, "_rank")
+    return df.withColumn(rank, F.row_number().over(ranked)).filter(F.col(rank) == 1).drop(rank)
 
 
 def _keep_none(df: DataFrame, keys: list[str]) -> DataFrame:
     # A count over a window would pull every row of a key into one task.
     rest = [c for c in df.columns if c not in keys]
-    aggregates = [F.count(F.lit(1)).alias("_count")]
+    count, row = free_names(df.columns, "_count", "_row")
+    aggregates = [F.count(F.lit(1)).alias(count)]
     if rest:
-        aggregates.append(F.first(F.struct(*[F.col(quoted(c)) for c in rest])).alias("_row"))
-    single = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*aggregates).filter(F.col("_count") == 1)
-    found = single.select(*[F.col(quoted(k)) for k in keys], *([F.col("_row.*")] if rest else []))
+        aggregates.append(F.first(F.struct(*[F.col(quoted(c)) for c in rest])).alias(row))
+    single = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*aggregates).filter(F.col(count) == 1)
+    found = single.select(*[F.col(quoted(k)) for k in keys], *([F.col(f"{row}.*")] if rest else []))
     return found.select(*[F.col(quoted(c)) for c in df.columns])
 
 

@@ -102,5 +102,7 @@ def write_per_source(
     The rebalance brings rows of a file together so that a folder gets few
     parts, and still splits a file that is much larger than the others.
     """
+    if any(c.lower() == "output" for c in df.columns):
+        raise ValueError("the column 'output' names the folders: rename it first")
     output = df.withColumn("output", processed_name(F.col(quoted(source_file)), run_time, file_format))
     write_table(output.hint("rebalance", F.col("output")), path, file_format, mode, ["output"])

@@ -327,3 +327,45 @@ def test_profile(spark, rows):
     assert rows(quality.profile(frame)) == expected
     assert rows(quality.profile(frame, batch=1)) == expected
     assert rows(quality.profile(frame.limit(0))) == [("x", "double", 0, 0, 0), ("y", "string", 0, 0, 0)]
+
+
+RESERVED = ["_id", "_rank", "_row", "_count", "_kept", "_tie", "_place", "_first", "_g0", "_old", "_new"]
+
+
+def test_columns_with_names_of_helpers_survive(spark):
+    from siltworks.operators.categories import map_categories, rare_to_other
+    from siltworks.operators.columns import row_index
+    from siltworks.operators.dedupe import dedupe
+
+    rows = [(i, *[f"{c}{i}" for c in RESERVED]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["k", *RESERVED])
+    expected = sorted(rows)
+    forms = [
+        row_index(df, ["k"]).drop("index"),
+        row_index(df, ["k"], within=["_id"]).drop("index"),
+        dedupe(df, ["k"], "keep_first", ["k"]),
+        dedupe(df, ["k"], "keep_last", ["k"]),
+        dedupe(df, ["k"], "keep_none"),
+        map_categories(df, "_old", {"nothing": "new"}),
+        rare_to_other(df, ["_new"], share=0.0001),
+    ]
+    for found in forms:
+        assert sorted(tuple(r) for r in found.select("k", *RESERVED).collect()) == expected
+
+
+def test_keep_last_refuses_ordered_columns(spark):
+    from pyspark.sql import functions as F
+
+    from siltworks.operators.dedupe import dedupe
+
+    with pytest.raises(ValueError):
+        dedupe(spark.range(3), ["id"], "keep_last", [F.col("id").desc()])
+
+
+def test_rounding_does_not_depend_on_the_width(spark):
+    from siltworks.operators.types import cast_types
+
+    values = spark.createDataFrame([(2083.095, "0.49999999995"), (1.005, "0.5"), (0.145, "-0.5")], "x double, t string")
+    found = [cast_types(values, {"x": f"decimal({p},2)", "t": "int"}).collect() for p in (18, 20, 38)]
+    assert [[(str(r.x), r.t) for r in rows] for rows in found[1:]] == [[(str(r.x), r.t) for r in found[0]]] * 2
+    assert [r.t for r in found[0]] == [0, 1, -1]
