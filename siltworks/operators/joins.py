@@ -8,10 +8,12 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.names import quoted
+from siltworks.functions.names import free_names, quoted
 from siltworks.session import materialize
 
 HOWS = ("inner", "left", "right", "full")
+# Spark's joins that compare every row with every other.
+ALL_PAIRS = ("BroadcastNestedLoopJoin", "CartesianProduct")
 
 
 def _pairs(on: str | list) -> list[tuple[str, str]]:
@@ -31,11 +33,14 @@ def enrich(
     on: str | list | Column,
     how: str = "left",
     prefix: str = "r_",
+    all_pairs: bool = False,
 ) -> DataFrame:
     """All columns of ``t`` and of ``r``; clashing right names get a prefix.
 
     ``on`` is a column name, a list of names or (left, right) pairs, or a
-    condition over the aliases ``t`` and ``r``.
+    condition over the aliases ``t`` and ``r``. A condition without an equality
+    between the two would compare all pairs of rows: it is refused unless
+    ``all_pairs`` asks for that. For bands use :func:`enrich_band`.
 
     Right and full joins on keys run as the inner or left join plus the right
     rows without a partner. In that form adaptive execution can split a hot key
@@ -47,6 +52,8 @@ def enrich(
         raise ValueError(f"unknown join type {how!r}, use one of {HOWS}")
     if isinstance(on, Column):
         joined = t.alias("t").join(r.alias("r"), on, how)
+        if not all_pairs and _nested_joins(joined) > _nested_joins(t) + _nested_joins(r):
+            raise ValueError("no equality to join by: use enrich_band for low <= value <= high, or ask for all_pairs=True")
         renamed = _right_names(t, r, prefix).columns
         return joined.select("t.*", *[F.col(f"r.{quoted(c)}").alias(n) for c, n in zip(r.columns, renamed)])
     pairs = _pairs(on)
@@ -56,14 +63,19 @@ def enrich(
     if how in ("inner", "left"):
         return t.join(renamed, condition, how)
     matched = t.join(renamed, condition, "inner" if how == "right" else "left")
-    keys = t.select(*[F.col(quoted(a)).alias(f"_k{i}") for i, (a, _) in enumerate(pairs)]).distinct()
-    unmatched = renamed.join(
-        keys, [F.col(f"_k{i}") == F.col(quoted(names[b])) for i, (_, b) in enumerate(pairs)], "left_anti"
-    )
+    helpers = free_names(renamed.columns, *[f"_k{i}" for i in range(len(pairs))])
+    keys = t.select(*[F.col(quoted(a)).alias(h) for h, (a, _) in zip(helpers, pairs)]).distinct()
+    unmatched = renamed.join(keys, [F.col(h) == F.col(quoted(names[b])) for h, (_, b) in zip(helpers, pairs)], "left_anti")
     empty_left = [F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema.fields]
     return matched.unionByName(unmatched.select(*empty_left, *[F.col(quoted(c)) for c in renamed.columns]))
 
 
+def _nested_joins(df: DataFrame) -> int:
+    """How many joins of all pairs the plan holds; nothing is run."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return sum(plan.count(name) for name in ALL_PAIRS)
+
+
 def enrich_band(
     t: DataFrame,
     r: DataFrame,
@@ -92,28 +104,29 @@ def enrich_band(
     # A band of no width still gets a cell wide enough to be numbered exactly.
     size = F.greatest(_finite(hi - lo), magnitude * 2.0**-40, F.lit(2.0**-900))
     level = F.ceil(F.least(F.log2(size) + 1e-9, F.lit(1023.0))).cast("int")
-    bands = renamed.filter(lo <= hi).withColumn("_level", level)
+    spot, level_name, cell, row_name = free_names([*t.columns, *renamed.columns], "_spot", "_level", "_cell", "_row")
+    bands = renamed.filter(lo <= hi).withColumn(level_name, level)
     # One number per power of two in use.
-    levels = sorted(row["_level"] for row in bands.select("_level").distinct().collect())
+    levels = sorted(found[level_name] for found in bands.select(level_name).distinct().collect())
     if not levels:
-        return t.join(bands.drop("_level"), F.lit(False), how)
-    width = F.pow(F.lit(2.0), F.col("_level"))
+        return t.join(bands.drop(level_name), F.lit(False), how)
+    width = F.pow(F.lit(2.0), F.col(level_name))
     cells = F.sequence(F.floor(_finite(lo) / width), F.floor(_finite(hi) / width))
-    placed = bands.withColumn("_cell", F.explode(cells))
+    placed = bands.withColumn(cell, F.explode(cells))
     v = F.col(quoted(value)).cast("double")
     spots = F.array(*[
         F.struct(F.lit(k).alias("l"), F.floor(_finite(v) / F.lit(math.ldexp(1.0, k))).alias("c")) for k in levels
     ])
     below = (v <= hi) if high_inclusive else (v < hi)
-    match = [F.col("_spot.l") == F.col("_level"), F.col("_spot.c") == F.col("_cell"), v >= lo, below]
-    helpers = ("_spot", "_level", "_cell", "_row")
+    match = [F.col(f"{spot}.l") == F.col(level_name), F.col(f"{spot}.c") == F.col(cell), v >= lo, below]
+    helpers = (spot, level_name, cell, row_name)
     if how == "inner" or len(levels) == 1:
-        return t.withColumn("_spot", F.explode(spots)).join(placed, match, how).drop(*helpers)
+        return t.withColumn(spot, F.explode(spots)).join(placed, match, how).drop(*helpers)
     # Several lookups per row: numbers, fixed by writing them, tell the rows that matched nowhere.
-    numbered = materialize(t.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    joined = numbered.withColumn("_spot", F.explode(spots)).join(placed, match, "inner")
-    alone = numbered.join(joined.select("_row").distinct(), "_row", "left_anti")
-    return joined.drop(*helpers).unionByName(alone.drop("_row"), allowMissingColumns=True)
+    numbered = materialize(t.withColumn(row_name, F.monotonically_increasing_id()), "numbered")
+    joined = numbered.withColumn(spot, F.explode(spots)).join(placed, match, "inner")
+    alone = numbered.join(joined.select(row_name).distinct(), row_name, "left_anti")
+    return joined.drop(*helpers).unionByName(alone.drop(row_name), allowMissingColumns=True)
 
 
 def _finite(x: Column) -> Column:

@@ -68,8 +68,9 @@ def files_to_silver(
 ) -> RunReport:
     """Read, process, stamp, deduplicate within each file, write one folder per file.
 
-    A file that cannot be read, or whose format is unknown, is reported and the
-    rest go on; no file is ever written in part. ``index_by`` numbers the rows
+    A file that cannot be read or processed, or whose format is unknown, is
+    reported and the rest go on, whatever the error; no file is ever written in
+    part. Workbooks are reported as unsupported. ``index_by`` numbers the rows
     of each file from 0 in that order.
     """
     start = datetime.now()
@@ -82,6 +83,8 @@ def files_to_silver(
         files = inventory.filter(F.regexp_extract("path", r"(\.[^./]*)$", 1) == ending).select("path")
         try:
             known = detect_format(f"x{ending}") if file_format in (None, "auto") else file_format
+            if known == "excel":
+                raise UnsupportedFormat("workbooks have no file column: read them with read_excel")
             glob = f"*{suffix}" if suffix.endswith(ending) else f"*{ending}"
             for group in _groups(spark, source, glob, known, schema, options):
                 reports.append(_run(group, files, spark, destination, output_format, chain, schema, run_time, index_by, options))
@@ -161,11 +164,19 @@ def _run(group, files, spark, destination, output_format, chain, schema, run_tim
         df = _read(spark, group, schema, options)
         _write(df, destination, output_format, chain, run_time, index_by)
         return _report(df, files, group, run_time, output_format)
-    except JOB_ERRORS as error:
+    except Exception as error:  # a processor may raise anything
         paths = group.paths if isinstance(group.paths, list) else [r["path"] for r in files.toLocalIterator()]
         bad = _unreadable(spark, group.file_format, paths, schema, options)
-        if not bad:
-            return _failed(_paths(spark, paths), str(error))
+        if not bad and len(paths) <= 1:
+            return _failed(_paths(spark, paths), str(error) or type(error).__name__)
+    if not bad:
+        # Every file reads alone: a value that a processor refuses, or types that do not go together.
+        middle = len(paths) // 2
+        halves = [
+            _run(_Group(part, group.file_format), files, spark, destination, output_format, chain, schema, run_time, index_by, options)
+            for part in (paths[:middle], paths[middle:])
+        ]
+        return reduce(DataFrame.unionByName, halves)
     good = [p for p in paths if p not in bad]
     failed = reduce(DataFrame.unionByName, [_failed(_paths(spark, [p]), m) for p, m in sorted(bad.items())])
     if not good:

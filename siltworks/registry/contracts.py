@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltworks.contracts import accepted, annotate, error_counts, rejected
+from siltworks.contracts import Check, Contract, accepted, annotate, error_counts, rejected
 from siltworks.contracts.catalog import PRODUCT_CSV
-from siltworks.registry.base import query
+from siltworks.registry.base import query, table
 from siltworks.registry.dirty import PRODUCTS_SQL, dirty_products
 
 _TYPED = f"""
@@ -50,3 +50,24 @@ union all select 'available', 'type', count(*) from typed where available_value
 """)
 def contract_error_counts(spark, sf_dir):
     return error_counts(_annotated(spark, sf_dir))
+
+
+PRICED_PART = Contract.of(
+    "PricedPart",
+    Check("small", "p_size <= 40"),
+    Check("worth_its_size", "p_retailprice >= 10 * p_size + 900"),
+    p_partkey="int",
+    p_size="int",
+    p_retailprice="float",
+)
+
+
+@query("""
+with failed as (
+  select 'small' as error from part where p_size > 40
+  union all select 'worth_its_size' from part where p_retailprice < 10 * p_size + 900)
+select '*' as field, error, count(*) as rows from failed group by error
+""")
+def contract_checks(spark, sf_dir):
+    """Rules beyond types, counted by rule."""
+    return error_counts(annotate(table(spark, sf_dir, "part").select(*PRICED_PART.columns), PRICED_PART))

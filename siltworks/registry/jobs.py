@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.contracts.catalog import PRODUCT_CSV
@@ -195,10 +198,61 @@ def ingest_contract_bronze(spark, sf_dir):
     return read_csv(spark, done.entry.data_file, schema=PRODUCT_CSV.schema)
 
 
+@query(f"""
+with d as ({PRODUCTS_SQL}),
+typed as (
+  select *, try_cast(trim(price) as double) as price_value,
+         case when lower(available) in ('yes', '1', 'on') then true
+              when lower(available) in ('off', 'false') then false end as available_value from d)
+select cast(product_id as bigint) as product_id, product_name, category, price_value as price, available_value as available
+from typed where product_name is not null and price_value is not null and available_value is not null
+""")
+def ingest_drop_mode(spark, sf_dir):
+    root = scratch_path(spark, "dropped")
+    done = ingest(dirty_products(spark, sf_dir), PRODUCT_CSV, root, "products", RUN_TIME, mode="drop")
+    return read_csv(spark, done.entry.data_file, schema=PRODUCT_CSV.schema)
+
+
 # --------------------------------------------------------------------------
 # Files to silver
 
 
+@query("""
+select case when p_partkey % 3 = 0 then 'text.parquet' else 'number.parquet' end as source_file,
+       cast(p_size as varchar) as size, cast(null as varchar) as error
+from part where p_partkey % 3 <> 2
+union all select 'refused.parquet', null, 'refused'
+""")
+def files_to_silver_mixed(spark, sf_dir):
+    """Files whose types do not go together and one that a processor refuses: each stands for itself."""
+    source, target, key = scratch_path(spark, "mixed"), scratch_path(spark, "silver"), F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    kinds = {"text": (0, "string"), "number": (1, "int"), "refused": (2, "double")}
+    for name, (rest, kind) in kinds.items():
+        write_table(part.filter(key % 3 == rest).select(key, F.col("p_size").cast(kind).alias("size")), f"{source}/{name}")
+
+    def no_fractions(df):
+        if df.schema["size"].dataType.typeName() == "double":
+            raise ArithmeticError("sizes are whole")
+        return df
+
+    report = files_plan.files_to_silver(spark, source, target, ".parquet", processors=[no_fractions], run_time=RUN_TIME)
+    folder = F.concat(F.element_at(F.split("path", "/"), -2), F.lit(".parquet"))
+    failed = report.files.filter(F.col("error").isNotNull()).select(folder.alias("source_file")).distinct()
+    outputs = report.files.filter(F.col("error").isNull()).select(folder.alias("source_file"), "output").collect()
+    paths: dict[str, list[str]] = {}
+    for r in outputs:
+        paths.setdefault(r["source_file"], []).append(f"{target}/output={r['output']}")
+    none = F.lit(None).cast("string")
+    read = [
+        read_parquet(spark, own).select(F.lit(name).alias("source_file"), F.col("size").cast("string"), none.alias("error"))
+        for name, own in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, read).unionByName(
+        failed.select("source_file", F.lit(None).cast("string").alias("size"), F.lit("refused").alias("error"))
+    )
+
+
 @query("""
 with rows as (
   select 'customer' as kind, c_custkey as key, c_name as name, c_acctbal as amount from customer

@@ -18,7 +18,12 @@ from siltworks.registry.dirty import ORDERS_SQL, dirty_orders
 from siltworks.session import scratch_path
 from siltworks.sinks.files import write_table
 from siltworks.sources import files, html, inventory, payloads
-from siltworks.sources.excel import parse_workbooks, workbook_columns
+from siltworks.sources.excel import parse_workbooks, rejected_workbooks, workbook_columns
+
+# The given tables.
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 @query("""
@@ -41,6 +46,32 @@ def scan_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, schema=orders.schema)
 
 
+@query("""
+select o_orderkey, case when o_orderkey % 5 <> 0 then o_custkey end as o_custkey,
+       case when o_orderkey % 7 <> 0 then o_totalprice end as o_totalprice, o_orderstatus from orders
+""")
+def scan_csv_inferred(spark, sf_dir):
+    """Types found in the text, with two spellings of "no value" among the numbers."""
+    key, path = F.col("o_orderkey"), scratch_path(spark, "orders") + ".csv"
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(key % 5 == 0, F.lit("NA")).otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(key % 7 == 0, F.lit("null")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        "o_orderstatus",
+    )
+    write_table(orders, path, "csv")
+    return files.read_csv(spark, path, null_words=files.NULL_WORDS)
+
+
+@query("select * from supplier")
+def scan_json_document(spark, sf_dir):
+    """One array of at most 100 rows to a file."""
+    supplier, path = table(spark, sf_dir, "supplier"), scratch_path(spark, "suppliers")
+    pages = _pages(supplier, "s_suppkey").select("page", F.to_json("results").alias("value"))
+    pages.repartition("page").write.partitionBy("page").option("maxRecordsPerFile", 1).text(path)
+    return files.read_json(spark, f"{path}/*", supplier.schema, lines=False)
+
+
 @query("select * from orders")
 def scan_json_lines(spark, sf_dir):
     orders, path = table(spark, sf_dir, "orders"), scratch_path(spark, "orders") + ".jsonl"
@@ -197,21 +228,41 @@ def excel_xlsx_rows(spark, sf_dir):
     return workbook_columns(parse_workbooks(customer_workbooks(spark, sf_dir)), schema)
 
 
+@query("""
+select concat(c_custkey // 500, '.xlsx') as path, case when c_custkey // 500 % 3 = 0 then 0 else count(*) end as rows,
+       c_custkey // 500 % 3 = 0 as refused
+from customer group by c_custkey // 500
+""")
+def excel_rejects(spark, sf_dir):
+    """A workbook for every 500 customers, every third cut off in the middle."""
+
+    def build(key, rows):
+        content = _workbook(rows.drop(columns="book"))
+        cut = len(content) // 2 if key[0] % 3 == 0 else len(content)
+        return pd.DataFrame({"path": [f"{key[0]}.xlsx"], "content": [content[:cut]]})
+
+    customer = table(spark, sf_dir, "customer").withColumn("book", F.floor(F.col("c_custkey") / 500))
+    books = parse_workbooks(customer.groupBy("book").applyInPandas(build, "path string, content binary"))
+    good = books.filter(F.col("error").isNull()).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    bad = rejected_workbooks(books).select("path", F.lit(0).cast("bigint").alias("rows"), F.lit(True).alias("refused"))
+    return good.withColumn("refused", F.lit(False)).unionByName(bad)
+
+
 @query("""
 select page_id, 0 as row_idx, 'url' as field, url as content from pages
 union all select page_id, 1, 'length', cast(length(html) as varchar) from pages
 """)
 def html_table_rows(spark, sf_dir):
-    """Every page whole, with a table put in front of it, as the pages have none."""
+    """Every page whole, with a table put behind it, as the pages have none."""
     url = F.replace("url", F.lit("&"), F.lit("&amp;"))
     top = F.concat(
         F.lit("<table><thead><tr><th>field</th><th>content</th></tr></thead><tbody><tr><td>url</td><td>"),
         url,
         F.lit("</td></tr><tr><td>length</td><td>"),
-        F.length("html").cast("string"),
+        F.coalesce(F.length("html").cast("string"), F.lit("")),
         F.lit("</td></tr></table>"),
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(top, F.col("html")).alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), top).alias("html"))
     return html.read_first_tables(pages, "page_id", ["field", "content"])
 
 
@@ -225,10 +276,27 @@ def html_title(spark, sf_dir):
     return html.html_titles(table(spark, sf_dir, "pages")).select("page_id", "url", "title")
 
 
-@query()
-def object_inventory(spark, sf_dir):
+@query("\nunion all ".join(f"select '{name}.parquet' as file, count(*) as rows from {name}" for name in TABLES))
+def inventory_rows(spark, sf_dir):
+    """The files below the folder and the rows in each."""
     found = inventory.object_inventory(spark, sf_dir, ".parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "modified")
+    return inventory.file_rows(found, [table(spark, sf_dir, name) for name in TABLES])
+
+
+@query("""
+select distinct c_mktsegment as path, true as present from customer
+union all select distinct concat('no ', c_mktsegment), false from customer
+""")
+def files_present_absent(spark, sf_dir):
+    """One file folder for each segment, compared with a list that also names folders that are not there."""
+    target, customer = scratch_path(spark, "segments"), table(spark, sf_dir, "customer")
+    write_table(customer, target, "parquet", partition_by=["c_mktsegment"])
+    segment = F.regexp_extract("path", "c_mktsegment=([^/]*)/", 1)
+    found = inventory.object_inventory(spark, target, ".parquet").select(segment.alias("path")).distinct()
+    names = customer.select(F.explode(F.array("c_mktsegment", F.concat(F.lit("no "), "c_mktsegment"))).alias("path"))
+    wanted = names.distinct()
+    present = inventory.existing(wanted, found).withColumn("present", F.lit(True))
+    return present.unionByName(inventory.absent(wanted, found).withColumn("present", F.lit(False)))
 
 
 @query("""

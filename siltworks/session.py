@@ -58,6 +58,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/siltworks/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    Call it when no frame built on them is needed any more: they are read
+    lazily, and what lies there belongs to this application alone.
+    """
+    folder = f"{shared_root(spark)}/siltworks/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

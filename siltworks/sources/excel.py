@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -29,6 +30,12 @@ EPOCH_1904 = datetime(1904, 1, 1)
 
 ROW_FIELDS = "row_idx int, header array<string>, cells array<string>, error string"
 ROWS_PER_BATCH = 5_000
+REJECTS = ("fail", "skip")
+# What a damaged or encrypted workbook can raise while it is read.
+UNREADABLE = (
+    zipfile.BadZipFile, zlib.error, ElementTree.ParseError, EOFError, NotImplementedError, RuntimeError,
+    LookupError, ValueError, OverflowError, AttributeError, TypeError,
+)
 
 
 def _column_number(reference: str) -> int:
@@ -107,14 +114,21 @@ class _Workbook:
 
 
 def workbook_rows(content: bytes) -> Iterator[tuple]:
-    """(row, header, cells, error); row 1 of the sheet holds the titles."""
+    """(row, header, cells, error); row 1 of the sheet holds the titles.
+
+    The sheet is read through once before its first row is given out, so that a
+    workbook which breaks half way is one error and never some of its rows.
+    """
     try:
-        rows = _Workbook(content).rows()
+        book = _Workbook(content)
+        for _ in book.rows():
+            pass
+        rows = book.rows()
         header = [c or "" for c in next(rows, [])]
         for i, cells in enumerate(rows):
             if any(c is not None for c in cells):
                 yield i, header, cells, None
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as error:
+    except UNREADABLE as error:
         yield None, None, None, f"not a readable workbook: {error!r}"
 
 
@@ -141,10 +155,20 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, f"path string, {ROW_FIELDS}")
 
 
-def workbook_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """Parsed rows to the typed columns of a schema; cells that do not fit are null."""
+def workbook_columns(rows: DataFrame, schema: T.StructType, rejects: str = "fail") -> DataFrame:
+    """Parsed rows to the typed columns of a schema; cells that do not fit are null.
+
+    A workbook that cannot be read fails the job, or is left out with
+    ``rejects="skip"``; :func:`rejected_workbooks` names those.
+    """
+    if rejects not in REJECTS:
+        raise ValueError(f"unknown way with rejects {rejects!r}, use one of {REJECTS}")
+    readable = F.col("error").isNull()
+    if rejects == "fail":
+        refused = F.raise_error(F.concat_ws(": ", "path", "error")).cast("boolean")
+        readable = F.when(readable, F.lit(True)).otherwise(refused)
     kinds = {v.typeName(): k for k, v in KINDS.items()}
-    text = cells_to_columns(rows.filter(F.col("error").isNull()), schema.fieldNames(), ["path"])
+    text = cells_to_columns(rows.filter(readable), schema.fieldNames(), ["path"])
     typed = []
     for field in schema.fields:
         c, kind = F.col(quoted(field.name)), kinds.get(field.dataType.typeName())
@@ -153,12 +177,17 @@ def workbook_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return text.select(*typed)
 
 
+def rejected_workbooks(rows: DataFrame) -> DataFrame:
+    """(path, error) of the workbooks that cannot be read."""
+    return rows.filter(F.col("error").isNotNull()).select("path", "error")
+
+
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Parsed rows of all .xlsx files below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True)
     return parse_workbooks(files.load(path))
 
 
-def read_excel(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_excel(spark: SparkSession, path: str | list[str], schema: T.StructType, rejects: str = "fail") -> DataFrame:
     """First sheet of every workbook, columns found by the titles in row 1."""
-    return workbook_columns(read_workbooks(spark, path), schema)
+    return workbook_columns(read_workbooks(spark, path), schema, rejects)

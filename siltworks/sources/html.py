@@ -15,12 +15,23 @@ from siltworks.sources.cells import cells_to_columns
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 ROW_FIELDS = "table_idx int, row_idx int, header array<string>, cells array<string>, error string"
 NO_TABLE = "no table in page"
+# The most places a cell may span, by the HTML standard.
+MOST_SPANNED = {"colspan": 1_000, "rowspan": 65_534}
 
 
 class _FirstTableRead(Exception):
     pass
 
 
+def _span(text: str | None, most: int) -> int:
+    """A span as written, within the standard's limit; 1 if it is no whole number."""
+    digits = (text or "").strip()
+    if not (digits.isascii() and digits.isdigit()):
+        return 1
+    # A number of many digits is over any limit and need not be converted.
+    return most if len(digits.lstrip("0")) > 6 else min(int(digits), most)
+
+
 class _Tables(HTMLParser):
     """Collects rows as (table, is_header, cells); nested tables get their own number."""
 
@@ -49,7 +60,7 @@ class _Tables(HTMLParser):
                 self._end_cell(table)
                 if table["row"] is None:
                     table["row"] = []
-                spans = {k: int(v) for k, v in attrs if k in ("colspan", "rowspan") and (v or "").isdigit()}
+                spans = {k: _span(v, MOST_SPANNED[k]) for k, v in attrs if k in MOST_SPANNED}
                 table["cell"] = {"th": tag == "th", "text": [], **spans}
 
     def handle_endtag(self, tag):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.functions.names import free_names, quoted
+
 
 def object_inventory(spark: SparkSession, prefix: str, suffix: str = "") -> DataFrame:
     """(path, length, modified) of all files below ``prefix`` that end in ``suffix``.
@@ -23,9 +27,23 @@ def object_inventory(spark: SparkSession, prefix: str, suffix: str = "") -> Data
 
 def existing(wanted: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
     """The wanted paths that the inventory has."""
-    return wanted.join(inventory.select(F.col("path").alias("_path")), F.col(path) == F.col("_path"), "left_semi")
+    return _compared(wanted, inventory, path, "left_semi")
 
 
 def absent(wanted: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
     """The wanted paths that the inventory does not have."""
-    return wanted.join(inventory.select(F.col("path").alias("_path")), F.col(path) == F.col("_path"), "left_anti")
+    return _compared(wanted, inventory, path, "left_anti")
+
+
+def _compared(wanted: DataFrame, inventory: DataFrame, path: str, how: str) -> DataFrame:
+    (found,) = free_names(wanted.columns, "_path")
+    return wanted.join(inventory.select(F.col("path").alias(found)), F.col(quoted(path)) == F.col(found), how)
+
+
+def file_rows(files: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(file, rows) for every file of an inventory that the given file reads cover; 0 for a file without rows."""
+    counted = [t.groupBy(F.col("_metadata.file_path").alias("counted")).agg(F.count(F.lit(1)).alias("n")) for t in tables]
+    counts = reduce(DataFrame.unionByName, counted)
+    name = F.element_at(F.split("path", "/"), -1)
+    joined = files.join(counts, files["path"] == counts["counted"], "left")
+    return joined.select(name.alias("file"), F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"))

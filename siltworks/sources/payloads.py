@@ -46,15 +46,6 @@ def read_json_payloads(spark: SparkSession, path: str | list[str], row: T.Struct
     return payload_rows(spark.read.text(path, wholetext=True), "value", row)
 
 
-def _leaves(path: str, dtype: T.DataType) -> list[tuple[str, Column]]:
-    """(tag, value) for every leaf below a record, in document order."""
-    c = F.col(path)
-    if isinstance(dtype, T.ArrayType):
-        # A repeated tag: the last one counts.
-        return _array_leaves(path.rsplit(".", 1)[-1].strip("`"), F.element_at(c, -1), dtype.elementType)
-    return _array_leaves(path.rsplit(".", 1)[-1].strip("`"), c, dtype)
-
-
 def _array_leaves(tag: str, c: Column, dtype: T.DataType) -> list[tuple[str, Column]]:
     if isinstance(dtype, T.ArrayType):
         return _array_leaves(tag, F.try_element_at(c, F.lit(-1)), dtype.elementType)

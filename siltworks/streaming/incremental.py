@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from siltworks.functions.names import quoted
+from siltworks.functions.names import free_names, quoted
 from siltworks.operators.columns import Processor, run_all
 
 
@@ -74,5 +74,6 @@ def dedupe_stream(
     timed = stream.withColumn(event_time, F.col(quoted(event_time)).cast("timestamp")).withWatermark(event_time, delay)
     if salts <= 1:
         return timed.dropDuplicatesWithinWatermark(keys)
-    salted = timed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys)
+    (salt,) = free_names(stream.columns, "_salt")
+    salted = timed.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark([*keys, salt]).drop(salt).dropDuplicatesWithinWatermark(keys)

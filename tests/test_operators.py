@@ -273,7 +273,7 @@ def test_enrich_equals_plain_join(spark, rows, how):
 def test_enrich_condition_without_equality(spark, rows):
     t = spark.createDataFrame([(1,), (5,)], "a int")
     r = spark.createDataFrame([(2,), (6,)], "b int")
-    assert rows(joins.enrich(t, r, F.expr("t.a < r.b"), "inner")) == [(1, 2), (1, 6), (5, 6)]
+    assert rows(joins.enrich(t, r, F.expr("t.a < r.b"), "inner", all_pairs=True)) == [(1, 2), (1, 6), (5, 6)]
     with pytest.raises(ValueError):
         joins.enrich(t, r, "a", "sideways")
 
@@ -369,3 +369,22 @@ def test_rounding_does_not_depend_on_the_width(spark):
     found = [cast_types(values, {"x": f"decimal({p},2)", "t": "int"}).collect() for p in (18, 20, 38)]
     assert [[(str(r.x), r.t) for r in rows] for rows in found[1:]] == [[(str(r.x), r.t) for r in found[0]]] * 2
     assert [r.t for r in found[0]] == [0, 1, -1]
+
+
+def test_conditions_without_equality_are_refused(spark):
+    t, r = spark.range(3).toDF("a"), spark.range(3).toDF("b")
+    with pytest.raises(ValueError, match="enrich_band"):
+        joins.enrich(t, r, F.expr("t.a < r.b"), "inner")
+    assert joins.enrich(t, r, F.expr("t.a = r.b and t.a < 2"), "inner").count() == 2
+
+
+def test_joins_keep_columns_with_helper_names(spark):
+    names = ["_k0", "_spot", "_level", "_cell", "_row"]
+    t = spark.createDataFrame([(1.0, 1, 2, 3, 4, 5), (9.0, 1, 2, 3, 4, 5)], ["v", *names])
+    bands = spark.createDataFrame([(0.0, 2.0, "low"), (0.0, 5.0, "wide")], ["lo", "hi", "band"])
+    joined = joins.enrich_band(t, bands, "v", "lo", "hi", "left")
+    assert sorted((tuple(r[n] for n in names), r["band"] or "") for r in joined.collect()) == [
+        ((1, 2, 3, 4, 5), ""), ((1, 2, 3, 4, 5), "low"), ((1, 2, 3, 4, 5), "wide")
+    ]
+    full = joins.enrich(bands, t, [("lo", "v")], "full")
+    assert [(r["_k0"], r["_row"]) for r in full.filter("v is not null").collect()] == [(1, 5)] * 2

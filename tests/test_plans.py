@@ -219,7 +219,7 @@ def test_keep_none_counts_without_a_window(spark, sf_dir, plan):
     assert "Window" not in text and text.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"object_inventory"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES)))
 def test_no_cross_products_and_no_table_wide_windows(spark, sf_dir, plan, name):
     if name.startswith("stream") or name in ("files_to_silver", "ingest_contract_bronze", "audit_record"):
         pytest.skip("the result is a plain read")

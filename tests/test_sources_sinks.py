@@ -143,7 +143,7 @@ def test_excel_files(spark, sf_dir, tmp_path, rows):
     (tmp_path / "a.xlsx").write_bytes(_workbook(half.iloc[:10]))
     (tmp_path / "b.xlsx").write_bytes(_workbook(half.iloc[10:][list(reversed(half.columns))]))
     (tmp_path / "bad.xlsx").write_bytes(b"not a zip file")
-    read = files.read_file(spark, str(tmp_path), "excel", schema=customer.schema)
+    read = files.read_file(spark, str(tmp_path), "excel", schema=customer.schema, rejects="skip")
     assert rows(read) == rows(spark.createDataFrame(half, customer.schema))
     errors = excel.read_workbooks(spark, str(tmp_path)).filter("error is not null")
     assert [r["path"].rsplit("/", 1)[1] for r in errors.collect()] == ["bad.xlsx"]
@@ -233,3 +233,60 @@ def test_one_output_per_source(spark, tmp_path, rows):
     folders = sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
     assert folders == [f"output=f{i}_processed_20240601_123045.parquet" for i in (0, 1)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_spans_end_at_the_limit_of_the_standard():
+    from siltworks.sources.html import page_rows
+
+    for span in ("3000000", "9" * 5000):
+        ((_, _, _, cells, _),) = page_rows(f'<table><tr><td colspan="{span}">x</td></tr></table>')
+        assert len(cells) == 1000
+    ((_, _, _, cells, _),) = page_rows('<table><tr><td colspan="\u00b2">x</td></tr></table>')
+    assert cells == ["x"]
+
+
+def test_a_workbook_that_breaks_half_way_gives_an_error_and_no_rows():
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from siltworks.registry.scans import _workbook
+    from siltworks.sources.excel import workbook_rows
+
+    whole = _workbook(pd.DataFrame({"a": range(5)}))
+    broken = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(broken, "w") as new:
+        for name in old.namelist():
+            data = old.read(name)
+            new.writestr(name, data[: len(data) * 2 // 3] if "sheet1" in name else data)
+    assert len(list(workbook_rows(whole))) == 5
+    ((_, _, _, error),) = workbook_rows(broken.getvalue())
+    assert "not a readable workbook" in error
+
+
+def test_an_unreadable_workbook_fails_the_job_or_is_left_out(spark):
+    import pandas as pd
+
+    from siltworks.registry.scans import _workbook
+    from siltworks.sources.excel import parse_workbooks, rejected_workbooks, workbook_columns
+
+    good = _workbook(pd.DataFrame({"a": [1, 2]}))
+    books = parse_workbooks(spark.createDataFrame([("good", good), ("bad", good[:50])], "path string, content binary"))
+    schema = T.StructType.fromDDL("a bigint")
+    with pytest.raises(Exception, match="bad"):
+        workbook_columns(books, schema).collect()
+    assert sorted(r["a"] for r in workbook_columns(books, schema, "skip").collect()) == [1, 2]
+    assert [r["path"] for r in rejected_workbooks(books).collect()] == ["bad"]
+
+
+def test_release_deletes_intermediate_tables(spark):
+    import os
+
+    from siltworks.session import materialize, release_scratch, shared_root
+
+    materialize(spark.range(3).toDF("a"), "kept")
+    folder = f"{shared_root(spark)}/siltworks/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(folder)
+    release_scratch(spark)
+    assert not os.path.exists(folder)
