@@ -13,6 +13,10 @@ and joining on contexts. Contexts do not reach across tokens, so a token's score
 is computed once. The deepest context of all is the token itself: its training
 count, less a discount, is mixed with the tree's probability, which gets what
 the discounts free and so scores what training never met.
+Words depend on the language more than on anything a token's own bytes tell, so
+training texts are counted by language as well, each language's discounted counts
+backed by those of all. A text's probability is the sum over the languages of
+their share times their probability of the text: the text alone decides.
 Texts look up their tokens, frequent ones in a table of
 bounded size that travels with the tasks, all others by a join.
 """
@@ -40,19 +44,38 @@ def spelled(token: bytes) -> bytes:
     return token if token == END else token + STOP
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """(token, n): every token of the corpus with its training count, which is 0 where only held-out texts have it."""
+def _with_groups(docs: DataFrame, lang: str | None, most: int) -> tuple[DataFrame, list[float]]:
+    """``docs`` with the number of each row's language as ``part``, and the log10 share of each number in training.
+
+    The commonest languages of the training texts get numbers of their own, all others and unknown ones share the last.
+    """
+    if lang is None:
+        return docs.withColumn("part", F.lit(0)), [0.0]
+    found = docs.filter(~F.col("held_out")).groupBy("lang").count()
+    names = [r.lang for r in found.filter("lang is not null").orderBy(F.desc("count"), "lang").limit(most - 1).collect()]
+    part = F.lit(len(names))
+    for i, name in enumerate(names):
+        part = F.when(F.col("lang").eqNullSafe(name), i).otherwise(part)
+    docs = docs.withColumn("part", part)
+    counts = {r.part: r.n for r in found.select(part.alias("part"), "count").groupBy("part").agg(F.sum("count").alias("n")).collect()}
+    total = sum(counts.values()) + len(names) + 1
+    return docs, [math.log10((counts.get(i, 0) + 1) / total) for i in range(len(names) + 1)]
+
+
+def _vocabulary(docs: DataFrame, parts: int) -> DataFrame:
+    """(token, n, by): every token of the corpus with its training counts, in all and by language; 0 where only held-out texts have it."""
 
     def run(batches: Batches) -> Batches:
-        out = arrow_type("token binary, n long")
-        counts: Counter[bytes] = Counter()
+        out = arrow_type("token binary, part int, n long")
+        by_part: dict[int, Counter[bytes]] = {}
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=out)
+            columns = zip(*((word, part, n) for part, counts in by_part.items() for word, n in counts.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
         for batch in batches:
-            for held, text in zip(batch.column("held_out").to_pylist(), texts_of(batch), strict=True):
-                words = words_of(text)
+            for held, part, text in zip(batch.column("held_out").to_pylist(), batch.column("part").to_pylist(), texts_of(batch), strict=True):
+                counts, words = by_part.setdefault(0 if held else part, Counter()), words_of(text)
                 if held:
                     for word in set(words):
                         counts.setdefault(word, 0)
@@ -60,14 +83,15 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
                 else:
                     counts.update(words)
                     counts[END] += 1
-                if len(counts) > CACHE_ENTRIES:
+                if sum(map(len, by_part.values())) > CACHE_ENTRIES:
                     yield flush()
-                    counts.clear()
-        if counts:
+                    by_part.clear()
+        if by_part:
             yield flush()
 
-    found = scan(docs, {"held_out": "held_out", "text": "text"}, run, "token binary, n long")
-    return found.groupBy("token").agg(F.sum("n").alias("n"))
+    found = scan(docs, {c: c for c in ("held_out", "part", "text")}, run, "token binary, part int, n long")
+    by = [F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)) for i in range(parts)]
+    return found.groupBy("token").agg(F.sum("n").alias("n"), F.array(*by).alias("by"))
 
 
 def grams_of(tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +224,10 @@ def _token_scores(tokens: DataFrame, gram_scores: DataFrame, depth: int, most: i
     head = _head(gram_scores, most).select("gram", "score").toArrow()
     order = np.argsort(head["gram"].to_numpy())
     table = tokens.sparkSession.sparkContext.broadcast((head["gram"].to_numpy()[order], head["score"].to_numpy()[order]))
-    schema = "token binary, n long, score double, rest array<long>"
+    schema = "token binary, n long, by array<long>, score double, rest array<long>"
 
     def run(batches: Batches) -> Batches:
-        out = pa.schema([("token", pa.binary()), ("n", pa.int64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
+        out = pa.schema([("token", pa.binary()), ("n", pa.int64()), ("by", pa.list_(pa.int64())), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
         keys, scores = table.value
         for batch in batches:
             words = batch.column("token").to_pylist()
@@ -216,24 +240,47 @@ def _token_scores(tokens: DataFrame, gram_scores: DataFrame, depth: int, most: i
             rest_owner, rest = owner[~known], key[~known]
             offsets = np.searchsorted(rest_owner, np.arange(len(words) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("token"), batch.column("n"), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest))], schema=out
+                [batch.column("token"), batch.column("n"), batch.column("by").cast(out.field("by").type), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest))], schema=out
             )
 
-    scored = parked(tokens.select("token", "n").mapInArrow(run, schema), "token-heads")
-    done = scored.filter(F.size("rest") == 0).select("token", "n", "score")
+    scored = parked(tokens.select("token", "n", "by").mapInArrow(run, schema), "token-heads")
+    done = scored.filter(F.size("rest") == 0).select("token", "n", "by", "score")
     rest = scored.filter(F.size("rest") > 0).select("token", F.explode("rest").alias("gram"))
     rest = rest.join(gram_scores.select("gram", F.col("score").alias("own")), "gram").groupBy("token").agg(F.sum("own").alias("own"))
-    late = scored.filter(F.size("rest") > 0).join(rest, "token").select("token", "n", (F.col("score") + F.col("own")).alias("score"))
+    late = scored.filter(F.size("rest") > 0).join(rest, "token").select("token", "n", "by", (F.col("score") + F.col("own")).alias("score"))
     return done.unionByName(late)
 
 
+def _discount(once: int, twice: int) -> float:
+    """The estimate of Ney and others; kept off the ends, where a table has no rare tokens."""
+    return min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+
+
+def _language_scores(tokens: DataFrame, parts: int) -> list[Column]:
+    """For each language, log10 of a token's probability from its ``by`` and ``score``: discounted counts, backed by the score for all."""
+    if parts == 1:
+        return [F.col("score")]
+    own = [F.col("by")[i] for i in range(parts)]
+    ask = [F.struct(F.sum(c), *(F.count(F.when(test, 1)) for test in (c > 0, c == 1, c == 2))) for c in own]
+    scores = []
+    for c, row in zip(own, tokens.agg(*ask).first(), strict=True):
+        total, distinct, once, twice = row
+        if not total:  # nothing to learn from
+            scores.append(F.col("score"))
+            continue
+        discount = _discount(once, twice)
+        backed = F.col("score") + math.log10(discount * distinct / total)
+        mixed = F.log10((c - discount) / total + F.pow(F.lit(10.0), backed))
+        scores.append(F.when(c > 0, mixed).otherwise(backed))
+    return scores
+
+
 def _with_counts(trees: DataFrame, tokens: DataFrame, n_train: int, n_distinct: int) -> DataFrame:
     """Tree scores mixed with absolutely discounted counts; probabilities of all tokens still sum to one."""
     if not n_train:
         return trees
     rare = tokens.agg(F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
-    # The estimate of Ney and others; kept off the ends, where a table has no rare tokens.
-    discount = min(0.9, max(0.1, rare.once / max(rare.once + 2 * rare.twice, 1)))
+    discount = _discount(rare.once, rare.twice)
     freed = math.log10(discount * n_distinct / n_train)
     own = (F.col("n") - discount) / n_train
     mixed = F.log10(own + F.pow(F.lit(10.0), F.col("score") + freed))
@@ -248,6 +295,8 @@ def score_texts(
     depth: int = 5,
     head_tokens: int = HEAD_TOKENS,
     head_grams: int = HEAD_GRAMS,
+    lang_col: str | None = None,
+    max_languages: int = 8,
 ) -> DataFrame:
     """Scores of every text under a model of the texts that are not held out.
 
@@ -256,43 +305,49 @@ def score_texts(
     ``score`` the log10 probability by counts and context tree, ``bits_per_byte`` its code
     length by spelled byte. One row per input row; a null or empty text is its
     end alone; repeated rows are learned from as often as they come. Without any
-    training text every decision is even.
+    training text every decision is even. ``lang_col`` names the language of
+    training texts, by which they are counted too: the ``max_languages`` - 1
+    commonest apart, the others and unknown ones together. The language of a
+    text never enters its own score but through what training counted.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth lies between 1 and 6 bytes")
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
-    tokens = parked(_vocabulary(own), "vocabulary")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None)).cast("string").alias("lang"))
+    own, shares = _with_groups(own, lang_col, max_languages)
+    tokens = parked(_vocabulary(own, len(shares)), "vocabulary")
     sums = tokens.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train, n_distinct = sums[0] or 0, sums[1] or 0
-    grams = parked(_grams(tokens, depth), "grams")
+    grams = parked(_grams(tokens.select("token", "n"), depth), "grams")
     gram_scores = parked(_gram_scores(grams, depth), "gram-scores")
     trees = _token_scores(tokens, gram_scores, depth, head_grams)
     token_scores = parked(_with_counts(trees, tokens, n_train, n_distinct), "token-scores")
 
-    head = _head(token_scores, head_tokens).toArrow()
+    languages = _language_scores(token_scores, len(shares))
+    head = _head(token_scores, head_tokens).select("token", "n", *(c.alias(f"score{i}") for i, c in enumerate(languages))).toArrow()
     index = {t: i for i, t in enumerate(head["token"].to_pylist())}
-    table = spark.sparkContext.broadcast((index, head["n"].to_numpy(), head["score"].to_numpy()))
+    matrix = np.column_stack([head[f"score{i}"].to_numpy() for i in range(len(languages))])
+    table = spark.sparkContext.broadcast((index, head["n"].to_numpy(), matrix))
     per_token = math.log10(n_train + n_distinct + 1)
-    partial = "doc_id long, row long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
-    schema = f"{partial}, rest array<struct<token: binary, times: long>>"
+    partial = "doc_id long, row long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double"
+    schema = f"{partial}, scores array<double>, rest array<struct<token: binary, times: long>>"
 
     def run(batches: Batches) -> Batches:
         places, counts, scores = table.value
         logs = np.log10(counts + 1.0)
         kind = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
-        out = pa.schema([*arrow_type(partial), ("rest", kind)])
+        out = pa.schema([*arrow_type(partial), ("scores", pa.list_(pa.float64())), ("rest", kind)])
         for batch in batches:
             rows = []
             for text in texts_of(batch):
                 words = words_of(text)
                 words.append(END)
                 found = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
-                known = found[found >= 0]
+                known, times = np.unique(found[found >= 0], return_counts=True)
                 rest = Counter(words[i] for i in np.flatnonzero(found < 0))
                 rows.append((
-                    sum(map(len, words)) + len(words) - 1, len(words), int((counts[known] > 0).sum()), float(logs[known].sum()),
-                    float(scores[known].sum()), [{"token": t, "times": n} for t, n in rest.items()],
+                    sum(map(len, words)) + len(words) - 1, len(words), int(times[counts[known] > 0].sum()), float(times @ logs[known]),
+                    times @ scores[known], [{"token": t, "times": n} for t, n in rest.items()],
                 ))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -305,10 +360,12 @@ def score_texts(
     rest = rest.join(token_scores, "token").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_base"),
-        F.sum(F.col("times") * F.col("score")).alias("rest_score"),
+        F.array(*(F.sum(F.col("times") * c) for c in languages)).alias("rest_scores"),
     )
     zero = F.lit(0)
-    total = F.col("score") + F.coalesce("rest_score", zero)
+    by_language = [F.col("scores")[i] + F.coalesce(F.col("rest_scores")[i], zero) + share for i, share in enumerate(shares)]
+    most = F.array_max(F.array(*by_language))
+    total = most + F.log10(sum((F.pow(F.lit(10.0), c - most) for c in by_language), F.lit(0.0)))
     return partials.drop("rest").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("rest_known", zero)).alias("n_known"),

@@ -103,7 +103,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_texts(docs, held_out(F.col("doc_id"), 7, 2))
+    return score_texts(docs, held_out(F.col("doc_id"), 7, 2), lang_col="lang")
 
 
 @query()

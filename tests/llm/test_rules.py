@@ -249,6 +249,35 @@ def test_scores_equal_a_plain_tree(spark, heads):
         assert r["score"] == pytest.approx(sum(math.log10(chance[w]) for w in own), rel=1e-6)
 
 
+@pytest.mark.parametrize(("heads", "most"), [(0, 8), (4, 8), (1 << 17, 8), (1 << 17, 2)])
+def test_scores_by_language_equal_a_plain_mixture(spark, heads, most):
+    """Languages beyond the bound and unknown ones count together; a held-out text's own language plays no part."""
+    rows = [(1, "The cat sat", "en"), (2, "the cat ran the", "en"), (3, "die katze sass", "de"), (4, "die katze die", "de"), (5, "el gato", "es"),
+            (6, "the cat die é", "de"), (7, "die katze zebra", None), (8, None, None), (9, "the end", None)]
+    held = {6, 7}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = by_id(score_texts(docs, F.col("doc_id").isin(6, 7), depth=3, head_tokens=heads, head_grams=heads, lang_col="lang", max_languages=most))
+    tokens_of = {i: [*(t or "").encode().lower().split(), b"\t"] for i, t, _ in rows}
+    names = ["de", "en", "es"][: most - 1]
+    part = {i: names.index(g) if g in names else len(names) for i, _, g in rows}
+    train = Counter(w for i in part if i not in held for w in tokens_of[i])
+    tree = plain_model(train, 3, {w for own in tokens_of.values() for w in own})
+
+    def discounted(counts, back):
+        once, twice, n = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()), sum(counts.values())
+        d = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+        return {w: max(counts.get(w, 0) - d, 0) / n + d * len(counts) / n * p for w, p in back.items()}
+
+    overall = discounted(train, {w: 10**s for w, s in tree.items()})
+    parts = range(len(names) + 1)
+    chances = [discounted(Counter(w for i in part if i not in held and part[i] == k for w in tokens_of[i]), overall) for k in parts]
+    members = Counter(part[i] for i in part if i not in held)
+    for i, own in tokens_of.items():
+        chance = sum((members[k] + 1) / (7 + len(parts)) * math.prod(chances[k][w] for w in own) for k in parts)
+        assert found[i]["score"] == pytest.approx(math.log10(chance), rel=1e-6)
+        assert found[i]["n_known"] == sum(w in train for w in own)
+
+
 def test_scores_of_odd_tables(edge_docs, no_docs):
     assert score_texts(no_docs, F.lit(False)).count() == 0
     untrained = by_id(score_texts(edge_docs, F.lit(True)))
