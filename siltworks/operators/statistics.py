@@ -298,18 +298,58 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _hash_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, hash, count): as :func:`value_counts`, but 8 bytes travel for a value of any length."""
+    hashes = df.select(F.explode(F.array(*[
+        F.struct(
+            F.lit(n).alias("column"),
+            F.when(F.col(quoted(n)).isNotNull(), F.xxhash64(F.col(quoted(n)))).alias("hash"),
+        )
+        for n in columns
+    ])).alias("p")).select("p.*")
+    return hashes.filter(F.col("hash").isNotNull()).groupBy("column", "hash").agg(F.count(F.lit(1)).alias("count"))
+
+
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
-    """Most frequent value of each text column; on a tie the smallest."""
+    """Most frequent value of each text column; on a tie the smallest.
+
+    The first pass counts hashes. The values of the one or two most frequent
+    hashes are then counted by value, which also shows a hash that two values
+    share. Only a column with more values on a tie is counted by value in full,
+    and one without any repeated value just gives its smallest.
+    """
     if not columns:
         return {}
-    best = (
-        value_counts(df, columns)
-        .groupBy("column")
-        .agg(F.min(F.struct((-F.col("count")).alias("rank"), F.col("value"))).alias("best"))
-        .select("column", "best.value")
+    tied = _hash_counts(df, columns).groupBy("column", "count").agg(
+        F.count(F.lit(1)).alias("ties"), F.min("hash").alias("low"), F.max("hash").alias("high")
     )
-    found = {r["column"]: r["value"] for r in best.collect()}
-    return {n: found.get(n) for n in columns}
+    best = tied.groupBy("column").agg(F.max(F.struct("count", "ties", "low", "high")).alias("best"))
+    top = {r["column"]: r for r in best.select("column", "best.*").collect()}
+    found: dict[str, str | None] = dict.fromkeys(columns)
+    unique = [n for n, r in top.items() if r["count"] == 1]
+    if unique:
+        row = df.agg(*[F.min(F.col(quoted(n))).alias(f"m{i}") for i, n in enumerate(unique)]).first()
+        found |= {n: row[f"m{i}"] for i, n in enumerate(unique)}
+
+    def counted(candidates: DataFrame, names: list[str]) -> dict[str, tuple[int, str]]:
+        lead = F.min(F.struct((-F.col("count")).alias("rank"), F.col("value"))).alias("best")
+        rows = value_counts(candidates, names).groupBy("column").agg(lead).select("column", "best.*").collect()
+        return {r["column"]: (-r["rank"], r["value"]) for r in rows}
+
+    few = [n for n, r in top.items() if r["count"] > 1 and r["ties"] <= 2]
+    many = [n for n, r in top.items() if r["count"] > 1 and r["ties"] > 2]
+    if few:
+        candidates = df.select(*[
+            F.when(F.xxhash64(F.col(quoted(n))).isin(top[n]["low"], top[n]["high"]), F.col(quoted(n))).alias(n) for n in few
+        ])
+        for n, (count, value) in counted(candidates, few).items():
+            if count == top[n]["count"]:
+                found[n] = value
+            else:  # two values share the hash
+                many.append(n)
+    if many:
+        found |= {n: value for n, (_, value) in counted(df, many).items()}
+    return found
 
 
 def frequent_values(
@@ -329,14 +369,7 @@ def frequent_values(
     def often(counts: DataFrame) -> DataFrame:
         return counts.filter(F.col("count") / F.lit(max(total, 1)) >= share)
 
-    hashes = df.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(n).alias("column"),
-            F.when(F.col(quoted(n)).isNotNull(), F.xxhash64(F.col(quoted(n)))).alias("hash"),
-        )
-        for n in columns
-    ])).alias("p")).select("p.*")
-    per_hash = hashes.filter(F.col("hash").isNotNull()).groupBy("column", "hash").agg(F.count(F.lit(1)).alias("count"))
+    per_hash = _hash_counts(df, columns)
     found: dict[str, list[int]] = {}
     for r in often(per_hash).collect():
         found.setdefault(r["column"], []).append(r["hash"])

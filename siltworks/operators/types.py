@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.dates import parse_local, spark_pattern, wall_time
-from siltworks.functions.dates import shape as date_shape
 from siltworks.functions.names import quoted
 from siltworks.functions.numbers import (
-    NUMBER_SHAPE,
-    WHOLE_SHAPE,
     is_bigint,
     is_number,
     lenient_cast,
     money,
-    spaced,
     spark_type,
     strict,
     text_to_bigint,
     text_to_double,
 )
-from siltworks.functions.text import SPACES, WHITESPACE
 from siltworks.operators import statistics as st
 
 # Date formats tried on text columns, parts of column names that
@@ -40,10 +33,6 @@ DATE_FORMATS = (
 )
 DATE_NAME_PARTS = ("date", "time", "created", "updated")
 NAMED_DATE_FORMAT = "yyyy-MM-dd"
-# How many of the first rows are looked at to rule formats out before the full pass.
-FIRST_ROWS = 200
-FIRST_LENGTH = 100
-NUMBER, WHOLE = "number", "whole number"
 
 
 @dataclass(frozen=True)
@@ -54,28 +43,6 @@ class TextTypes:
     dates: dict[str, str]
 
 
-def _possible(df: DataFrame, names: list[str], formats: tuple[str, ...]) -> dict[str, list[str]]:
-    """The formats of each column that no value of its first rows contradicts.
-
-    One value of another shape rules a format out for the whole column, so the
-    full pass need not try it. What is left proves nothing yet.
-    """
-    short = [F.when(F.length(quoted(n)) <= FIRST_LENGTH, F.col(quoted(n))).alias(n) for n in names]
-    first = df.select(*short).take(FIRST_ROWS)
-    numbers = {NUMBER: spaced(NUMBER_SHAPE), WHOLE: spaced(WHOLE_SHAPE)}
-    shapes = {f: numbers[f] if f in numbers else date_shape(f) for f in formats}
-    # Java's patterns in Python's spelling; where the two differ Python's takes more.
-    python = {WHITESPACE: SPACES, r"\p{L}": r"[^\W\d_]", r"\z": ""}
-    checks = {f: s and re.compile(reduce(lambda t, swap: t.replace(*swap), python.items(), s)) for f, s in shapes.items()}
-    return {
-        n: [
-            f for f, check in checks.items()
-            if check is None or all(row[i] is None or check.fullmatch(row[i]) for row in first)
-        ]
-        for i, n in enumerate(names)
-    }
-
-
 def fit_text_types(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -88,26 +55,29 @@ def fit_text_types(
     fits, and it holds at least one. A column of numbers is never a date.
     """
     names = st.text_columns(df) if columns is None else columns
-    possible = _possible(df, names, (*formats, NUMBER, WHOLE) if numbers else formats) if names else {}
-    open_names = [n for n in names if possible[n]]
-    if not open_names:
+    if not names or not (numbers or formats):
         return TextTypes({}, {})
-    aggregates = []
-    for i, n in enumerate(open_names):
+    classes, aggregates = [], []
+    for i, n in enumerate(names):
         c = F.col(quoted(n))
-        aggregates.append(F.count(c).alias(f"n{i}"))
-        for j, fmt in enumerate(possible[n]):
-            fits = {NUMBER: is_number, WHOLE: is_bigint}.get(fmt, lambda x, f=fmt: wall_time(x, f).isNotNull())
-            aggregates.append(F.count_if(fits(c)).alias(f"t{i}_{j}"))
-    row = df.agg(*aggregates).first()
+        classes.append(c.isNotNull().alias(f"v{i}"))
+        aggregates.append(F.count_if(F.col(f"v{i}")).alias(f"n{i}"))
+        if numbers:
+            # One class a value: 2 for a whole number, 1 for another number, none for other text.
+            classes.append(F.when(is_number(c), F.when(is_bigint(c), 2).otherwise(1)).alias(f"k{i}"))
+            aggregates += [F.count(f"k{i}").alias(f"k{i}"), F.min(f"k{i}").alias(f"least{i}")]
+        for j, fmt in enumerate(formats):
+            classes.append(wall_time(c, fmt).isNotNull().alias(f"t{i}_{j}"))
+            aggregates.append(F.count_if(F.col(f"t{i}_{j}")).alias(f"t{i}_{j}"))
+    row = df.select(*classes).agg(*aggregates).first()
     number_types, date_formats = {}, {}
-    for i, n in enumerate(open_names):
+    for i, n in enumerate(names):
         values = row[f"n{i}"]
         if not values:
             continue
-        fitting = [f for j, f in enumerate(possible[n]) if row[f"t{i}_{j}"] == values]
-        if NUMBER in fitting:
-            number_types[n] = "bigint" if WHOLE in fitting else "double"
+        fitting = [f for j, f in enumerate(formats) if row[f"t{i}_{j}"] == values]
+        if numbers and row[f"k{i}"] == values:
+            number_types[n] = "bigint" if row[f"least{i}"] == 2 else "double"
         elif fitting:
             date_formats[n] = fitting[0]
     return TextTypes(number_types, date_formats)

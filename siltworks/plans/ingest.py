@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from siltworks.contracts.model import Contract
 from siltworks.contracts.validate import accepted, annotate, enforce, rejected
+from siltworks.session import materialize
 from siltworks.sinks.audit import AuditEntry, append_audit
 from siltworks.sinks.files import bronze_name, write_bronze, write_table
 
@@ -44,6 +45,9 @@ def ingest(
         rows, rejects_path = enforce(df, contract, strict), None
     else:
         checked = annotate(df, contract, strict)
+        if mode == "quarantine":
+            # Two outputs: the source is read and checked once, both come from the written copy.
+            checked = materialize(checked, "checked")
         rows, rejects_path = accepted(checked), None
         if mode == "quarantine":
             rejects_path = f"{root.rstrip('/')}/quarantine/{bronze_name(origin, framework, run_time)}.json"

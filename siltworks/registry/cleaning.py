@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from siltworks.operators import categories, columns, nulls, outliers, text, types
@@ -159,6 +161,21 @@ def cast_types(spark, sf_dir):
     })
 
 
+@query("""
+select l_orderkey, l_linenumber, cast(l_extendedprice / 8 as decimal(20,2)) as cents,
+       cast(l_extendedprice / 8 as decimal(38,4)) as fine, l_linenumber as below_half from lineitem
+""")
+def cast_types_wide(spark, sf_dir):
+    """Wide decimals from doubles, many of them on half a cent; text that only its eleventh decimal keeps from rounding up."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        (F.col("l_extendedprice") / 8).alias("cents"),
+        (F.col("l_extendedprice") / 8).alias("fine"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit(".49999999995")).alias("below_half"),
+    )
+    return types.cast_types(lines, {"cents": "DECIMAL(20,2)", "fine": "DECIMAL(38,4)", "below_half": "INTEGER"})
+
+
 @query("""
 select o_orderkey,
        try_strptime(case when o_orderkey % 9 = 0 then 'n/a' else strftime(o_orderdate, '%d/%m/%Y') end, '%d/%m/%Y')
@@ -234,6 +251,28 @@ def map_categories(spark, sf_dir):
     return categories.map_categories(orders, "o_orderpriority", {"1-URGENT": "urgent", "2-HIGH": "it's high"})
 
 
+@query("""
+select o_orderkey, case when year(o_orderdate) = 1995 then strftime(o_orderdate, '%Y-%m-%d')
+       else strftime(o_orderdate, '%Y') end as day from orders
+""")
+def map_categories_large(spark, sf_dir):
+    """A mapping of some four thousand days to their years."""
+    first = date(1990, 1, 1)
+    days = [first + timedelta(days=i) for i in range(365 * 12)]
+    mapping = {f"{d:%Y-%m-%d}": f"{d:%Y}" for d in days if d.year != 1995}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return categories.map_categories(orders, "day", mapping)
+
+
+@query("""
+with kinds as (select p_type as t, count(*) / (select count(*) from part) as share from part group by p_type)
+select p_partkey, case when share < 0.0005 then 'Other' else p_type end as p_type from part join kinds on p_type = t
+""")
+def rare_categories_small_share(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return categories.rare_to_other(parts, ["p_type"], 0.0005)
+
+
 @query("""
 with shares as (select props as p, count(*) / (select count(*) from events) as share from events group by props),
 kinds as (select event_type as t, count(*) / (select count(*) from events) as share from events group by event_type)

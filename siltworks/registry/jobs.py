@@ -136,6 +136,18 @@ def row_index(spark, sf_dir):
     return ops.row_index(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"])
 
 
+@query("""
+select row_number() over (order by o_orderkey) - 1 as index, o_orderkey, o_custkey as _id, o_orderstatus as _tie,
+       o_totalprice as _place from orders
+""")
+def row_index_reserved_names(spark, sf_dir):
+    """Columns named as an operator might name its own."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("_id"), F.col("o_orderstatus").alias("_tie"), F.col("o_totalprice").alias("_place")
+    )
+    return ops.row_index(orders, ["o_orderkey"])
+
+
 @query(f"""
 with d as ({EVENTS_SQL}),
 filled as (

@@ -28,6 +28,17 @@ def dedupe_keep_first(spark, sf_dir):
     return dedupe.dedupe(table(spark, sf_dir, "documents"), ["text"], "keep_first", ["doc_id"])
 
 
+@query("""
+select o_custkey, min(o_orderkey) as _rank, arg_min(o_orderstatus, o_orderkey) as _count from orders group by o_custkey
+""")
+def dedupe_reserved_names(spark, sf_dir):
+    """Columns named as an operator might name its own."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.col("o_orderkey").alias("_rank"), F.col("o_orderstatus").alias("_count")
+    )
+    return dedupe.dedupe(orders, ["o_custkey"], "keep_first", ["_rank"])
+
+
 @query(_ranked("desc"))
 def dedupe_keep_last(spark, sf_dir):
     return dedupe.dedupe(table(spark, sf_dir, "documents"), ["text"], "keep_last", ["doc_id"])

@@ -81,6 +81,36 @@ def test_modes_ties_and_empty(spark):
     assert st.modes(frame, ["x", "y"]) == {"x": "a", "y": None}
 
 
+def test_modes_by_hash_first(spark):
+    """One leader, two and three on a tie, no repeated value, nothing: the smallest of the most frequent."""
+    rows = [("b", "z", "c", "q", None), ("b", "z", "c", "p", None), ("a", "y", "b", "r", None), (None, "y", "b", None, None), ("c", "x", "a", "s", None), ("d", None, "a", "t", None)]
+    frame = spark.createDataFrame(rows, "one string, `two.ties` string, three string, `unique` string, none string")
+    wanted = {"one": "b", "two.ties": "y", "three": "a", "unique": "p", "none": None}
+    assert st.modes(frame, frame.columns) == wanted
+    assert st.modes(frame.limit(0), frame.columns) == dict.fromkeys(frame.columns)
+
+
+def test_modes_where_values_share_a_hash(spark, monkeypatch):
+    """The count by value shows it, and the column is then counted in full."""
+    frame = spark.createDataFrame([(x,) for x in ["aa", "aa", "ab", "ab", "c", "c", "c"]], "x string")
+    monkeypatch.setattr(st.F, "xxhash64", lambda c: st.F.ascii(c).cast("bigint"))
+    assert st.modes(frame, ["x"]) == {"x": "c"}
+
+
+def test_types_are_found_beyond_the_first_rows(spark):
+    """A column is judged by all its values, wherever the odd one stands."""
+    frame = spark.range(2000).select(
+        F.when(F.col("id") == 1999, F.lit("x")).otherwise(F.col("id").cast("string")).alias("late_text"),
+        F.when(F.col("id") == 1999, F.lit("1.5")).otherwise(F.lit(" 7 ")).alias("late_fraction"),
+        F.lit("2024-01-31").alias("day"),
+        F.lit("20240131").alias("compact"),
+    )
+    found = types.fit_text_types(frame, formats=("yyyy-MM-dd", "yyyyMMdd"))
+    assert (found.numbers, found.dates) == ({"late_fraction": "double", "compact": "bigint"}, {"day": "yyyy-MM-dd"})
+    dates = types.fit_text_types(frame, numbers=False, formats=("yyyy-MM-dd", "yyyyMMdd")).dates
+    assert dates == {"day": "yyyy-MM-dd", "compact": "yyyyMMdd"}
+
+
 def test_frequent_values_counts_null_rows(spark):
     data = [("a",)] * 5 + [("b",)] * 2 + [("c",)] + [(None,)] * 2
     frame = spark.createDataFrame(data, "x string")
