@@ -159,6 +159,8 @@ def quality_rules(
     width: float = 2.5,
     least_spread: float = 0.02,
     min_docs: int = 100,
+    free_share: float = 0.03,
+    free_bytes: int = 16,
 ) -> DataFrame:
     """Counts, base rule, fertility and verdict of every document.
 
@@ -168,7 +170,9 @@ def quality_rules(
     ``least_spread`` of the median at least, and more for short texts, whose
     measures scatter more. Languages of under ``min_docs``
     documents, and documents without one, use their script; scripts of as few,
-    all documents. A null or empty text has no words, fails the base rule and is
+    all documents. Up to ``free_share`` of a text's tokens or ``free_bytes`` of
+    them may be single bytes whatever the fences say: a few rare characters in
+    plain prose. A null or empty text has no words, fails the base rule and is
     not kept; repeated rows count as often as they come; a null language is
     unknown. Three-word windows are compared by 64-bit fingerprints.
     """
@@ -192,12 +196,15 @@ def quality_rules(
         )
     fence = F.coalesce("by_lang", "by_script", "by_all")
     scatter = width * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))
+    # Byte tokens are their share of all tokens, which are characters by characters per token.
+    free = (F.col("fallback_share") <= free_share) | (F.col("fallback_share") * F.col("word_chars") <= free_bytes * F.col("chars_per_piece"))
     within = F.lit(True)
     for m in MEASURES:
         if m != "fallback_share":
             within &= F.col(m) >= fence[m]["low"] - scatter * fence[m]["spread"]
         if m != "token_entropy":
-            within &= F.col(m) <= fence[m]["high"] + scatter * fence[m]["spread"]
+            below = F.col(m) <= fence[m]["high"] + scatter * fence[m]["spread"]
+            within &= below | free if m == "fallback_share" else below
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *MEASURES
