@@ -158,7 +158,7 @@ def quality_rules(
     lang_col: str = "lang",
     width: float = 2.5,
     least_spread: float = 0.02,
-    min_docs: int = 100,
+    few_docs: int = 100,
     free_share: float = 0.03,
     free_bytes: int = 16,
 ) -> DataFrame:
@@ -168,33 +168,30 @@ def quality_rules(
     the fences of its language: quartiles of all documents that pass the base
     rule, widened by ``width`` times their distance, which counts as
     ``least_spread`` of the median at least, and more for short texts, whose
-    measures scatter more. Languages of under ``min_docs``
-    documents, and documents without one, use their script; scripts of as few,
-    all documents. Up to ``free_share`` of a text's tokens or ``free_bytes`` of
-    them may be single bytes whatever the fences say: a few rare characters in
-    plain prose. A null or empty text has no words, fails the base rule and is
-    not kept; repeated rows count as often as they come; a null language is
-    unknown. Three-word windows are compared by 64-bit fingerprints.
+    measures scatter more, and for languages of few documents (by the root of 2
+    at ``few_docs``), whose quartiles do. Documents without a language use the
+    fences of all rows of their script. Up to ``free_share`` of a text's tokens
+    or ``free_bytes`` of them may be single bytes whatever the fences say: a few
+    rare characters in plain prose. A null or empty text has no words, fails the
+    base rule and is not kept; repeated rows count as often as they come; a null
+    language is unknown. Three-word windows are compared by 64-bit fingerprints.
     """
     measured = parked(measure(docs, pieces_path, ranks_path, pattern, id_col, text_col, lang_col), "fertility")
-    levels = F.array(
-        F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")), F.lit("all")
-    )
-    passing = measured.filter(~F.col("base_failed")).select(F.explode(levels).alias("band"), *MEASURES).filter("band is not null")
+    levels = F.array(F.struct(F.lit("lang").alias("level"), F.col("lang").alias("band")), F.struct(F.lit("script").alias("level"), F.col("script").alias("band")))
+    passing = measured.filter(~F.col("base_failed")).select(F.inline(levels), *MEASURES).filter("band is not null")
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in MEASURES]
-    bands = passing.groupBy("band").agg(F.count("*").alias("docs"), *quartiles)
-    spread = lambda m: F.greatest(F.col(m)[2] - F.col(m)[0], least_spread * F.abs(F.col(m)[1]), F.lit(1e-3))
+    bands = passing.groupBy("level", "band").agg(F.count("*").alias("docs"), *quartiles)
+    few = F.sqrt(1 + few_docs / F.col("docs"))
+    spread = lambda m: few * F.greatest(F.col(m)[2] - F.col(m)[0], least_spread * F.abs(F.col(m)[1]), F.lit(1e-3))
     sides = [F.struct(F.col(m)[0].alias("low"), F.col(m)[2].alias("high"), spread(m).alias("spread")).alias(m) for m in MEASURES]
-    fences = bands.filter((F.col("docs") >= min_docs) | (F.col("band") == "all")).select("band", F.struct(*sides).alias("fence"))
-    # At most one band for every ``min_docs`` documents: too many for the driver at
-    # scale, so each document meets its bands in plain joins of narrow rows.
+    fences = bands.select("level", "band", F.struct(*sides).alias("fence"))
+    # One band for every language: too many for the driver at scale, so each
+    # document meets its bands in plain joins of narrow rows.
     out = measured
-    for name, level in (("by_lang", 0), ("by_script", 1), ("by_all", 2)):
-        side = fences.select(F.col("band").alias(f"{name}_key"), F.col("fence").alias(name))
-        out = out.join(side, levels[level] == F.col(f"{name}_key"), "left") if level < 2 else out.crossJoin(
-            F.broadcast(fences.filter("band = 'all'").select(F.col("fence").alias(name)).groupBy().agg(F.first(name).alias(name)))
-        )
-    fence = F.coalesce("by_lang", "by_script", "by_all")
+    for level, of in (("lang", F.col("lang")), ("script", F.when(F.col("lang").isNull(), F.col("script")))):
+        side = fences.filter(F.col("level") == level).select(F.col("band").alias(f"{level}_key"), F.col("fence").alias(f"by_{level}"))
+        out = out.join(side, of == F.col(f"{level}_key"), "left")
+    fence = F.coalesce("by_lang", "by_script")
     scatter = width * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))
     # Byte tokens are their share of all tokens, which are characters by characters per token.
     free = (F.col("fallback_share") <= free_share) | (F.col("fallback_share") * F.col("word_chars") <= free_bytes * F.col("chars_per_piece"))

@@ -27,3 +27,9 @@ def test_prose_may_hold_rare_characters(spark):
     rows = texts(ENGLISH, 0, 300, "en") + texts(ENGLISH, 1000, 10, "en", " ☕") + texts(ENGLISH, 2000, 10, "en", " 🦀") + texts(ENGLISH, 3000, 10, "en", " ☕ 🦀")
     found = kept(spark, rows)
     assert all(found[i] for i in found if i >= 1000)
+
+
+def test_languages_of_few_documents_are_not_judged_by_others(spark):
+    rows = texts(ENGLISH, 0, 300, "en") + texts(VIETNAMESE, 1000, 6, "vi") + texts(GREEK, 2000, 1, "el") + texts(GREEK, 3000, 5, None)
+    found = kept(spark, rows)
+    assert all(found[i] for i in found if i >= 1000)
