@@ -26,6 +26,8 @@ MEASURES = ["chars_per_piece", "chars_per_byte_token", "fallback_share", "token_
 SCHEMA = f"doc_id long, lang string, script string, {COUNTS}, {', '.join(m + ' double' for m in MEASURES)}"
 #: Rules apart from the bands: fewest words, and most repeated words in a hundred.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Languages of at least one in so many documents are frequent.
+FREQUENT = 1000
 #: Bytes of text whose new words are measured together.
 SLICE_BYTES = 4 << 20
 
@@ -184,14 +186,22 @@ def quality_rules(
     few = F.sqrt(1 + few_docs / F.col("docs"))
     spread = lambda m: few * F.greatest(F.col(m)[2] - F.col(m)[0], least_spread * F.abs(F.col(m)[1]), F.lit(1e-3))
     sides = [F.struct(F.col(m)[0].alias("low"), F.col(m)[2].alias("high"), spread(m).alias("spread")).alias(m) for m in MEASURES]
-    fences = bands.select("level", "band", F.struct(*sides).alias("fence"))
-    # One band for every language: too many for the driver at scale, so each
-    # document meets its bands in plain joins of narrow rows.
-    out = measured
-    for level, of in (("lang", F.col("lang")), ("script", F.when(F.col("lang").isNull(), F.col("script")))):
-        side = fences.filter(F.col("level") == level).select(F.col("band").alias(f"{level}_key"), F.col("fence").alias(f"by_{level}"))
-        out = out.join(side, of == F.col(f"{level}_key"), "left")
-    fence = F.coalesce("by_lang", "by_script")
+    fences = parked(bands.select("level", "band", "docs", F.struct(*sides).alias("fence")), "fences")
+    # Scripts are few and so are languages of a fixed share of the documents: both travel to
+    # the documents. Rare languages may be any number, but no one of them has many rows.
+    scripts, langs = fences.filter("level = 'script'"), fences.filter("level = 'lang'")
+    least = (scripts.agg(F.sum("docs")).first()[0] or 0) / FREQUENT
+    side = lambda bands, name: bands.select(F.col("band").alias(f"{name}_key"), F.col("fence").alias(name))
+    by_lang, by_script = side(langs.filter(F.col("docs") >= least), "by_lang"), side(scripts, "by_script")
+    met = measured.join(F.broadcast(by_lang), F.col("lang") == F.col("by_lang_key"), "left")
+    met = met.join(F.broadcast(by_script), F.col("lang").isNull() & (F.col("script") == F.col("by_script_key")), "left")
+    columns = [*measured.columns, F.coalesce("by_lang", "by_script").alias("fence")]
+    is_open = ~F.col("base_failed") & F.col("by_lang_key").isNull() & F.col("lang").isNotNull()
+    rare = side(langs.filter(F.col("docs") < least), "by_rare")
+    out = met.filter(~is_open).select(*columns).unionByName(
+        met.filter(is_open).join(rare, F.col("lang") == F.col("by_rare_key"), "left").select(*measured.columns, F.col("by_rare").alias("fence"))
+    )
+    fence = F.col("fence")
     scatter = width * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))
     # Byte tokens are their share of all tokens, which are characters by characters per token.
     free = (F.col("fallback_share") <= free_share) | (F.col("fallback_share") * F.col("word_chars") <= free_bytes * F.col("chars_per_piece"))

@@ -33,3 +33,17 @@ def test_languages_of_few_documents_are_not_judged_by_others(spark):
     rows = texts(ENGLISH, 0, 300, "en") + texts(VIETNAMESE, 1000, 6, "vi") + texts(GREEK, 2000, 1, "el") + texts(GREEK, 3000, 5, None)
     found = kept(spark, rows)
     assert all(found[i] for i in found if i >= 1000)
+
+
+def test_scripts_are_not_shuffled_and_rare_languages_get_the_same_verdicts(spark, monkeypatch):
+    rows = texts(ENGLISH, 0, 120, "en") + texts(VIETNAMESE, 1000, 30, "vi") + texts(GREEK, 2000, 5, None)
+    rows += [(4000 + i, " ".join("".join(random.Random(100 * i + k).choices("#%$&@!x7Q", k=6)) for k in range(120)), "en") for i in range(5)]
+    docs = spark.createDataFrame([*rows, (5000, None, "xx"), (None, "short", None)], SCHEMA)
+    found = rules.quality_rules(docs, *VOCABULARIES)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(script" not in plan and "hashpartitioning(_extract_script" not in plan
+    assert "CartesianProduct" not in plan
+    frequent = sorted((str(r.doc_id), r.kept) for r in found.collect())
+    monkeypatch.setattr(rules, "FREQUENT", 2)  # "vi" has under half of the documents
+    assert sorted((str(r.doc_id), r.kept) for r in rules.quality_rules(docs, *VOCABULARIES).collect()) == frequent
+    assert len(frequent) == len(rows) + 2
