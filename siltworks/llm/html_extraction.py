@@ -4,14 +4,15 @@ The standard library's streaming parser turns a page into lines, one for each
 block of text, with the tags met since the line before. The ratio of text to
 tags, smoothed by a Gaussian over neighbouring lines, is high where prose runs;
 a threshold clusters the lines into content and the rest. Content lines point to
-the part of the page that holds them, whose whole text is the result. Lines of
-navigation, forms, notices and the like take no part.
+the parts of the page that hold them, whose whole text is the result. Lines of navigation, forms and the like take no part, nor do
+elements named like furniture unless they hold most of the page's content lines.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ FURNITURE = frozenset(
     "overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Elements that hold more than this share of the content lines' text hold most of it.
+MOST = 0.5
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -50,6 +53,7 @@ _ENDED_BY_SAME = frozenset(["p", "li", "dt", "dd", "tr", "td", "th", "option"])
 
 
 def is_furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """Whether tag, role or state make an element furniture, whatever it holds."""
     if tag in NOT_CONTENT or tag == "header" and not inside_article:
         return True
     for name, value in attrs:
@@ -57,42 +61,65 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article:
             return True
         if name == "role" and value and value.lower() in NOT_CONTENT_ROLES:
             return True
-        if name in ("class", "id") and value and tag not in ("html", "body", "main"):
-            words = set(_NAME.findall(_CAMEL.sub(" ", value).lower()))
-            if words & FURNITURE and not (tag == "article" and words & {"main", "post", "entry", "story"}):
-                return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def furniture_names(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    """Class names and ids with words of furniture. Layout flags have such words too, so what the element holds decides."""
+    found: set[str] = set()
+    for name, value in attrs:
+        if name in ("class", "id") and value and tag not in ("html", "body", "main"):
+            words = {own: set(_NAME.findall(_CAMEL.sub(" ", own).lower())) for own in value.split()}
+            if not (tag == "article" and any(w & {"main", "post", "entry", "story"} for w in words.values())):
+                found |= {own for own, w in words.items() if w & FURNITURE}
+    return frozenset(found)
+
+
+#: Elements of one tag with the same names of furniture are of one kind.
+Kinds = frozenset[tuple[str, frozenset[str]]]
+Line = tuple[str, int, tuple[int, ...]]
+
+
+def joined(parts: list[tuple[str, Kinds]]) -> str:
+    return _SPACE.sub(" ", "".join([text for text, _ in parts])).strip(" ")
+
+
 class Lines(HTMLParser):
-    """Lines of text outside furniture: text, tags since the line before, and the elements around it."""
+    """Lines of text outside furniture: text, tags since the line before, and the elements around it.
+
+    ``named`` has the parts of lines with text in elements named like furniture, and the kinds of these.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
+        self.named: dict[int, list[tuple[str, Kinds]]] = {}
         self.stack: list[tuple[str, bool, int]] = []  # tag, furniture from here on, id of the element
+        self.kinds: list[tuple[int, Kinds]] = [(0, frozenset())]  # open elements named like furniture, and all kinds so far
         self.open: dict[str, int] = {}
         self.path: list[int] = []  # ids of the open elements that can hold content
         self.articles: set[int] = set()
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, Kinds]] = []
         self.tags = 0
         self.elements = 0
 
     def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
-        self.parts = []
+        text = joined(self.parts)
         if text.strip():
+            if any(kinds for _, kinds in self.parts):
+                self.named[len(self.lines)] = self.parts
             self.lines.append((text, self.tags, tuple(self.path)))
             self.tags = 0
+        self.parts = []
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.kinds[-1][1]))
         if tag in VOID:
             return
         if tag in _ENDED_BY_SAME and self.stack and self.stack[-1][0] == tag:
@@ -104,6 +131,9 @@ class Lines(HTMLParser):
             self.path.append(self.elements)
             if tag in ("article", "main"):
                 self.articles.add(self.elements)
+        names = frozenset() if furniture else furniture_names(tag, attrs)
+        if names:
+            self.kinds.append((self.elements, self.kinds[-1][1] | {(tag, names)}))
         self.stack.append((tag, furniture, self.elements))
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -126,11 +156,13 @@ class Lines(HTMLParser):
         self.open[tag] -= 1
         if self.path and self.path[-1] == element:
             self.path.pop()
+        if self.kinds[-1][0] == element:
+            self.kinds.pop()
         return tag
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
-            self.parts.append(data)
+            self.parts.append((data, self.kinds[-1][1]))
 
 
 def lines_of(html: str) -> Lines:
@@ -156,27 +188,75 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
 
 
-def main_text(html: str, sigma: float = 1.0) -> str:
-    """The blocks of the part of the page that holds its content lines, one to a line."""
-    page = lines_of(html)
-    lines = page.lines
-    if not lines:
-        return ""
+def content_lines(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """The length of every line, and whether it is content."""
     sizes = np.array([len(text) for text, _, _ in lines], float)
     ratios = smoothed(sizes / np.maximum([tags for _, tags, _ in lines], 1), sigma)
-    content = ratios >= min(ratios.std(), ratios.max())
-    # Text of content lines below each element.
+    return sizes, ratios >= min(ratios.std(), ratios.max())
+
+
+def without_furniture(page: Lines, sigma: float) -> list[Line]:
+    """Lines without the texts of elements named like furniture, but for kinds that hold most of the content lines.
+
+    Beside articles with content, a kind whose names are words of furniture and
+    no more, such as ``ad``, is furniture whatever it holds.
+    """
+    if not page.named:
+        return page.lines
+    sizes, content = content_lines(page.lines, sigma)
+    held: dict[tuple[str, frozenset[str]], float] = {}
+    in_articles: list[Kinds] = []
+    for line in np.flatnonzero(content).tolist():
+        is_article = not page.articles.isdisjoint(page.lines[line][2])
+        for text, kinds in page.named.get(line, [("text", frozenset())]):
+            for kind in kinds:
+                held[kind] = held.get(kind, 0) + len(text.strip())
+            if is_article and text.strip():
+                in_articles.append(kinds)
+    names = {kind for kind, size in held.items() if size > MOST * sizes[content].sum()}
+    names = {k for k in names if any(own.lower() not in FURNITURE for own in k[1]) or all(k in kinds for kinds in in_articles)}
+    lines, before = [], 0
+    for line, (text, tags, path) in enumerate(page.lines):
+        if line in page.named:
+            text = joined([part for part in page.named[line] if part[1] <= names])
+        before += tags
+        if text.strip():
+            lines.append((text, before, path))
+            before = 0
+    return lines
+
+
+def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articles: set[int]) -> set[int]:
+    """Elements that hold the content lines."""
+    # Text of content lines below each element, and in articles.
     held: dict[int, float] = {}
-    for (_, _, path), size, is_content in zip(lines, sizes, content, strict=True):
-        for element in path if is_content else ():
+    in_articles = 0.0
+    for (_, _, path), size in zip(compress(lines, content), sizes[content], strict=True):
+        in_articles += 0 if articles.isdisjoint(path) else size
+        for element in path:
             held[element] = held.get(element, 0) + size
-    articles = {a for a in page.articles if held.get(a)}
-    if articles:
-        return "\n".join(text for text, _, path in lines if not articles.isdisjoint(path))
-    most = 0.7 * sizes[content].sum()
-    # The innermost element with most of it; elements are numbered from the outside in.
-    holder = max((e for e, size in held.items() if size >= most), default=None)
-    return "\n".join(text for text, _, path in lines if holder is None or holder in path)
+    total = sizes[content].sum()
+    if in_articles:
+        chosen = {a for a in articles if held.get(a)}
+    else:
+        # The innermost element with most of it; elements are numbered from the outside in.
+        chosen = {max((e for e, size in held.items() if size >= 0.7 * total), default=None)} - {None}
+    return chosen
+
+
+def main_text(html: str, sigma: float = 1.0) -> str:
+    """The blocks of the parts of the page that hold its content lines, one to a line.
+
+    Articles are the parts if they hold any of the content lines' text, else
+    the innermost element with 70 % of it.
+    """
+    page = lines_of(html)
+    lines = without_furniture(page, sigma)
+    if not lines:
+        return ""
+    sizes, content = content_lines(lines, sigma)
+    parts = parts_with(lines, sizes, content, page.articles)
+    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if not parts or not parts.isdisjoint(path))
 
 
 def extract_pages(
