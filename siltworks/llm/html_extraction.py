@@ -236,7 +236,7 @@ def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articl
         for element in path:
             held[element] = held.get(element, 0) + size
     total = sizes[content].sum()
-    if in_articles:
+    if in_articles > MOST * total:
         chosen = {a for a in articles if held.get(a)}
     else:
         # The innermost element with most of it; elements are numbered from the outside in.
@@ -247,8 +247,9 @@ def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articl
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The blocks of the parts of the page that hold its content lines, one to a line.
 
-    Articles are the parts if they hold any of the content lines' text, else
-    the innermost element with 70 % of it.
+    Articles are the parts if they hold most of the content lines' text, else
+    the innermost element with 70 % of it. On pages with
+    articles, content lines beside the parts stay.
     """
     page = lines_of(html)
     lines = without_furniture(page, sigma)
@@ -256,7 +257,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         return ""
     sizes, content = content_lines(lines, sigma)
     parts = parts_with(lines, sizes, content, page.articles)
-    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if not parts or not parts.isdisjoint(path))
+    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if not parts or is_content and page.articles or not parts.isdisjoint(path))
 
 
 def extract_pages(

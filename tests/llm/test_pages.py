@@ -18,6 +18,20 @@ def paragraphs(texts):
     return "".join(f"<p>{t}</p>" for t in texts)
 
 
+def test_teasers_in_articles_do_not_replace_the_story():
+    own = story(10)
+    cards = "".join(f"<article><h3><a href='/{i}'>Teaser {i}</a></h3><p>A short line about it.</p></article>" for i in range(4))
+    for cards_div in (f"<div>{cards}</div>", cards):
+        found = main_text(f"<body><div><h1>Title</h1>{paragraphs(own)}</div>{cards_div}</body>").split("\n")
+        assert found[:11] == ["Title", *own] and len(found) < 15
+
+
+def test_content_beside_an_article_stays():
+    own, more = story(6), story(3, 2)
+    found = main_text(f"<body><article>{paragraphs(own)}</article><div><h2>Part two</h2>{paragraphs(more)}</div></body>").split("\n")
+    assert [line for line in found if line != "Part two"] == own + more
+
+
 @pytest.mark.parametrize(
     "wrapper", ["div class='content with-sidebar'", "div class='no-sidebar'", "section class='post has-comments'", "div class='entry share-enabled'"]
 )
