@@ -4,7 +4,8 @@ The standard library's streaming parser turns a page into lines, one for each
 block of text, with the tags met since the line before. The ratio of text to
 tags, smoothed by a Gaussian over neighbouring lines, is high where prose runs;
 a threshold clusters the lines into content and the rest. Content lines point to
-the parts of the page that hold them, whose whole text is the result. Lines of navigation, forms and the like take no part, nor do
+the parts of the page that hold them, whose whole text is the result; no content
+line is left out. Lines of navigation, forms and the like take no part, nor do
 elements named like furniture unless they hold most of the page's content lines.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from itertools import compress
+from itertools import compress, dropwhile, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -227,7 +228,7 @@ def without_furniture(page: Lines, sigma: float) -> list[Line]:
 
 
 def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articles: set[int]) -> set[int]:
-    """Elements that hold the content lines."""
+    """Elements that hold the content lines; content lines in none of them stand alone."""
     # Text of content lines below each element, and in articles.
     held: dict[int, float] = {}
     in_articles = 0.0
@@ -241,15 +242,24 @@ def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articl
     else:
         # The innermost element with most of it; elements are numbered from the outside in.
         chosen = {max((e for e, size in held.items() if size >= 0.7 * total), default=None)} - {None}
-    return chosen
+    # Content lines beside them: the innermost element around those of a neighbour of a part.
+    above = {e for _, _, path in lines if not chosen.isdisjoint(path) for e in path} - chosen
+    around: dict[int, tuple[int, ...]] = {}
+    for _, _, path in compress(lines, content):
+        if chosen.isdisjoint(path):
+            path = tuple(dropwhile(above.__contains__, path))
+            if path:
+                old = around.get(path[0], path)
+                around[path[0]] = tuple(a for a, b in takewhile(lambda ab: ab[0] == ab[1], zip(old, path, strict=False)))
+    return chosen | {path[-1] for path in around.values()}
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The blocks of the parts of the page that hold its content lines, one to a line.
 
     Articles are the parts if they hold most of the content lines' text, else
-    the innermost element with 70 % of it. On pages with
-    articles, content lines beside the parts stay.
+    the innermost element with 70 % of it. Content lines beside them stay, with
+    the innermost element that holds those of one neighbour.
     """
     page = lines_of(html)
     lines = without_furniture(page, sigma)
@@ -257,7 +267,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         return ""
     sizes, content = content_lines(lines, sigma)
     parts = parts_with(lines, sizes, content, page.articles)
-    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if not parts or is_content and page.articles or not parts.isdisjoint(path))
+    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if is_content or not parts.isdisjoint(path))
 
 
 def extract_pages(

@@ -32,6 +32,13 @@ def test_content_beside_an_article_stays():
     assert [line for line in found if line != "Part two"] == own + more
 
 
+def test_content_beside_the_largest_element_stays():
+    lead, own, more = story(1, 3)[0], story(9), story(3, 2)
+    found = main_text(f"<body><div><h1>The title of it all</h1><p>{lead}</p><div class='body'>{paragraphs(own)}</div></div></body>").split("\n")
+    assert found == ["The title of it all", lead, *own]
+    assert main_text(f"<body><div>{paragraphs(own)}</div><div>{paragraphs(more)}</div></body>").split("\n") == own + more
+
+
 @pytest.mark.parametrize(
     "wrapper", ["div class='content with-sidebar'", "div class='no-sidebar'", "section class='post has-comments'", "div class='entry share-enabled'"]
 )
