@@ -135,12 +135,14 @@ def matches(texts: list[bytes], hashes: WordHashes, templates: Templates, contai
                 span = (share, int(places[0]) - start, int(places[-1] - places[0]) + min(SHINGLE, len(own[text])))
                 old = best.get((int(text), g, t), (0.0, 0, 0, 0))
                 best[int(text), g, t] = (*(span if share > old[0] else old[:3]), old[3] + 1)
+    # Notices that differ in a version or a clause all match: the one that explains most of the text stays.
+    found: dict[int, list[tuple[int, float, int, int]]] = {}
+    for (text, g, t), (share, start, n_words, _) in best.items():
+        found.setdefault(text, []).append((round(share * len(templates.groups[g].shingles[t])), share, start, n_words))
     out = []
     for (text, g, t), (share, start, n_words, windows) in sorted(best.items()):
-        # Notices that differ in a version only all match: the better one of its size stays.
-        others = range(len(templates.groups[g].names))
-        rivals = [best[text, g, u] for u in others if u != t and (text, g, u) in best]
-        if not any(v[0] > share and v[1] < start + n_words and start < v[1] + v[2] for v in rivals):
+        own = (round(share * len(templates.groups[g].shingles[t])), share)
+        if not any(v[:2] > own and v[2] < start + n_words and start < v[2] + v[3] for v in found[text]):
             out.append((text, templates.groups[g].names[t], share, start, n_words, windows))
     return out
 
@@ -159,8 +161,8 @@ def license_scan(
     shingles in one window; a template of under five words is one shingle. An
     occurrence inside one window is retrieved with probability ``certainty`` at
     least; verification is exact. Words are compared in lower case without
-    punctuation at their ends. Of overlapping matches of templates of one size
-    group the one of highest containment stays, all of them if equal. The best
+    punctuation at their ends. Of overlapping matches the one with most shingles in the text stays, of equals the one of
+    highest containment, all of them if equal in both. The best
     window's matching words are reported, the earliest of equals, and the number
     of windows that match. Null and empty texts have no licenses; repeated rows
     give repeated matches. The templates are few and travel with the job; texts
