@@ -48,14 +48,15 @@ class RankCodec:
         return np.fromiter((m.start() for m in self.pattern.finditer(text)), np.int64)
 
     def encode(self, pretokens: Iterable[str]) -> np.ndarray:
-        known, encode = self.known, self.encoding.encode_ordinary
+        # By the ranks alone: the library's pattern gives up on a million spaces.
+        known, encode = self.known, self.encoding._encode_single_piece
         if len(known) > CACHE_ENTRIES:
             known.clear()
         ids: list[int] = []
         for piece in pretokens:
             own = known.get(piece)
             if own is None:
-                own = encode(piece)
+                own = encode(piece.encode())
                 if len(piece) <= 64:
                     known[piece] = own
             ids += own
@@ -113,7 +114,8 @@ def byte_bpe(
     One row per input row, repeated rows and repeated ids included. Null and
     empty texts have no ids; their digests are those of no bytes. Only texts
     longer than a chunk are shuffled, chunk by chunk, so that one long text
-    occupies many tasks; the chunks of one row meet again to be stitched.
+    occupies many tasks; the chunks of one row meet again to be stitched. No run
+    of one character is too long.
     """
 
     def whole(batches: Batches) -> Batches:

@@ -32,6 +32,8 @@ BATCH_TOKENS = 3_000_000
 #: Bits of a sequence id that number the sequences of one task.
 TASK_BITS = 36
 
+#: Texts as long as this go to ``tokenizers``; its white-space pattern has no limit to its depth.
+LONG_CHARS = 500_000
 # Letters on which the libraries' versions of Unicode cannot differ.
 _BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
@@ -43,35 +45,48 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def fast_encoding(made: dict):
+    """tiktoken's encoder for a byte-level ``tokenizers`` file, given as parsed JSON; None if its merges are not its vocabulary in order."""
+    import public_tokenizers
+    import tiktoken
+
+    alphabet = byte_alphabet()
+    added = {t["content"]: t["id"] for t in made["added_tokens"]}
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in made["added_tokens"])
+    before = made["pre_tokenizer"] or {}
+    if made["normalizer"] or not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+        return None
+    vocabulary = made["model"]["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
+    merged = [vocabulary.get(a + b, -1) for a, b in merges]
+    single = max((i for t, i in vocabulary.items() if len(t) == 1), default=-1)
+    own = {t for t in vocabulary if len(t) > 1 and t not in added}
+    if any(b <= a for a, b in zip([single, *merged], merged, strict=False)) or own != {a + b for a, b in merges}:
+        return None
+    ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in vocabulary.items() if t not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def is_plain(text: str) -> bool:
+    """Whether tiktoken and ``tokenizers`` cannot differ: no letters beyond the Latin blocks, nor as long as tiktoken's pattern may fail on (a million spaces)."""
+    return len(text) < LONG_CHARS and not _BEYOND_LATIN.search(text)
+
+
 class IdsOfTexts:
     """Texts to ids by a byte-level ``tokenizers`` file.
 
-    The merges of such a file are its vocabulary in order, so tiktoken's loop,
+    Where the merges of the file are its vocabulary in order, tiktoken's loop,
     which is several times faster, gives the same ids. Texts with letters beyond
-    the Latin blocks, where the libraries' versions of Unicode could differ, and
-    files of another make are encoded by ``tokenizers`` itself.
+    the Latin blocks, where the libraries' versions of Unicode could differ, very
+    long texts and files of another make are encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         self.tokenizer = json_tokenizer(path)
-        self.fast = self._fast(json.loads(self.tokenizer.to_str()))
-
-    @staticmethod
-    def _fast(made: dict):
-        import public_tokenizers
-        import tiktoken
-
-        alphabet = byte_alphabet()
-        added = {t["content"]: t["id"] for t in made["added_tokens"]}
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in made["added_tokens"])
-        before = made["pre_tokenizer"] or {}
-        if made["normalizer"] or not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
-            return None
-        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in made["model"]["vocab"].items() if t not in added}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.fast = fast_encoding(json.loads(self.tokenizer.to_str()))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or _BEYOND_LATIN.search(text):
+        if self.fast is None or not is_plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode(text, allowed_special="all"), "<u4")
 
@@ -174,7 +189,8 @@ def pack_documents(
     Every text, null counting as empty, becomes its ids and ``end_id``; each id
     lies in one piece. Repeated rows are packed as often as they come. Tasks pack
     what they have scanned, in batches of bounded tokens, without a shuffle; ids
-    of sequences and groups begin with the number of the task.
+    of sequences and groups begin with the number of the task. No run of one
+    character is too long.
     """
     sizes = sorted(contexts, reverse=True)
     if not sizes or any(c < 1 or c & (c - 1) for c in sizes):

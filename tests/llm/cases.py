@@ -26,6 +26,7 @@ EDGE_TEXTS = [
     (17, "the end\n\n  spaced   out \n"),
     (18, "word"),
     (19, "WORD"),
+    (20, " " * 1_000_000 + "x"),
 ]
 
 

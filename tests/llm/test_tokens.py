@@ -1,6 +1,7 @@
 """Token counts, byte BPE and packing against the libraries themselves."""
 
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from siltworks.llm.byte_bpe import UNSURE_STARTS, RankCodec, byte_bpe, stitched
-from siltworks.llm.packing import IdsOfTexts, pack, pack_documents, step_groups
+from siltworks.llm.packing import IdsOfTexts, fast_encoding, pack, pack_documents, step_groups
 from siltworks.llm.token_counts import by_bytes, token_counts
 
 @pytest.fixture(scope="module")
@@ -55,7 +56,7 @@ def test_batches_by_bytes():
 
 
 @pytest.mark.parametrize("chunk", [50, 24_000])
-def test_byte_bpe_equals_the_library(edge_docs, documents, codec, chunk):
+def test_byte_bpe_equals_the_library(edge_docs, documents, codec, bytes_json, chunk):
     small = documents.filter("doc_id < 60")
     for docs, texts in ((edge_docs, EDGE_TEXTS), (small, [(r.doc_id, r.text) for r in small.collect()])):
         if chunk == 50:
@@ -63,7 +64,7 @@ def test_byte_bpe_equals_the_library(edge_docs, documents, codec, chunk):
         found = by_id(byte_bpe(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk_chars=chunk, overlap_chars=12))
         assert len(found) == len(dict(texts))
         for doc_id, text in texts:
-            ids = np.array(codec.encoding.encode_ordinary(text or ""), "<u4")
+            ids = np.array(codec.encoding.encode_ordinary(text or "") if doc_id != 20 else bytes_json.encode(text).ids, "<u4")
             row = found[doc_id]
             assert row["n_tokens"] == len(ids)
             assert row["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
@@ -148,3 +149,36 @@ def test_the_rank_file_is_the_vocabulary_of_the_json(codec, bytes_json):
     text = "The 3 quick brown foxes' dens — naïve?\n\n  Done."
     assert isinstance(codec.encoding, tiktoken.Encoding)
     assert codec.encode(codec.pretokens(text)).tolist() == bytes_json.encode(text).ids
+
+
+RUNS = {
+    "spaces": " " * 1_000_000,
+    "line feeds": "\n" * 1_000_000,
+    "mixed": " \n\t" * 333_334 + "end",
+    "no-break spaces": "\xa0" * 1_000_000,
+    "one letter": "a" * 1_000_000,
+    "one digit": "x" + "1" * 1_000_000,
+    "over the ends of chunks": "ab" * 12_000 + " " * 1_000_000 + "x",
+}
+
+
+def test_runs_of_a_million_characters(spark, bytes_json):
+    docs = spark.createDataFrame(list(enumerate(RUNS.values())), "doc_id long, text string").repartition(4)
+    encoded = by_id(byte_bpe(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    packed = defaultdict(list)
+    for r in pack_documents(docs, P.path("byte_bpe_50k.json")).collect():
+        packed[r.doc_id].append(r)
+    for i, text in enumerate(RUNS.values()):
+        ids = np.array(bytes_json.encode(text, add_special_tokens=False).ids, "<u4")
+        assert encoded[i]["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert encoded[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        ids = np.append(ids, np.uint32(0)).astype("<u4")
+        assert sum(r.length for r in packed[i]) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in packed[i])
+
+
+def test_merges_in_another_order_are_left_to_the_library(bytes_json):
+    made = json.loads(bytes_json.to_str())
+    assert fast_encoding(made) is not None
+    made["model"]["merges"][:2] = made["model"]["merges"][1::-1]
+    assert fast_encoding(made) is None
