@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from siltworks.llm.byte_bpe import byte_bpe
 from siltworks.llm.common import held_out
 from siltworks.llm.embedding_dedup import near_duplicate_vectors
+from siltworks.llm.hard_negatives import hard_negatives
 from siltworks.llm.html_extraction import extract_pages
 from siltworks.llm.language_id import fit_language_model, language_id
 from siltworks.llm.license_scan import license_scan
 from siltworks.llm.license_texts import LICENSE_TEXTS
+from siltworks.llm.line_dedup import dedup_lines
 from siltworks.llm.lm_scoring import score_texts
 from siltworks.llm.ngram_join import ngram_components
 from siltworks.llm.packing import pack_documents
 from siltworks.llm.quality_rules import quality_rules
+from siltworks.llm.token_alignment import align_tokenizers
 from siltworks.llm.token_counts import token_counts
 from siltworks.registry.base import Query, table
 
@@ -143,6 +146,60 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query(r"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+pairs as (
+  select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same,
+         cast(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) as bigint) as score
+  from rows a join rows r on a.vec_id <> r.vec_id and len(a.v) = len(r.v) where a.vec_id % 100 = 0
+),
+positives as (select * from pairs where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same
+  where 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
+@query(r"""
+with lines as (
+  select doc_id, i, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+    from documents
+  )
+),
+firsts as (select key, min(doc_id) as first from lines where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+judged as (select l.doc_id, l.i, l.line, coalesce(f.first < l.doc_id, false) as dropped from lines l left join firsts f on f.key = l.key)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not dropped), '')) as kept_sha256
+from judged group by doc_id
+""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

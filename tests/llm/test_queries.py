@@ -13,7 +13,7 @@ from siltworks.llm.queries import ORACLES, QUERIES
 
 def test_every_operator_is_registered_once():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry_points.queries().keys() >= QUERIES.keys() and "pipeline" in QUERIES
 
 
