@@ -1,30 +1,33 @@
-"""Folders of files to silver, all files of one shape in one job."""
+"""Folders of mixed files to silver, a constant number of jobs for any number of files."""
 
 from __future__ import annotations
 
-import posixpath
+import hashlib
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.names import quoted
+from siltworks.functions.names import free_names, quoted
 from siltworks.operators.columns import Processor, add_metadata, row_index, run_all
 from siltworks.operators.dedupe import distinct_rows
-from siltworks.sinks.files import processed_name, write_per_source
-from siltworks.sources.files import UnsupportedFormat, detect_format, extension, read_file
-from siltworks.sources.inventory import object_inventory
-
-REPORT_SCHEMA = "path string, rows bigint, output string, error string"
+from siltworks.plans.landing import JOB_ERRORS, Reader, Shape, UnsupportedFormat, file_id, inventory, known_format, land
+from siltworks.session import materialize
+from siltworks.sinks.files import PROCESSED_STAMP, write_table
+
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = (
+    "run string, path string, length bigint, modified timestamp, fingerprint string, rows bigint, output string, written bigint, error string"
+)
 SOURCE_PATH, SOURCE_FILE = "source_path", "source_file"
-JOB_ERRORS = (PySparkException, Py4JJavaError)
-CORRUPT = "_corrupt_record"
+# Ids of files are as many hexadecimal digits.
+ID_DIGITS = 32
 
 
 @dataclass(frozen=True)
@@ -44,15 +47,6 @@ class RunReport:
         )
 
 
-@dataclass(frozen=True)
-class _Group:
-    """Files that one read understands: a glob below the source, or a list of paths."""
-
-    paths: str | list[str]
-    file_format: str
-    glob: str | None = None
-
-
 def files_to_silver(
     spark: SparkSession,
     source: str,
@@ -64,192 +58,178 @@ def files_to_silver(
     schema: T.StructType | None = None,
     run_time: datetime | None = None,
     index_by: list[str] | None = None,
+    only_new: bool = False,
     **options,
 ) -> RunReport:
     """Read, process, stamp, deduplicate within each file, write one folder per file.
 
-    A file that cannot be read or processed, or whose format is unknown, is
-    reported and the rest go on, whatever the error; no file is ever written in
-    part. Workbooks are reported as unsupported. ``index_by`` numbers the rows
-    of each file from 0 in that order.
+    Every file keeps its own columns and types, found from the file itself
+    (CSV, JSON, Parquet, .xlsx) or given by ``schema``. The files of a fingerprint
+    are one job. A file that cannot be read or processed, or whose format is
+    unknown, is reported and the rest go on; files without a byte are not listed.
+    ``index_by`` numbers the rows of each
+    file from 0 in that order. The columns ``source_path`` and ``source_file`` say where
+    a row comes from; where the data has columns of these names, theirs are kept and
+    the new ones get a longer name.
+
+    A folder ``output=<path below the source>_processed_<run time>.<format>`` is
+    complete if the manifest, a table of one row per file in ``_manifest`` below the
+    destination, names it without an error: its rows are appended last.
+    ``only_new`` leaves out files that the manifest has, unchanged and without an error.
     """
     start = datetime.now()
     run_time = run_time or start
-    chain = list(processors)
-    inventory = object_inventory(spark, source, suffix)
-    endings = F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ending")
-    reports = [spark.createDataFrame([], REPORT_SCHEMA)]
-    for ending in sorted(r["ending"] for r in inventory.select(endings).distinct().collect()):
-        files = inventory.filter(F.regexp_extract("path", r"(\.[^./]*)$", 1) == ending).select("path")
+    files = inventory(spark, source, suffix)
+    if only_new:
+        done = manifest(spark, destination).filter("error is null").select("path", "length", "modified").distinct()
+        files = files.join(done, ["path", "length", "modified"], "left_anti")
+    files = materialize(files, "waiting-files")
+    chain, outcomes = list(processors), []
+    endings = files.groupBy("ending").agg(F.min("modified").alias("oldest")).orderBy("ending").collect()
+    for ending, oldest in endings:
+        own = files.filter(F.col("ending") == ending)
+        # The listing then leaves older files out.
+        since = (oldest - timedelta(seconds=2)).strftime("%Y-%m-%dT%H:%M:%S") if only_new else None
+        glob = f"*{suffix}" if suffix.lower().endswith(ending) and ending else f"*{_either_case(ending)}"
         try:
-            known = detect_format(f"x{ending}") if file_format in (None, "auto") else file_format
-            if known == "excel":
-                raise UnsupportedFormat("workbooks have no file column: read them with read_excel")
-            glob = f"*{suffix}" if suffix.endswith(ending) else f"*{ending}"
-            for group in _groups(spark, source, glob, known, schema, options):
-                reports.append(_run(group, files, spark, destination, output_format, chain, schema, run_time, index_by, options))
+            known = known_format(ending, file_format)
+            if known == "excel" and ending != ".xlsx":
+                raise UnsupportedFormat(f"workbooks of the format {ending!r} cannot be read")
+            landing = land(Reader(spark, source, glob, ending, own, schema, options, since), known)
         except (UnsupportedFormat, *JOB_ERRORS) as error:
-            reports.append(_failed(files, str(error)))
-    return RunReport(reduce(DataFrame.unionByName, reports), start, datetime.now())
-
-
-def _failed(files: DataFrame, message: str) -> DataFrame:
-    empty = {"rows": F.lit(None).cast("bigint"), "output": F.lit(None).cast("string")}
-    return files.withColumns({**empty, "error": F.lit(message.split("\n")[0])}).select("path", "rows", "output", "error")
-
-
-def _groups(spark, source, glob, file_format, schema, options) -> list[_Group]:
-    """CSV files are told apart by their header line; the others merge their schemas."""
-    everything = _Group(source, file_format, glob)
-    if file_format != "csv" or schema is not None:
-        return [everything]
-    # The header is the first line of the first block, so later blocks are skipped.
-    lines = (
-        spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob)
-        .text(source)
-        .withColumns({
-            "path": F.col("_metadata.file_path"),
-            "block": F.col("_metadata.file_block_start"),
-            "line": F.monotonically_increasing_id(),
-        })
-        .filter(F.col("block") == 0)
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    titles = [r["header"] for r in first.select("header").distinct().collect()]
-    if len(titles) <= 1:
-        return [everything]
-    members: dict[str, list[str]] = {}
-    for r in first.toLocalIterator():
-        members.setdefault(r["header"], []).append(r["path"])
-    return [_Group(sorted(members[t]), file_format) for t in sorted(members)]
-
-
-def _read(spark, group: _Group, schema, options) -> DataFrame:
-    settings = dict(options)
-    if group.glob:
-        settings |= {"recursiveFileLookup": True, "pathGlobFilter": group.glob}
-    if group.file_format in ("csv", "json"):
-        settings.setdefault("mode", "FAILFAST")
-    if group.file_format == "parquet":
-        settings.setdefault("mergeSchema", True)
-    if group.file_format == "json" and "lines" not in settings:
-        first = group.glob or group.paths[0]
-        settings["lines"] = extension(first.replace("*", "x")) == ".jsonl"
-    return read_file(spark, group.paths, group.file_format, schema, **settings)
-
-
-def _processed(df: DataFrame, chain: list[Processor]) -> DataFrame:
-    """Run the custom processors and add where each row came from.
-
-    The file is a hidden column of the read, so processors see only the data.
-    Past a processor that regroups rows it can no longer be found; then it is
-    added first.
-    """
-    origin = {SOURCE_PATH: F.col("_metadata.file_path"), SOURCE_FILE: F.col("_metadata.file_name")}
-    try:
-        return run_all(df, chain).withColumns(origin)
-    except AnalysisException:
-        return run_all(df.withColumns(origin), chain)
-
-
-def _write(df, destination, output_format, chain, run_time, index_by) -> None:
-    rows = distinct_rows(add_metadata(_processed(df, chain), run_time))
-    if index_by:
-        rows = row_index(rows, index_by, within=[SOURCE_PATH])
-    write_per_source(rows, destination, SOURCE_FILE, run_time, output_format)
-
-
-def _run(group, files, spark, destination, output_format, chain, schema, run_time, index_by, options) -> DataFrame:
-    try:
-        df = _read(spark, group, schema, options)
-        _write(df, destination, output_format, chain, run_time, index_by)
-        return _report(df, files, group, run_time, output_format)
-    except Exception as error:  # a processor may raise anything
-        paths = group.paths if isinstance(group.paths, list) else [r["path"] for r in files.toLocalIterator()]
-        bad = _unreadable(spark, group.file_format, paths, schema, options)
-        if not bad and len(paths) <= 1:
-            return _failed(_paths(spark, paths), str(error) or type(error).__name__)
-    if not bad:
-        # Every file reads alone: a value that a processor refuses, or types that do not go together.
-        middle = len(paths) // 2
-        halves = [
-            _run(_Group(part, group.file_format), files, spark, destination, output_format, chain, schema, run_time, index_by, options)
-            for part in (paths[:middle], paths[middle:])
-        ]
-        return reduce(DataFrame.unionByName, halves)
-    good = [p for p in paths if p not in bad]
-    failed = reduce(DataFrame.unionByName, [_failed(_paths(spark, [p]), m) for p, m in sorted(bad.items())])
-    if not good:
-        return failed
-    left = _Group(good, group.file_format)
-    return failed.unionByName(
-        _run(left, _paths(spark, good), spark, destination, output_format, chain, schema, run_time, index_by, options)
-    )
-
-
-def _paths(spark, paths: list[str]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in paths], "path string")
-
-
-def _unreadable(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
-    """The files that fail to read, with the reason. Runs only after a failure."""
-    if file_format in ("csv", "json"):
-        bad = _malformed(spark, file_format, paths, schema, options)
-        if bad:
-            return bad
-    return _halved(spark, file_format, paths, schema, options)
-
-
-def _malformed(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
-    """Text files with a record that does not parse, found in one job."""
-    lenient = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    group = _Group(paths, file_format)
-    try:
-        expected = schema or _read(spark, group, None, lenient).schema
-        fields = [f for f in expected.fields if f.name != CORRUPT]
-        full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-        rows = _read(spark, group, full, lenient)
-        # The hash keeps every column in the read: a record is judged by all of them.
-        judged = rows.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col(CORRUPT).isNotNull().alias("bad"),
-            F.xxhash64(*[F.col(quoted(f.name)) for f in fields]).alias("row"),
-        )
-        found = judged.groupBy("path").agg(F.max("bad").alias("bad"), F.max("row")).filter("bad").collect()
-        return {r["path"]: "malformed record" for r in found}
-    except JOB_ERRORS:
-        return {}
-
-
-def _halved(spark, file_format, paths: list[str], schema, options) -> dict[str, str]:
-    try:
-        _read(spark, _Group(paths, file_format), schema, options).write.format("noop").mode("overwrite").save()
-        return {}
-    except JOB_ERRORS as error:
-        if len(paths) == 1:
-            return {paths[0]: str(error).split("\n")[0]}
-    middle = len(paths) // 2
-    return {
-        **_halved(spark, file_format, paths[:middle], schema, options),
-        **_halved(spark, file_format, paths[middle:], schema, options),
-    }
-
-
-def _report(df: DataFrame, files: DataFrame, group: _Group, run_time, output_format) -> DataFrame:
-    """(path, rows, output, error) with the rows read from each file of the group."""
-    counts = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
-    listed = files if group.glob else _paths(files.sparkSession, group.paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    joined = listed.join(counts, F.col("path") == F.col("_path"), "left")
-    return joined.select(
-        "path",
-        F.coalesce("_rows", F.lit(0)).alias("rows"),
-        processed_name(name, run_time, output_format).alias("output"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
-
-def output_name(path: str, run_time: datetime, output_format: str) -> str:
-    """Name of the folder that :func:`files_to_silver` writes for a file."""
-    stem = posixpath.splitext(posixpath.basename(path))[0]
-    return f"{stem}_processed_{run_time:%Y%m%d_%H%M%S}.{output_format}"
+            outcomes.append(_all_failed(own, str(error)))
+            continue
+        catalogue = materialize(landing.catalogue, "catalogue")
+        unreadable = catalogue.filter(F.col("fingerprint").isNull() | F.col("reason").isNotNull())
+        outcomes.append(unreadable.select("file", "fingerprint", "rows", F.lit(None).cast("string").alias("output"), F.coalesce("reason", F.lit("unreadable")).alias("error")))
+        for name, shape in landing.shapes.items():
+            listed = own.join(catalogue.filter(F.col("fingerprint") == name), "file").withColumn("output", output_of(F.col("relative"), run_time, output_format))
+            job = _Job(shape, destination, output_format, chain, run_time, index_by)
+            outcomes += job.run(listed, 0, 16**ID_DIGITS)
+    run = uuid.uuid4().hex
+    _publish(spark, files, outcomes, destination, output_format, run)
+    report = manifest(spark, destination).filter(F.col("run") == run).select("path", "rows", "output", "error")
+    return RunReport(report, start, datetime.now())
+
+
+def manifest(spark: SparkSession, destination: str) -> DataFrame:
+    """What all runs made of all files; empty before the first."""
+    path = f"{destination.rstrip('/')}/{MANIFEST}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+
+
+def published(spark: SparkSession, destination: str) -> DataFrame:
+    """(path, output, rows, written) of every complete output, the latest of each source file."""
+    done = manifest(spark, destination).filter("error is null")
+    latest = F.max(F.struct("output", "rows", "written")).alias("last")
+    return done.groupBy("path").agg(latest).select("path", "last.*")
+
+
+def _either_case(ending: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ending)
+
+
+def _all_failed(files: DataFrame, message: str) -> DataFrame:
+    none = F.lit(None)
+    reason = F.lit(message.split("\n")[0])
+    return files.select("file", none.cast("string").alias("fingerprint"), none.cast("bigint").alias("rows"), none.cast("string").alias("output"), reason.alias("error"))
+
+
+def _publish(spark, files, outcomes, destination, output_format, run) -> None:
+    """Append a manifest row for every file. Written rows come from what the written files say of themselves."""
+    empty = spark.createDataFrame([], "file string, fingerprint string, rows bigint, output string, error string")
+    found = reduce(DataFrame.unionByName, outcomes, empty)
+    counts = spark.createDataFrame([], "counted string, written bigint")
+    target = f"{destination.rstrip('/')}/output=*"
+    good = found.filter("error is null")
+    if output_format == "parquet" and not good.isEmpty():
+        written = spark.read.option("basePath", destination).schema("output string").parquet(target)
+        counts = written.groupBy(F.col("output").alias("counted")).agg(F.count("*").alias("written"))
+    rows = files.join(found, "file").join(counts, F.col("output") == F.col("counted"), "left")
+    written = F.when(F.col("error").isNull() & F.lit(output_format == "parquet"), F.coalesce("written", F.lit(0)))
+    rows = rows.withColumns({"run": F.lit(run), "written": written})
+    rows.select(*T._parse_datatype_string(MANIFEST_SCHEMA).names).write.mode("append").parquet(f"{destination.rstrip('/')}/{MANIFEST}")
+
+
+@dataclass(frozen=True)
+class _Job:
+    """The files of one fingerprint, read, processed and written together."""
+
+    shape: Shape
+    destination: str
+    output_format: str
+    chain: list[Processor]
+    run_time: datetime
+    index_by: list[str] | None
+
+    def run(self, files: DataFrame, low: int, high: int) -> list[DataFrame]:
+        """Outcomes of the files whose ids lie in [low, high).
+
+        Usually one job. If a processor refuses a value, which no one can tell
+        the file of, the range is halved until the files that fail stand alone.
+        """
+        end = [F.col("file") < f"{high:0{ID_DIGITS}x}"] if high < 16**ID_DIGITS else []
+        own = files.filter(reduce(Column.__and__, end, F.col("file") >= f"{low:0{ID_DIGITS}x}"))
+        try:
+            self._write(own)
+            return [own.select("file", "fingerprint", "rows", "output", F.lit(None).cast("string").alias("error"))]
+        except Exception as error:  # a processor may raise anything
+            if own.limit(2).count() <= 1:
+                return [_all_failed(own, str(error) or type(error).__name__)]
+        middle = (low + high) // 2
+        return self.run(files, low, middle) + self.run(files, middle, high)
+
+    def _write(self, files: DataFrame) -> None:
+        rows, file = self._processed(files)
+        taken = rows.columns
+        path, name, output = free_names([c for c in taken if c != file], SOURCE_PATH, SOURCE_FILE, "output")
+        own = files.select(F.col("file").alias("_file_key"), F.col("path").alias(path), F.element_at(F.split("path", "/"), -1).alias(name), F.col("output").alias(output))
+        named = rows.join(own, F.col(quoted(file)) == F.col("_file_key")).drop("_file_key", file)
+        made = distinct_rows(add_metadata(named, self.run_time))
+        if self.index_by:
+            made = row_index(made, self.index_by, within=[path])
+        if output != "output":
+            made = made.withColumnsRenamed({"output": f"{output}_data", output: "output"})
+        # Rows of a file come together, and a file much larger than the others is still split.
+        write_table(made.hint("rebalance", F.col("output")), self.destination, self.output_format, "append", ["output"])
+
+    def _processed(self, files: DataFrame) -> tuple[DataFrame, str]:
+        """The processed rows, and the name of the column that has their file.
+
+        The file is a hidden column of the read, so processors see only the data.
+        Past a processor that regroups rows it can no longer be found; then it is
+        added first.
+        """
+        if self.shape.staged:
+            df, wanted = self.shape.read(), files.select(F.col("file").alias("wanted"))
+            # A join by a condition keeps the hidden column, one by a name does not.
+            df = df.join(wanted, F.col("file") == F.col("wanted"), "left_semi")
+            data = df.drop("file")
+            hidden = F.regexp_extract("_metadata.file_path", "file=([^/]*)", 1)
+        else:
+            data = self.shape.read(files)
+            df, hidden = None, file_id()
+        (file,) = free_names(data.columns, "_file")
+        try:
+            return run_all(data, self.chain).withColumn(file, hidden), file
+        except AnalysisException:
+            df = df.withColumnRenamed("file", file) if df is not None else data.withColumn(file, hidden)
+            return run_all(df, self.chain), file
+
+
+def output_of(relative: Column, run_time: datetime, output_format: str) -> Column:
+    """Name of the output of a file: its path below the source, ending included, run time and format."""
+    flat = F.replace(relative, F.lit("/"), F.lit("--"))
+    # A name that holds the mark itself gets a hash, so that no two files share an output.
+    name = F.when(relative.contains("--"), F.concat(flat, F.lit("-"), F.substring(F.md5(relative), 1, 8))).otherwise(flat)
+    return F.concat(name, F.lit(f"_processed_{run_time.strftime(PROCESSED_STAMP)}.{output_format}"))
+
+
+def output_name(relative: str, run_time: datetime, output_format: str) -> str:
+    """As :func:`output_of`, for one path below the source."""
+    flat = relative.replace("/", "--")
+    name = f"{flat}-{hashlib.md5(relative.encode()).hexdigest()[:8]}" if "--" in relative else flat
+    return f"{name}_processed_{run_time.strftime(PROCESSED_STAMP)}.{output_format}"

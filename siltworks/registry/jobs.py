@@ -295,6 +295,54 @@ def files_to_silver(spark, sf_dir):
     return read_parquet(spark, target).select("kind", "key", "name", "amount", "ingestion_timestamp")
 
 
+@query("""
+with kept(source, key, value, kind) as (
+  select 'a.csv', cast(c_custkey as varchar), cast(c_nationkey as varchar), 'int' from customer where c_custkey % 2 = 0
+  union all select 'b.csv', cast(c_custkey as varchar), c_mktsegment, 'string' from customer where c_custkey % 2 = 1
+  union all select 'a.json', cast(s_suppkey as varchar), cast(s_acctbal as varchar), 'double' from supplier
+  union all select 'p.parquet', cast(p_partkey as varchar), p_name, 'string' from part)
+select source, key, case when kind = 'double' then cast(cast(value as double) as varchar) else value end as value, kind, source = 'p.parquet' as own_path
+from kept
+union all select 'torn.csv', null, null, 'malformed record', false
+""")
+def files_to_silver_shapes(spark, sf_dir):
+    """One folder: two CSV files of other types, a stem with two endings, Parquet with a column ``source_path``, a torn file."""
+    source, target, key = scratch_path(spark, "shapes"), scratch_path(spark, "silver"), F.col("c_custkey")
+    customer, named = table(spark, sf_dir, "customer"), {}
+    landed = {
+        "a.csv": (customer.filter(key % 2 == 0).select(key.alias("key"), F.col("c_nationkey").alias("value")), "csv"),
+        "b.csv": (customer.filter(key % 2 == 1).select(key.alias("key"), F.col("c_mktsegment").alias("value")), "csv"),
+        "a.json": (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").cast("double").alias("value")), "json"),
+        "p.parquet": (table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"), F.lit("its own").alias("source_path")), "parquet"),
+        "torn.csv": (spark.createDataFrame([("1,2",), ("3",)], "`key,value` string"), "lines"),
+    }
+    for name, (df, kind) in landed.items():
+        # A folder for each file: Spark chooses the names of the files themselves.
+        named[name] = f"{source}/{name.replace('.', '_')}"
+        if kind == "lines":
+            write_table(df.coalesce(1), named[name], "csv", sep="|", quote="")
+        else:
+            write_table(df, named[name], kind)
+    report = files_plan.files_to_silver(spark, source, target, run_time=RUN_TIME).files
+    stem = F.element_at(F.split("path", "/"), -2).alias("folder")
+    results, names = [], {v.rsplit("/", 1)[1]: k for k, v in named.items()}
+    outputs: dict[str, list[str]] = {}
+    for r in report.filter("error is null and rows > 0").select(stem, "output").collect():
+        outputs.setdefault(r["folder"], []).append(f"{target}/output={r['output']}")
+    for folder, own in outputs.items():
+        df = read_parquet(spark, own)
+        kind = dict(df.dtypes)["value"]
+        results.append(df.select(
+            F.lit(names[folder]).alias("source"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+            F.lit(kind).alias("kind"), (F.col("source_path") == "its own").alias("own_path"),
+        ))
+    none = F.lit(None).cast("string")
+    failed = report.filter(F.col("error").isNotNull() & F.col("path").contains("torn")).select(
+        F.lit("torn.csv").alias("source"), none.alias("key"), none.alias("value"), F.col("error").alias("kind"), F.lit(False).alias("own_path")
+    ).distinct()
+    return reduce(DataFrame.unionByName, results).unionByName(failed)
+
+
 # --------------------------------------------------------------------------
 # Streams
 

@@ -11,7 +11,7 @@ from siltworks.contracts.catalog import SALE_CSV
 from siltworks.operators import categories, columns, dedupe, joins, quality
 from siltworks.operators.nulls import fill_zero_unknown
 from siltworks.plans.clean_table import CleaningStats, apply_cleaning, clean_table, fit_cleaning
-from siltworks.plans.files_to_silver import files_to_silver, output_name
+from siltworks.plans.files_to_silver import files_to_silver, manifest, output_name, published
 from siltworks.plans.ingest import ingest
 from siltworks.registry import QUERIES
 from siltworks.sinks.audit import read_audit
@@ -116,7 +116,7 @@ def test_files_of_several_shapes(spark, tmp_path, rows):
     assert report.totals().collect() == [(4, 7, 1)]
     read = lambda name: read_parquet(spark, f"{target}/output={output_name(name, RUN_TIME, 'parquet')}")
     assert rows(read("a.csv").select("x", "y")) == [(1, "a"), (2, "Unknown")]
-    assert rows(read("b.csv").select("z", "x")) == [(9, 5)]
+    assert rows(read("deep/b.csv").select("z", "x")) == [(9, 5)]
     assert rows(read("d.jsonl").select("x", "ingestion_timestamp")) == [(10, RUN_TIME)]
 
 
@@ -151,6 +151,111 @@ def test_files_numbered_and_regrouped(spark, tmp_path, rows):
     assert read_parquet(spark, str(tmp_path / "d")).count() == 3
 
 
+def _jobs(spark, work):
+    """Spark jobs that a call takes."""
+    group = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        result = work()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _by_name(report):
+    return {r["path"].rsplit("/", 1)[1]: r for r in report.files.collect()}
+
+
+def test_every_file_keeps_its_columns_and_types(spark, tmp_path, rows):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    _put(source / "a.csv", "x,when,flag\n1,2024-01-02,true\n2,2024-01-03 04:05:06,false\n")
+    _put(source / "b.csv", "x,when,flag\nabc,,\n")
+    _put(source / "a.jsonl", '{"y": 1.5, "x": {"z": [1, 2]}}\n{"y": 2, "s": "t"}\n')
+    _put(source / "sub" / "a.csv", 'x,X,\n9999999999,"q, \\"r\\"",1e3\n')
+    _put(source / "doc.json", '[{"k": 1}, {"k": "two"}]')
+    _put(source / "lines.json", '{"k": 1}\n{"k": 2}\n')
+    _put(source / "pretty.json", '{\n "k": 1,\n "l": [\n2]}\n')
+    _put(source / "blank.csv", "\n \n")
+    _put(source / "titles.csv", "p,q\n")
+    _put(source / "short.csv", "p,q\n1,2\n3\n")
+    spark.createDataFrame([(1, "mine", "theirs")], "x long, source_path string, output string").coalesce(1).write.parquet(str(source / "p"))
+    report = files_to_silver(spark, str(source), target, run_time=RUN_TIME)
+    found = report.files.filter("error is null").collect()
+    outputs = {r["path"].split("/in/")[1]: r["output"] for r in found}
+    (parquet,) = [k for k in outputs if k.startswith("p/")]
+    read = {k: read_parquet(spark, f"{target}/output={v}") for k, v in outputs.items() if k not in ("titles.csv", parquet)}
+    data = lambda k: {n: t for n, t in read[k].dtypes if n not in ("source_path", "source_file", "ingestion_timestamp")}
+    assert data("a.csv") == {"x": "int", "when": "timestamp", "flag": "boolean"}
+    assert data("b.csv") == {"x": "string", "when": "string", "flag": "string"}
+    assert data("a.jsonl") == {"s": "string", "x": "struct<z:array<bigint>>", "y": "double"}
+    assert data("sub/a.csv") == {"x0": "bigint", "X1": "string", "_c2": "double"}
+    assert rows(read["sub/a.csv"].select("x0", "X1", "_c2")) == [(9999999999, 'q, "r"', 1000.0)]
+    assert rows(read["doc.json"].select("k")) == [("1",), ("two",)]
+    assert rows(read["lines.json"].select("k")) == [(1,), (2,)] and rows(read["pretty.json"].select("k", "l")) == [(1, [2])]
+    assert outputs["sub/a.csv"].startswith("sub--a.csv_processed_")
+    own = read_parquet(spark, f"{target}/output_={outputs[parquet]}") if (tmp_path / "out" / f"output_={outputs[parquet]}").exists() else read_parquet(spark, f"{target}/output={outputs[parquet]}")
+    (row,) = own.collect()
+    assert row["source_path"] == "mine" and row["source_path_"].endswith(".parquet") and "theirs" in row.asDict().values()
+    errors = {k: r["error"] for k, r in _by_name(report).items() if r["error"]}
+    assert {k: v for k, v in errors.items() if k.endswith(".csv")} == {"blank.csv": "no columns to read", "short.csv": "malformed record"}
+    assert {r["path"].split("/in/")[1]: (r["rows"], r["written"]) for r in published(spark, target).collect()}["a.csv"] == (2, 2)
+
+
+def test_workbooks_and_csv_of_one_folder(spark, tmp_path):
+    import pandas as pd
+    from siltworks.registry.scans import _workbook
+
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "w.xlsx").write_bytes(_workbook(pd.DataFrame({"id": [1, 2], "name": ["one", "two"]})))
+    (source / "torn.xlsx").write_bytes(b"PK not a workbook")
+    _put(source / "w.csv", "id,name\n1,one\n")
+    report = _by_name(files_to_silver(spark, str(source), target, run_time=RUN_TIME))
+    assert (report["w.xlsx"]["rows"], report["w.csv"]["rows"]) == (2, 1) and "not a readable workbook" in report["torn.xlsx"]["error"]
+    kept = read_parquet(spark, f"{target}/output={report['w.xlsx']['output']}")
+    assert dict(kept.dtypes)["id"] == "int" and {r["name"] for r in kept.collect()} == {"one", "two"}
+
+
+def test_jobs_do_not_grow_with_bad_files(spark, tmp_path):
+    counts = []
+    for n in (6, 120):
+        source = tmp_path / f"in{n}"
+        for i in range(n):
+            _put(source / f"f{i:04d}.csv", f"x,y\n{i},2\n" + ("3\n" if i % 2 else ""))
+        work = lambda s=source, n=n: files_to_silver(spark, str(s), str(tmp_path / f"out{n}"), run_time=RUN_TIME)
+        report, jobs = _jobs(spark, work)
+        assert report.totals().collect() == [(n // 2, n // 2, n // 2)]
+        counts.append(jobs)
+    # Beyond 32 folders Spark lists them in jobs of its own.
+    assert counts[1] <= counts[0] + 10
+
+
+def test_a_processor_that_fails_on_one_file(spark, tmp_path):
+    source = tmp_path / "in"
+    for i in range(6):
+        _put(source / f"f{i}.csv", f"x\n{i}\n")
+    refuse = lambda df: df.withColumn("y", F.when(F.col("x") == 3, F.raise_error(F.lit("three"))).otherwise(F.lit("ok")))
+    report = files_to_silver(spark, str(source), str(tmp_path / "out"), processors=[refuse], run_time=RUN_TIME)
+    assert {k for k, r in _by_name(report).items() if r["error"]} == {"f3.csv"}
+    assert read_parquet(spark, str(tmp_path / "out")).count() == 5
+
+
+def test_only_new_and_failed_files_are_read_again(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    _put(source / "a.csv", "x\n1\n")
+    _put(source / "b.csv", "x,y\n1\n")
+    take = lambda minute: set(_by_name(files_to_silver(spark, str(source), target, run_time=RUN_TIME.replace(minute=minute), only_new=True)))
+    assert take(1) == {"a.csv", "b.csv"}
+    _put(source / "c.csv", "x\n7\n")
+    assert take(2) == {"b.csv", "c.csv"}
+    _put(source / "b.csv", "x,y\n1,2\n")
+    _put(source / "a.csv", "x\n1\n2\n")
+    assert take(3) == {"a.csv", "b.csv"}
+    assert take(4) == set()
+    assert manifest(spark, target).count() == 6
+    assert {r["path"].rsplit("/", 1)[1]: r["rows"] for r in published(spark, target).collect()} == {"a.csv": 2, "b.csv": 1, "c.csv": 1}
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     report = files_to_silver(spark, str(tmp_path / "in"), str(tmp_path / "out"), ".csv")
