@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.functions.names import free_names
 from siltworks.llm.common import parked
 from siltworks.llm.language_id import fit_language_model, keep_accepted
 from siltworks.llm.ngram_join import ngram_components
@@ -21,35 +22,66 @@ from siltworks.registry.base import table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``, a null id included."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for every row, and that column's name; ids may be missing or come twice."""
+    (key,) = free_names(docs.columns, "row_key")
+    return parked(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-documents"), key
+
+
+def _only(keyed: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose number is the first column of ``kept``, without the number."""
+    kept = kept.select(F.col(kept.columns[0]).alias("kept_key"))
+    return keyed.join(kept, keyed[key] == kept["kept_key"], "left_semi").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep the base rule and the bands of token fertility."""
+    """Documents that keep the base rule and the bands of token fertility.
+
+    Every row is judged by its own text, whatever its id: rows without an id and
+    rows of one id stay or go one by one. Null and empty texts have too few
+    words and go. An empty table stays empty.
+    """
+    keyed, key = _keyed(docs)
     verdicts = quality_rules(
-        docs,
+        keyed,
         public_tokenizers.path("piece_bpe_32k.model"),
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
+        id_col=key,
     )
-    return _only(docs, verdicts.filter("kept"))
+    return _only(keyed, key, verdicts.filter("kept"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, by a model of the labelled ones among them."""
+    """Documents with a language, by a model of the labelled ones among them.
+
+    Every row is judged by its own text, whatever its id. Texts that are null or
+    hold no letter have no language and go. An empty table stays empty.
+    """
     return keep_accepted(docs, fit_language_model(docs, F.lit(True)))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of similar ones. Rows without an id stay."""
-    return _only(docs, ngram_components(docs).filter(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    """One row of each component of similar texts: that of the smallest id, the earliest of several.
+
+    Rows are compared, not ids: of exact copies that share an id, or have none, one
+    row stays. A row without an id stays only if no row of its component has one.
+    Null and empty texts are similar to nothing and all stay.
+    """
+    keyed, key = _keyed(docs)
+    components = ngram_components(keyed, id_col=key).select(F.col("doc_id").alias("own_key"), "component_id")
+    rows = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    chosen = rows.join(components, F.col("row") == F.col("own_key")).groupBy("component_id").agg(first.alias("first"))
+    return _only(keyed, key, chosen.select("first.row"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of up to 1024 tokens."""
+    """Pieces of the remaining documents in sequences of up to 1024 tokens.
+
+    Every row is packed, rows of one id or without an id one by one; a null or
+    empty text is its end token alone.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
