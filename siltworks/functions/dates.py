@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -73,21 +74,46 @@ def shape(pattern: str) -> str | None:
     return "".join(parts)
 
 
+def fixed_form(pattern: str) -> tuple[int, dict[int, str]] | None:
+    """Length of every text of the pattern and the characters that stand between its digits, by place from 1; None if that varies."""
+    found = shape(pattern)
+    parts = re.findall(r"\\d\{(\d+)(,\d+)?\}|(\\p)|\[AaPp\](\[)|\\?(.)", found or "", re.DOTALL)
+    if not found or any(upto or letters or half for _, upto, letters, half, _ in parts):
+        return None
+    place, marks = 0, {}
+    for digits, _, _, _, mark in parts:
+        place += int(digits or 1)
+        if mark:
+            marks[place] = mark
+    return (place, marks) if all(m.isascii() for m in marks.values()) else None
+
+
+def may_fit(c: Column, pattern: str) -> Column:
+    """A cheap test that every text of the pattern passes: its length and the marks between its digits."""
+    form = fixed_form(pattern)
+    if form is None:
+        return F.lit(True)
+    length, marks = form
+    tests = [F.octet_length(c) == length] + [F.substring(c, place, 1) == mark for place, mark in marks.items()]
+    return reduce(Column.__and__, tests)
+
+
 _ISO = re.compile(r"yyyy-MM?-dd?(( |'T')HH?:mm(:ss(\.S{1,6})?)?)?")
 
 
 def wall_time(c: Column, pattern: str) -> Column:
     """Text of a pattern as ``timestamp_ntz``; other text is null.
 
-    Text of another shape is turned away by a regular expression, as the parser
-    refuses it by way of an exception. ISO text is left to the plain cast.
+    Text of another shape is turned away by its length and marks, then by a
+    regular expression, as the parser refuses it by way of an exception. ISO
+    text is left to the plain cast.
     """
     if _ISO.fullmatch(pattern):
         parsed = c.try_cast("timestamp_ntz")
     else:
         parsed = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
     expected = shape(pattern)
-    return F.when(c.rlike(rf"^{expected}\z"), parsed) if expected else parsed
+    return F.when(may_fit(c, pattern) & c.rlike(rf"^{expected}\z"), parsed) if expected else parsed
 
 
 def parse_local(c: Column, fmt: str, zone: str = "UTC", instant: bool = False) -> Column:

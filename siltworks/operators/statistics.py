@@ -352,6 +352,13 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     return found
 
 
+def frequent_table(df: DataFrame, columns: list[str], share: float) -> DataFrame:
+    """(column, value) of the values that hold at least ``share`` of all rows, as a table of at most 1 / share rows a column."""
+    total = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    often = F.col("count") / F.lit(max(total, 1)) >= share
+    return value_counts(df, columns).filter(often).select("column", "value")
+
+
 def frequent_values(
     df: DataFrame, columns: list[str], share: float, rows: int | None = None
 ) -> dict[str, list[str]]:

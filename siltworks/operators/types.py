@@ -11,10 +11,9 @@ from pyspark.sql import types as T
 from siltworks.functions.dates import parse_local, spark_pattern, wall_time
 from siltworks.functions.names import quoted
 from siltworks.functions.numbers import (
-    is_bigint,
-    is_number,
     lenient_cast,
     money,
+    number_class,
     spark_type,
     strict,
     text_to_bigint,
@@ -57,29 +56,23 @@ def fit_text_types(
     names = st.text_columns(df) if columns is None else columns
     if not names or not (numbers or formats):
         return TextTypes({}, {})
-    classes, aggregates = [], []
-    for i, n in enumerate(names):
-        c = F.col(quoted(n))
-        classes.append(c.isNotNull().alias(f"v{i}"))
-        aggregates.append(F.count_if(F.col(f"v{i}")).alias(f"n{i}"))
-        if numbers:
-            # One class a value: 2 for a whole number, 1 for another number, none for other text.
-            classes.append(F.when(is_number(c), F.when(is_bigint(c), 2).otherwise(1)).alias(f"k{i}"))
-            aggregates += [F.count(f"k{i}").alias(f"k{i}"), F.min(f"k{i}").alias(f"least{i}")]
-        for j, fmt in enumerate(formats):
-            classes.append(wall_time(c, fmt).isNotNull().alias(f"t{i}_{j}"))
-            aggregates.append(F.count_if(F.col(f"t{i}_{j}")).alias(f"t{i}_{j}"))
-    row = df.select(*classes).agg(*aggregates).first()
+    # One row a value, so that the tests stand in the plan once: a plan with the tests of all
+    # columns is too long to be compiled, and would make each value anew for every test.
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.col(quoted(n)).alias("c")) for i, n in enumerate(names)])))
+    c = F.col("c")
+    classes = [F.col("place"), (number_class(c) if numbers else F.lit(None)).alias("number")]
+    classes += [wall_time(c, fmt).isNotNull().alias(f"t{j}") for j, fmt in enumerate(formats)]
+    aggregates = [F.count(F.lit(1)).alias("values"), F.count("number").alias("numbers"), F.min("number").alias("least")]
+    aggregates += [F.count_if(F.col(f"t{j}")).alias(f"t{j}") for j in range(len(formats))]
     number_types, date_formats = {}, {}
-    for i, n in enumerate(names):
-        values = row[f"n{i}"]
-        if not values:
-            continue
-        fitting = [f for j, f in enumerate(formats) if row[f"t{i}_{j}"] == values]
-        if numbers and row[f"k{i}"] == values:
-            number_types[n] = "bigint" if row[f"least{i}"] == 2 else "double"
+    found = values.filter(c.isNotNull()).select(*classes).groupBy("place").agg(*aggregates).collect()
+    for row in sorted(found, key=lambda r: r["place"]):
+        name = names[row["place"]]
+        fitting = [f for j, f in enumerate(formats) if row[f"t{j}"] == row["values"]]
+        if numbers and row["numbers"] == row["values"]:
+            number_types[name] = "bigint" if row["least"] == 2 else "double"
         elif fitting:
-            date_formats[n] = fitting[0]
+            date_formats[name] = fitting[0]
     return TextTypes(number_types, date_formats)
 
 

@@ -246,12 +246,44 @@ def test_clean_text_keeps_null(spark):
     assert [r["t"] for r in text.clean_text(frame).collect()] == ["olá mundo", None]
 
 
-@pytest.mark.parametrize("size", [3, 200])
-def test_map_categories(spark, size):
-    mapping = {f"old{i}": f"new'{i}" for i in range(size)}
-    frame = spark.createDataFrame([("old0",), ("old2",), ("kept",), (None,)], "c string")
-    found = [r["c"] for r in categories.map_categories(frame, "c", mapping).collect()]
-    assert sorted(found, key=repr) == sorted(["new'0", "new'2", "kept", None], key=repr)
+@pytest.mark.parametrize("size", [3, 5000])
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_map_categories(spark, monkeypatch, size, limit):
+    """Broadcast or joined by a shuffle, which is the same to the result."""
+    monkeypatch.setattr(categories, "BROADCAST_BYTES", limit)
+    mapping = {f"old{i}": f"new'{i}" for i in range(size)} | {"gone": None}
+    values = ["old0", "old2", "kept", None, "gone", None, None]
+    frame = spark.createDataFrame([(v, 1, 2) for v in values], "c string, _key int, _spread int")
+    found = categories.map_categories(frame, "c", mapping)
+    assert found.columns == frame.columns
+    assert sorted([r["c"] for r in found.collect()], key=repr) == sorted(["new'0", "new'2", "kept", *[None] * 4], key=repr)
+
+
+def test_map_categories_gives_text_for_any_mapping(spark):
+    numbers = spark.range(3)
+    for mapping, expected in (({}, ["0", "1", "2"]), ({1: "one"}, ["0", "2", "one"])):
+        found = categories.map_categories(numbers, "id", mapping)
+        assert found.dtypes == [("id", "string")] and sorted(r["id"] for r in found.collect()) == expected
+
+
+def test_cheap_tests_let_every_number_and_date_through(spark):
+    from siltworks.functions.dates import fixed_form, may_fit, shape
+    from siltworks.functions.numbers import NUMBER_SHAPE, WHOLE_SHAPE, may_be_number, number_class, spaced, text_to_bigint
+    from siltworks.operators.types import DATE_FORMATS
+
+    texts = ["1", " 12 ", "-3.5", "+4e5", ".5", "5.", "nan", "+Inf", "-infinity", "\t7\n", "\xa08", "\u30009", "9" * 18, "9" * 19, "9" * 25, " 9223372036854775807",
+             "1d", "x1", "", " ", "-", "e5", "1 2", "2024-01-02", "2024-01-02 03:04:05", "2024-01-02T03:04:05", "2024/01/02", "2024-01-02 03:04:05.123456",
+             "2024-13-02", "24-1-2", "2024-01-0a", "١٢٣", None]
+    df, c = spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")
+    number = c.rlike(spaced(NUMBER_SHAPE))
+    plain = F.when(number, F.when(c.rlike(spaced(WHOLE_SHAPE)) & text_to_bigint(c).isNotNull(), 2).otherwise(1))
+    assert df.filter(~plain.eqNullSafe(number_class(c))).count() == 0
+    assert df.filter(number & ~may_be_number(c)).count() == 0
+    for fmt in DATE_FORMATS:
+        assert df.filter(c.rlike(rf"^{shape(fmt)}\z") & ~may_fit(c, fmt)).count() == 0
+        assert df.filter(may_fit(c, fmt)).count() < 4
+    assert fixed_form("yyyy-MM-dd HH:mm") == (16, {5: "-", 8: "-", 11: " ", 14: ":"})
+    assert fixed_form("d/M/yyyy") is None and fixed_form("dd MMM yyyy") is None and fixed_form("hh:mm a") is None
 
 
 @pytest.mark.parametrize("share", [0.2, 0.0005])

@@ -334,9 +334,11 @@ def test_no_cross_products_and_no_table_wide_windows(spark, sf_dir, plan, name):
     assert "Exchange SinglePartition" not in text or "Window" not in text
 
 
-def test_rare_values_need_no_join(spark, sf_dir, plan):
-    text = plan(categories.rare_to_other(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    assert "Join" not in text and "Exchange" not in text
+def test_values_are_looked_up_without_a_shuffle_of_the_rows(spark, sf_dir, plan):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for found in (categories.rare_to_other(events), categories.map_categories(events, "event_type", {"a": "b"})):
+        text = plan(found)
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
 
 
 def test_orphan_count_joins_counted_keys(spark, plan):
