@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,13 @@ def made_once(key: tuple, make: Callable):
     return store[key]
 
 
+def for_scan(scan_id: str) -> None:
+    """Let go of the tools of other scans: workers outlive operators, and memory is short with two of them."""
+    home = sys.modules.setdefault("siltworks_worker", types.ModuleType("siltworks_worker"))
+    if home.__dict__.get("scan_id") != scan_id:
+        home.__dict__.update(scan_id=scan_id, made={})
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task, as idle workers would keep it."""
     pa.default_memory_pool().release_unused()
@@ -52,8 +60,10 @@ def scan(df: DataFrame, columns: dict[str, str], function: Callable[[Batches], B
     reach Python, so their names cannot clash.
     """
     picked = df.select(*[df[source].alias(name) for name, source in columns.items()])
+    scan_id = uuid.uuid4().hex
 
     def in_slices(batches: Batches) -> Batches:
+        for_scan(scan_id)
         yield from function(batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
         give_back()
 
