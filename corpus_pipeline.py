@@ -7,6 +7,7 @@ effect: all but the last return rows of ``documents`` as they are.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,23 @@ ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written with a number for every row, and that column's name; ids may be missing or come twice."""
-    (key,) = free_names(docs.columns, "row_key")
-    return parked(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-documents"), key
+    """``docs`` with a number for every row, and that column's name; ids may be missing or come twice.
+
+    A row's number is made of its file's and its place in the file, which no
+    later scan changes however it is split; what is no read of files is written first.
+    """
+    key, file, place, path, number = free_names(docs.columns, "row_key", "_file", "_place", "_path", "_number")
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("path")).distinct()
+    except AnalysisException:
+        docs = parked(docs, "numbered-documents")
+        files = docs.select(F.col("_metadata.file_path").alias("path")).distinct()
+    # As many as the listing of the read holds already.
+    numbers = [(path, n) for n, path in enumerate(sorted(r["path"] for r in files.collect()))]
+    named = docs.sparkSession.createDataFrame(numbers, f"{path} string, {number} long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    keyed = placed.join(F.broadcast(named), F.col(file) == F.col(path)).withColumn(key, F.shiftleft(number, 40) + F.col(place))
+    return keyed.drop(file, place, path, number), key
 
 
 def _only(keyed: DataFrame, key: str, kept: DataFrame) -> DataFrame:
