@@ -5,15 +5,24 @@ from __future__ import annotations
 import math
 import sys
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks.functions.names import free_names, quoted
-from siltworks.session import materialize
+from siltworks.operators.categories import BROADCAST_BYTES
+from siltworks.session import materialize, written_bytes
 
 HOWS = ("inner", "left", "right", "full")
 # Spark's joins that compare every row with every other.
 ALL_PAIRS = ("BroadcastNestedLoopJoin", "CartesianProduct")
+#: Keys that a frequency sketch reports at the most.
+HOT_KEYS = 256
+#: Rows of a block in a join by inequalities: two blocks are compared row by row in one task.
+BLOCK_ROWS = 4096
+#: Blocks along one column at the most; more rows than that make more than one block of a place.
+MAX_BUCKETS = 4096
 
 
 def _pairs(on: str | list) -> list[tuple[str, str]]:
@@ -34,6 +43,7 @@ def enrich(
     how: str = "left",
     prefix: str = "r_",
     all_pairs: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All columns of ``t`` and of ``r``; clashing right names get a prefix.
 
@@ -42,10 +52,11 @@ def enrich(
     between the two would compare all pairs of rows: it is refused unless
     ``all_pairs`` asks for that. For bands use :func:`enrich_band`.
 
-    Right and full joins on keys run as the inner or left join plus the right
-    rows without a partner. In that form adaptive execution can split a hot key
-    of the large left table, or broadcast a right table it has measured to be
-    small; a plain full join allows neither.
+    Right and full joins on keys read each input once and write it to the shared
+    folder. A right table of up to ``broadcast_bytes`` is broadcast, and its rows
+    without a partner are added. Otherwise the rows of hot keys are spread over
+    many tasks (:func:`_spread_join`), as a plain join of these kinds never does.
+    Streams are joined plainly.
     """
     how = how.lower().replace("_outer", "").replace(" outer", "").replace("outer", "full")
     if how not in HOWS:
@@ -53,7 +64,7 @@ def enrich(
     if isinstance(on, Column):
         joined = t.alias("t").join(r.alias("r"), on, how)
         if not all_pairs and _nested_joins(joined) > _nested_joins(t) + _nested_joins(r):
-            raise ValueError("no equality to join by: use enrich_band for low <= value <= high, or ask for all_pairs=True")
+            raise ValueError("no equality to join by: use enrich_band for low <= value <= high, enrich_bounds for other inequalities, or ask for all_pairs=True")
         renamed = _right_names(t, r, prefix).columns
         return joined.select("t.*", *[F.col(f"r.{quoted(c)}").alias(n) for c, n in zip(r.columns, renamed)])
     pairs = _pairs(on)
@@ -62,12 +73,102 @@ def enrich(
     condition = [F.col(quoted(a)) == F.col(quoted(names[b])) for a, b in pairs]
     if how in ("inner", "left"):
         return t.join(renamed, condition, how)
-    matched = t.join(renamed, condition, "inner" if how == "right" else "left")
-    helpers = free_names(renamed.columns, *[f"_k{i}" for i in range(len(pairs))])
-    keys = t.select(*[F.col(quoted(a)).alias(h) for h, (a, _) in zip(helpers, pairs)]).distinct()
-    unmatched = renamed.join(keys, [F.col(h) == F.col(quoted(names[b])) for h, (_, b) in zip(helpers, pairs)], "left_anti")
+    if t.isStreaming or r.isStreaming:
+        return t.join(renamed, condition, how)
+    t, r = materialize(t, "join-left"), materialize(renamed, "join-right")
+    pairs = [(a, names[b]) for a, b in pairs]
+    if written_bytes(r) <= broadcast_bytes and _value_bytes(r) <= broadcast_bytes:
+        return _broadcast_outer(t, r, pairs, how)
+    return _spread_join(t, r, pairs, how)
+
+
+def _value_bytes(df: DataFrame) -> int:
+    """The bytes of all values; repeated texts, which a file holds once, count each time."""
+    sizes = [F.lit(16)]
+    for field in df.schema.fields:
+        c = F.col(quoted(field.name))
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            sizes.append(F.lit(16))
+    return df.agg(F.sum(sum(sizes[1:], sizes[0]).cast("bigint")).alias("size")).first()["size"] or 0
+
+
+def _equal(pairs: list[tuple[str, str]]) -> list[Column]:
+    return [F.col(quoted(a)) == F.col(quoted(b)) for a, b in pairs]
+
+
+def _broadcast_outer(t: DataFrame, r: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
+    """Right or full join with a small right table. Only the keys of the left table are read again."""
+    matched = t.join(F.broadcast(r), _equal(pairs), "inner" if how == "right" else "left")
+    helpers = free_names([*t.columns, *r.columns], *[f"_k{i}" for i in range(len(pairs))])
+    own = [(a, h) for h, (a, _) in zip(helpers, pairs)]
+    other = [(h, b) for h, (_, b) in zip(helpers, pairs)]
+    wanted = r.select(*[F.col(quoted(b)).alias(h) for h, b in other]).distinct()
+    # No more keys than the right table has.
+    found = t.select(*[quoted(a) for a, _ in pairs]).join(F.broadcast(wanted), _equal(own), "left_semi").distinct()
+    found = found.toDF(*helpers)
+    unmatched = r.join(found, _equal(other), "left_anti")
     empty_left = [F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema.fields]
-    return matched.unionByName(unmatched.select(*empty_left, *[F.col(quoted(c)) for c in renamed.columns]))
+    return matched.unionByName(unmatched.select(*empty_left, *[F.col(quoted(c)) for c in r.columns]))
+
+
+def _key_tag(df: DataFrame, names: list[str], other: DataFrame, other_names: list[str]) -> Column | None:
+    """A 128-bit text that equal keys of both tables share; None if their types are compared by another cast than this one."""
+    keys = []
+    for a, b in zip(names, other_names):
+        own, its = df.schema[a].dataType, other.schema[b].dataType
+        if own != its and not (isinstance(own, T.NumericType) and isinstance(its, T.NumericType)):
+            return None
+        keys.append(F.coalesce(F.col(quoted(a)), F.lit(None).cast(its)))
+    return F.concat_ws(":", F.xxhash64(*keys), F.xxhash64(F.lit("second"), *keys))
+
+
+def _hot_keys(df: DataFrame, tag: Column, missing: Column, pieces: int) -> dict[str, int]:
+    """Tags of keys that hold more rows than an even piece of the table, by a frequency sketch of fixed size.
+
+    All of them do occur. A key that the sketch leaves out holds less than 1 / HOT_KEYS of the rows.
+    """
+    kept = df.select(F.when(~missing, tag).alias("tag"))
+    found = kept.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(tag, {HOT_KEYS}, 16384)").alias("top")).first()
+    return {x["item"]: x["count"] for x in found["top"] or [] if x["item"] is not None and x["count"] * pieces > found["rows"]}
+
+
+def _spread_join(t: DataFrame, r: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
+    """Right or full join in which no key has to fit a task.
+
+    Rows of a key that is hot on one side get a random number below the number
+    of tasks; the rows of that key on the other side are repeated for each
+    number. A hot key is known to occur on its side, so a repeated row has a
+    partner under some number: its unmatched repetitions are dropped. Rows
+    with a missing key match nothing and are spread without being repeated.
+    """
+    spread, again, has_left, r_spread, r_again, has_right = free_names(
+        [*t.columns, *r.columns], "_spread", "_again", "_left", "_r_spread", "_r_again", "_right"
+    )
+    lefts, rights = [a for a, _ in pairs], [b for _, b in pairs]
+    tag, r_tag = _key_tag(t, lefts, r, rights), _key_tag(r, rights, t, lefts)
+    if tag is None or r_tag is None:
+        return t.join(r, _equal(pairs), how)
+    pieces = max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    missing, r_missing = (F.greatest(*[F.col(quoted(c)).isNull() for c in (*own, own[0])]) for own in (lefts, rights))
+    hot = _hot_keys(t, tag, missing, pieces)
+    r_hot = {k: n for k, n in _hot_keys(r, r_tag, r_missing, pieces).items() if k not in hot}
+
+    def placed(df, own_tag, is_missing, own, others, number, repeated, mark):
+        # A seeded number depends on the file and the place alone, and both are written.
+        alone = F.array(F.floor(F.rand(11) * pieces).cast("int"))
+        is_own, is_other = own_tag.isin(list(own)), own_tag.isin(list(others))
+        numbers = F.when(is_missing | is_own, alone).when(is_other, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+        return df.select("*", F.lit(True).alias(mark), (~is_missing & is_other).alias(repeated), F.explode(numbers).alias(number))
+
+    left = placed(t, tag, missing, hot, r_hot, spread, again, has_left)
+    right = placed(r, r_tag, r_missing, r_hot, hot, r_spread, r_again, has_right)
+    joined = left.join(right, [*_equal(pairs), F.col(spread) == F.col(r_spread)], how)
+    partnerless = (F.col(has_left).isNull() & F.col(r_again)) | (F.col(has_right).isNull() & F.col(again))
+    return joined.filter(~F.coalesce(partnerless, F.lit(False))).drop(spread, again, has_left, r_spread, r_again, has_right)
 
 
 def _nested_joins(df: DataFrame) -> int:
@@ -131,3 +232,110 @@ def enrich_band(
 
 def _finite(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a double that keeps its order."""
+    kind = df.schema[name].dataType
+    c = F.col(quoted(name))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    raise ValueError(f"{name!r} is neither a number nor a date or a time")
+
+
+def enrich_bounds(
+    t: DataFrame,
+    r: DataFrame,
+    bounds: list[tuple[str, str, str]],
+    how: str = "inner",
+    prefix: str = "r_",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Join by inequalities (left column, one of < <= > >=, right column), all of which must hold.
+
+    The first two order both tables into a grid of places with about
+    ``block_rows`` rows along each column; a place knows the least and the
+    greatest values of its rows. Only pairs of places whose values may fulfil the
+    conditions are joined, by their number, and a place with more rows, such as
+    that of one frequent value, is cut into blocks: a task compares blocks, never
+    a whole table. Null values match nothing. The columns of a condition are numbers, or
+    both dates, or both times.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("enrich_bounds joins 'inner' or 'left'")
+    if not bounds or any(op not in ("<", "<=", ">", ">=") for _, op, _ in bounds):
+        raise ValueError("bounds are (left column, '<', '<=', '>' or '>=', right column)")
+    for a, _, b in bounds:
+        kinds = [df.schema[n].dataType for df, n in ((t, a), (r, b))]
+        _number(t, a), _number(r, b)
+        if kinds[0] != kinds[1] and not all(isinstance(k, T.NumericType) for k in kinds):
+            raise ValueError(f"{a!r} and {b!r} are of different types")
+    renamed = _right_names(t, r, prefix)
+    names = dict(zip(r.columns, renamed.columns))
+    bounds = [(a, op, names[b]) for a, op, b in bounds]
+    wanted_names = ("t0", "t1", "r0", "r1", "tspot", "rspot", "met", "piece", "tblock", "rblock")
+    row, *helpers = free_names([*t.columns, *renamed.columns], "_row", *[f"_{k}" for k in wanted_names])
+    h = dict(zip(wanted_names, helpers))
+    kept = materialize(t.withColumn(row, F.monotonically_increasing_id()), "bounds-left") if how == "left" else t
+    # One dimension for each of the first two conditions.
+    dims = bounds[:2]
+    some_t = kept.filter(" and ".join(f"{quoted(a)} is not null" for a, _, _ in bounds))
+    some_r = renamed.filter(" and ".join(f"{quoted(b)} is not null" for _, _, b in bounds))
+    splits = _grid([_number(t, a) for a, _, _ in dims], some_t, block_rows)
+    placed = []
+    for side, df, columns in (("t", some_t, [a for a, _, _ in dims]), ("r", some_r, [b for _, _, b in dims])):
+        for i, name in enumerate(columns):
+            df = df.withColumn(h[f"{side}spot"], _number(df, name))
+            cut = Bucketizer(splits=splits[i], inputCol=h[f"{side}spot"], outputCol=h[f"{side}{i}"], handleInvalid="keep")
+            df = cut.transform(df).withColumn(h[f"{side}{i}"], F.col(h[f"{side}{i}"]).cast("int"))
+        df = df if len(dims) == 2 else df.withColumn(h[f"{side}1"], F.lit(0))
+        placed.append(materialize(df.withColumn(h[f"{side}spot"], F.rand(13)), f"bounds-{side}"))
+    cells = []
+    for side, df, columns in (("t", placed[0], [a for a, _, _ in dims]), ("r", placed[1], [b for _, _, b in dims])):
+        ends = [f(_number(df, c)).alias(f"{side}{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]
+        own = df.groupBy(F.col(h[f"{side}0"]).alias(f"{side}0"), F.col(h[f"{side}1"]).alias(f"{side}1"))
+        own = own.agg(*ends, F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(f"{side}n"))
+        cells.append(own)
+    # Places that a right place can meet along the first column, then the ends of both.
+    last = F.lit(len(splits[0]) - 1)
+    reach = F.sequence(F.lit(0), F.col("r0")) if dims[0][1] in ("<", "<=") else F.sequence(F.col("r0"), last)
+    possible = [
+        F.col(f"tlo{i}") <= F.col(f"rhi{i}") if op in ("<", "<=") else F.col(f"thi{i}") >= F.col(f"rlo{i}") for i, (_, op, _) in enumerate(dims)
+    ]
+    met = cells[1].withColumn("m0", F.explode(reach)).join(cells[0], [F.col("m0") == F.col("t0"), *possible])
+    met = materialize(met.select("t0", "t1", "r0", "r1", "tn", "rn"), "bounds-places")
+
+    def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
+        pairs = met.select(F.struct(*met.columns).alias(h["met"]))
+        m = {c: F.col(f"{h['met']}.{c}") for c in met.columns}
+        at_place = df.join(pairs, [F.col(h[f"{own}{i}"]) == m[f"{own}{i}"] for i in (0, 1)])
+        mine = F.floor(F.col(h[f"{own}spot"]) * m[f"{own}n"]).cast("int")
+        cut = at_place.withColumn(h["piece"], F.explode(F.sequence(F.lit(0), m[f"{other}n"] - 1)))
+        numbers = {own: mine, other: F.col(h["piece"])}
+        block = F.struct(*[m[c] for c in ("t0", "t1", "r0", "r1")], numbers["t"].alias("t"), numbers["r"].alias("r"))
+        return cut.select(*[quoted(c) for c in df.columns if c not in helpers], block.alias(h[f"{own}block"]))
+
+    holds = [F.expr(f"{quoted(a)} {op} {quoted(b)}") for a, op, b in bounds]
+    both = [F.col(h["tblock"]) == F.col(h["rblock"]), *holds]
+    joined = blocks(placed[0], "t", "r").join(blocks(placed[1], "r", "t"), both).drop(h["tblock"], h["rblock"])
+    if how == "inner":
+        return joined
+    alone = kept.join(joined.select(row).distinct(), row, "left_anti")
+    return joined.drop(row).unionByName(alone.drop(row), allowMissingColumns=True)
+
+
+def _grid(columns: list[Column], df: DataFrame, block_rows: int) -> list[list[float]]:
+    """Ends of the places along each column: quantiles, so that places hold like numbers of rows."""
+    total = df.count()
+    buckets = int(min(max(math.ceil(total / block_rows), 1), MAX_BUCKETS))
+    shares = [i / buckets for i in range(1, buckets)]
+    found = [[]] * len(columns)
+    if shares:
+        asked = [F.percentile_approx(c, shares, F.lit(8 * buckets)).alias(f"q{i}") for i, c in enumerate(columns)]
+        found = [q or [] for q in df.agg(*asked).first()]
+    inner = [sorted({x for x in q if math.isfinite(x)}) for q in found]
+    return [[-math.inf, *(ends or [0.0]), math.inf] for ends in inner]

@@ -105,3 +105,28 @@ def enrich_theta_range(spark, sf_dir):
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return joins.enrich_band(orders, bands, "o_totalprice", "low_price", "high_price", "left", high_inclusive=False)
+
+
+@query("""
+select l.l_orderkey, l.l_linenumber, l.l_suppkey, l.hot_key, k.part_key
+from (select l_orderkey, l_linenumber, l_suppkey, case when l_orderkey % 3 = 0 then 1 else l_suppkey end as hot_key from lineitem) l
+full join (select p_partkey as part_key from part where p_partkey % 50 <> 7) k on l.hot_key = k.part_key
+""")
+def enrich_full_hot_key(spark, sf_dir):
+    """A third of the line items have one key, whose rows are spread over the tasks."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_suppkey")).alias("hot_key")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", key)
+    parts = table(spark, sf_dir, "part").filter("p_partkey % 50 <> 7").select(F.col("p_partkey").alias("part_key"))
+    return joins.enrich(items, parts, [("hot_key", "part_key")], "full", broadcast_bytes=0)
+
+
+@query("""
+select c_custkey, c_acctbal, c_nationkey, s_suppkey, s_acctbal, s_nationkey
+from customer left join supplier on c_acctbal > s_acctbal and c_nationkey < s_nationkey
+""")
+def enrich_two_bounds(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    return joins.enrich_bounds(
+        customers, suppliers, [("c_acctbal", ">", "s_acctbal"), ("c_nationkey", "<", "s_nationkey")], "left"
+    )

@@ -4,7 +4,7 @@ from datetime import UTC, datetime
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
@@ -450,3 +450,78 @@ def test_joins_keep_columns_with_helper_names(spark):
     ]
     full = joins.enrich(bands, t, [("lo", "v")], "full")
     assert [(r["_k0"], r["_row"]) for r in full.filter("v is not null").collect()] == [(1, 5)] * 2
+
+
+KEY = hs.one_of(hs.none(), hs.sampled_from([0, 1, 1, 1, 2, 5]))
+
+
+@pytest.mark.parametrize("how", ["right", "full"])
+@pytest.mark.parametrize("size", [0, 1 << 20])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(hs.tuples(KEY, KEY), max_size=30), hs.lists(hs.tuples(KEY, KEY), max_size=30))
+def test_outer_joins_equal_plain_ones(spark, rows, how, size, left, right):
+    """Hot keys of either side or of both, missing keys, keys of different widths; broadcast and spread."""
+    t = spark.createDataFrame([(*k, i) for i, k in enumerate(left)], "a int, b string, _spread int")
+    r = spark.createDataFrame([(*k, i) for i, k in enumerate(right)], "x bigint, y string, _again int")
+    plain = t.join(r, (t.a == r.x) & (t.b == r.y), how)
+    assert rows(joins.enrich(t, r, [("a", "x"), ("b", "y")], how, broadcast_bytes=size)) == rows(plain)
+    one = t.join(r, t.a == r.x, how)
+    assert rows(joins.enrich(t, r, [("a", "x")], how, broadcast_bytes=size)) == rows(one)
+
+
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_outer_joins_read_each_input_once(spark, size):
+    """Inputs that differ from run to run would lose or double rows if they were read twice."""
+    t = spark.range(2000).select(F.col("id").alias("i"), F.floor(F.rand() * 40).alias("k"))
+    r = spark.range(40).select(F.col("id").alias("j"), F.floor(F.rand() * 40).alias("m"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = joins.enrich(t.mapInArrow(counted, t.schema), r, [("k", "m")], "full", broadcast_bytes=size)
+    got = found.collect()
+    assert {x.i for x in got if x.i is not None} == set(range(2000)) and {x.j for x in got if x.j is not None} == set(range(40))
+    assert seen.value == 2000
+    keys = {x.k for x in got if x.j is not None and x.i is not None}
+    assert all(x.j is not None or x.k not in keys for x in got)
+
+
+def test_a_hot_key_is_spread(spark):
+    t = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    r = spark.range(20_000).toDF("m")
+    found = joins.enrich(t, r, [("k", "m")], "full", broadcast_bytes=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "Broadcast" not in plan.split("SortMergeJoin")[0]
+    parts = found.filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(x["count"] for x in parts) == 10_001 and max(x["count"] for x in parts) < 5_000
+    assert found.filter("m = 7").count() == 10_001 and found.filter("k is null and m = 7").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("ops", [("<", ">"), (">=", "<="), (">", ">="), ("<=",)])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(hs.tuples(BOUND, KEY), max_size=30), hs.lists(hs.tuples(BOUND, KEY), max_size=30))
+def test_enrich_bounds_equals_brute_force(spark, rows, how, ops, left, right):
+    t = spark.createDataFrame([(i, a, k) for i, (a, k) in enumerate(left)], "_piece int, v double, k int")
+    r = spark.createDataFrame([(i, a, k) for i, (a, k) in enumerate(right)], "v int, w double, m bigint").withColumnRenamed("v", "tn")
+    bounds = [("v", ops[0], "w"), *[("k", op, "m") for op in ops[1:]]]
+    condition = " and ".join(f"{a} {op} {b}" for a, op, b in bounds)
+    found = joins.enrich_bounds(t, r, bounds, how, block_rows=3)
+    assert rows(found) == rows(t.join(r, F.expr(condition), how))
+
+
+def test_enrich_bounds_compares_blocks(spark, rows):
+    """One pair of values with a third of all rows is cut into blocks; dates are ordered too; text is refused."""
+    t = spark.range(900).selectExpr("id", "date_add(date'2024-01-01', cast(if(id % 3 = 0, 5, id) as int)) as a", "if(id % 3 = 0, 5, id) as b")
+    r = spark.range(60).selectExpr("id as j", "date_add(date'2024-01-01', cast(id as int)) as c", "id - 1 as d")
+    bounds = [("a", "<=", "c"), ("b", ">", "d")]
+    found = joins.enrich_bounds(t, r, bounds, block_rows=10)
+    assert not any(name in found._jdf.queryExecution().executedPlan().toString() for name in joins.ALL_PAIRS)
+    assert rows(found) == rows(t.join(r, F.expr("a <= c and b > d")))
+    with pytest.raises(ValueError, match="neither"):
+        joins.enrich_bounds(t.withColumn("s", F.lit("x")), r, [("s", "<", "d")])
+    with pytest.raises(ValueError, match="different types"):
+        joins.enrich_bounds(t, r, [("a", "<", "d")])
