@@ -5,15 +5,16 @@ block of text, with the tags met since the line before. The ratio of text to
 tags, smoothed by a Gaussian over neighbouring lines, is high where prose runs;
 a threshold clusters the lines into content and the rest. Content lines point to
 the parts of the page that hold them, whose whole text is the result; no content
-line is left out. Lines of navigation, forms and the like take no part, nor do
+line is left out. Lines of navigation and the like take no part, nor do forms and
 elements named like furniture unless they hold most of the page's content lines.
+Reader comments take no part however long they are.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from itertools import compress, dropwhile, takewhile
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ BLOCKS = frozenset(
     "h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 NOT_CONTENT = frozenset(
-    "aside button canvas dialog embed footer form head iframe input label map menu nav noembed noframes noscript object script select "
+    "aside button canvas dialog embed footer head iframe input label map menu nav noembed noframes noscript object script select "
     "style svg template textarea title audio video".split()
 )
 NOT_CONTENT_ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split()
+    "alert alertdialog banner comment complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split()
 )
 #: Words of class and id names that mark page furniture.
 FURNITURE = frozenset(
@@ -43,12 +44,17 @@ FURNITURE = frozenset(
     "overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Words of names of reader comments, and words beside them by which a name only tells that there are such.
+COMMENTS = frozenset("comment comments discussion discussions disqus replies reply responses".split())
+FLAGS = frozenset("allow allowed can closed count disabled enabled has hide no off on open show status toggle with without".split())
+#: Begins the name under which a form is an element named like furniture.
+FORM = "form"
 #: Elements that hold more than this share of the content lines' text hold most of it.
 MOST = 0.5
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_OPEN_TAG_AT_END = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 # Tags whose start ends an open paragraph of the same kind.
 _ENDED_BY_SAME = frozenset(["p", "li", "dt", "dd", "tr", "td", "th", "option"])
 
@@ -68,19 +74,33 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article:
 
 
 def furniture_names(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
-    """Class names and ids with words of furniture. Layout flags have such words too, so what the element holds decides."""
-    found: set[str] = set()
+    """Class names and ids with words of furniture. Layout flags have such words too, so what the element holds decides.
+
+    So it does for a form, as some servers put whole pages into one.
+    """
+    found: set[str] = {" ".join([FORM, *[value or "" for name, value in attrs if name in ("class", "id")]])} if tag == "form" else set()
     for name, value in attrs:
         if name in ("class", "id") and value and tag not in ("html", "body", "main"):
-            words = {own: set(_NAME.findall(_CAMEL.sub(" ", own).lower())) for own in value.split()}
+            words = {own: words_of(own) for own in value.split()}
             if not (tag == "article" and any(w & {"main", "post", "entry", "story"} for w in words.values())):
-                found |= {own for own, w in words.items() if w & FURNITURE}
+                found |= {own for own, w in words.items() if w & (FURNITURE | COMMENTS)}
     return frozenset(found)
 
 
+def words_of(name: str) -> set[str]:
+    return set(_NAME.findall(_CAMEL.sub(" ", name).lower()))
+
+
+def names_comments(name: str) -> bool:
+    """Whether a name stands for reader comments themselves, as ``comment-list`` does and ``has-comments`` doesn't."""
+    words = words_of(name)
+    return bool(words & COMMENTS) and not words & FLAGS
+
+
 #: Elements of one tag with the same names of furniture are of one kind.
 Kinds = frozenset[tuple[str, frozenset[str]]]
-Line = tuple[str, int, tuple[int, ...]]
+#: Text, tags since the line before, the innermost place around it.
+Line = tuple[str, int, int]
 
 
 def joined(parts: list[tuple[str, Kinds]]) -> str:
@@ -88,9 +108,10 @@ def joined(parts: list[tuple[str, Kinds]]) -> str:
 
 
 class Lines(HTMLParser):
-    """Lines of text outside furniture: text, tags since the line before, and the elements around it.
+    """Lines of text outside furniture, and the tree of places, the elements that can hold content.
 
-    ``named`` has the parts of lines with text in elements named like furniture, and the kinds of these.
+    Places are numbered as they open, so a parent has the smaller number; 0 is
+    the page. ``named`` has the parts of lines with text in elements named like furniture, and the kinds of these.
     """
 
     def __init__(self):
@@ -100,7 +121,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # tag, furniture from here on, id of the element
         self.kinds: list[tuple[int, Kinds]] = [(0, frozenset())]  # open elements named like furniture, and all kinds so far
         self.open: dict[str, int] = {}
-        self.path: list[int] = []  # ids of the open elements that can hold content
+        self.parents = [0]  # of each place
+        self.path = [(0, 0)]  # open places: id of the element, place
         self.articles: set[int] = set()
         self.parts: list[tuple[str, Kinds]] = []
         self.tags = 0
@@ -111,7 +133,7 @@ class Lines(HTMLParser):
         if text.strip():
             if any(kinds for _, kinds in self.parts):
                 self.named[len(self.lines)] = self.parts
-            self.lines.append((text, self.tags, tuple(self.path)))
+            self.lines.append((text, self.tags, self.path[-1][1]))
             self.tags = 0
         self.parts = []
 
@@ -129,9 +151,10 @@ class Lines(HTMLParser):
         furniture = outer or is_furniture(tag, attrs, bool(self.open.get("article")))
         self.elements += 1
         if tag in BLOCKS and tag not in _ENDED_BY_SAME and not furniture:
-            self.path.append(self.elements)
+            self.parents.append(self.path[-1][1])
+            self.path.append((self.elements, len(self.parents) - 1))
             if tag in ("article", "main"):
-                self.articles.add(self.elements)
+                self.articles.add(len(self.parents) - 1)
         names = frozenset() if furniture else furniture_names(tag, attrs)
         if names:
             self.kinds.append((self.elements, self.kinds[-1][1] | {(tag, names)}))
@@ -155,7 +178,7 @@ class Lines(HTMLParser):
     def _pop(self) -> str:
         tag, _, element = self.stack.pop()
         self.open[tag] -= 1
-        if self.path and self.path[-1] == element:
+        if self.path[-1][0] == element:
             self.path.pop()
         if self.kinds[-1][0] == element:
             self.kinds.pop()
@@ -167,8 +190,9 @@ class Lines(HTMLParser):
 
 
 def lines_of(html: str) -> Lines:
-    """Parse a page; a tag cut off at its end is no text."""
-    html = _OPEN_TAG_AT_END.sub("", html)
+    """Parse a page; a tag cut off at its end is no text, nor is what follows it."""
+    unfinished = _TAG.search(html, html.rfind(">") + 1)
+    html = html[: unfinished.start()] if unfinished else html
     parser = Lines()
     try:
         parser.feed(html)
@@ -200,58 +224,82 @@ def without_furniture(page: Lines, sigma: float) -> list[Line]:
     """Lines without the texts of elements named like furniture, but for kinds that hold most of the content lines.
 
     Beside articles with content, a kind whose names are words of furniture and
-    no more, such as ``ad``, is furniture whatever it holds.
+    no more, such as ``ad``, and a form are furniture whatever they hold. Reader
+    comments are, unless no content line is outside them.
     """
     if not page.named:
         return page.lines
     sizes, content = content_lines(page.lines, sigma)
+    inside = within(page.parents, page.articles)
     held: dict[tuple[str, frozenset[str]], float] = {}
     in_articles: list[Kinds] = []
+    written = 0
     for line in np.flatnonzero(content).tolist():
-        is_article = not page.articles.isdisjoint(page.lines[line][2])
-        for text, kinds in page.named.get(line, [("text", frozenset())]):
+        is_article = inside[page.lines[line][2]]
+        for text, kinds in page.named.get(line, [(page.lines[line][0], frozenset())]):
             for kind in kinds:
                 held[kind] = held.get(kind, 0) + len(text.strip())
+            written += len(text.strip())
             if is_article and text.strip():
                 in_articles.append(kinds)
     names = {kind for kind, size in held.items() if size > MOST * sizes[content].sum()}
-    names = {k for k in names if any(own.lower() not in FURNITURE for own in k[1]) or all(k in kinds for kinds in in_articles)}
+    names = {k for k in names if any(own.lower() not in FURNITURE and own.split()[0] != FORM for own in k[1]) or all(k in kinds for kinds in in_articles)}
+    names = {k for k in names if held[k] == written or not any(map(names_comments, k[1]))}
     lines, before = [], 0
-    for line, (text, tags, path) in enumerate(page.lines):
+    for line, (text, tags, place) in enumerate(page.lines):
         if line in page.named:
             text = joined([part for part in page.named[line] if part[1] <= names])
         before += tags
         if text.strip():
-            lines.append((text, before, path))
+            lines.append((text, before, place))
             before = 0
     return lines
 
 
-def parts_with(lines: list[Line], sizes: np.ndarray, content: np.ndarray, articles: set[int]) -> set[int]:
-    """Elements that hold the content lines; content lines in none of them stand alone."""
-    # Text of content lines below each element, and in articles.
-    held: dict[int, float] = {}
-    in_articles = 0.0
-    for (_, _, path), size in zip(compress(lines, content), sizes[content], strict=True):
-        in_articles += 0 if articles.isdisjoint(path) else size
-        for element in path:
-            held[element] = held.get(element, 0) + size
-    total = sizes[content].sum()
-    if in_articles > MOST * total:
-        chosen = {a for a in articles if held.get(a)}
+def within(parents: list[int], places: set[int]) -> list[bool]:
+    """Whether each place is one of ``places`` or lies in one."""
+    inside = [0 in places]
+    for place in range(1, len(parents)):
+        inside.append(place in places or inside[parents[place]])
+    return inside
+
+
+def summed(parents: list[int], places: list[int], values: list[float]) -> list[float]:
+    """For each place, the values of the lines in it and below."""
+    sums = [0.0] * len(parents)
+    for place, value in zip(places, values, strict=True):
+        sums[place] += value
+    for place in range(len(parents) - 1, 0, -1):
+        sums[parents[place]] += sums[place]
+    return sums
+
+
+def parts_with(places: list[int], sizes: list[float], page: Lines) -> list[bool]:
+    """Whether each place is in a part of the page that holds content lines; those have the given places and sizes.
+
+    A content line in no part stands alone.
+    """
+    parents, articles = page.parents, page.articles
+    held = summed(parents, places, sizes)
+    in_article = within(parents, articles)
+    if sum(size for place, size in zip(places, sizes, strict=True) if in_article[place]) > MOST * held[0]:
+        chosen = {a for a in articles if held[a]}
     else:
-        # The innermost element with most of it; elements are numbered from the outside in.
-        chosen = {max((e for e, size in held.items() if size >= 0.7 * total), default=None)} - {None}
+        # The innermost element with most of it.
+        chosen = {max((p for p in range(1, len(parents)) if held[p] >= 0.7 * held[0]), default=0)} - {0}
     # Content lines beside them: the innermost element around those of a neighbour of a part.
-    above = {e for _, _, path in lines if not chosen.isdisjoint(path) for e in path} - chosen
-    around: dict[int, tuple[int, ...]] = {}
-    for _, _, path in compress(lines, content):
-        if chosen.isdisjoint(path):
-            path = tuple(dropwhile(above.__contains__, path))
-            if path:
-                old = around.get(path[0], path)
-                around[path[0]] = tuple(a for a, b in takewhile(lambda ab: ab[0] == ab[1], zip(old, path, strict=False)))
-    return chosen | {path[-1] for path in around.values()}
+    inside = within(parents, chosen)
+    above = summed(parents, list(chosen), [1.0] * len(chosen))
+    beside = summed(parents, places, [float(not inside[place]) for place in places])
+    neighbour = [0] * len(parents)
+    around: dict[int, int] = {}
+    for place in range(1, len(parents)):
+        if inside[place] or above[place]:
+            continue
+        neighbour[place] = neighbour[parents[place]] or place
+        if beside[place] and beside[place] == beside[neighbour[place]]:
+            around[neighbour[place]] = place
+    return within(parents, chosen | set(around.values()))
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
@@ -259,15 +307,16 @@ def main_text(html: str, sigma: float = 1.0) -> str:
 
     Articles are the parts if they hold most of the content lines' text, else
     the innermost element with 70 % of it. Content lines beside them stay, with
-    the innermost element that holds those of one neighbour.
+    the innermost element that holds those of one neighbour. The work grows with
+    the length of the page, however deep it is.
     """
     page = lines_of(html)
     lines = without_furniture(page, sigma)
     if not lines:
         return ""
     sizes, content = content_lines(lines, sigma)
-    parts = parts_with(lines, sizes, content, page.articles)
-    return "\n".join(text for (text, _, path), is_content in zip(lines, content, strict=True) if is_content or not parts.isdisjoint(path))
+    inside = parts_with([place for _, _, place in compress(lines, content)], sizes[content].tolist(), page)
+    return "\n".join(text for (text, _, place), is_content in zip(lines, content, strict=True) if is_content or inside[place])
 
 
 def extract_pages(

@@ -1,6 +1,7 @@
 """Pages whose main text lies outside articles, in several parts, or under names of furniture."""
 
 import random
+import time
 
 import pytest
 
@@ -55,3 +56,38 @@ def test_names_of_furniture_inside_a_line():
     own = story(3)
     page = "<body><div>" + paragraphs(t + " <span class='ad'>Buy now</span>" for t in own) + "</div></body>"
     assert main_text(page).split("\n") == own
+
+
+def test_a_form_around_the_page_is_no_form():
+    own = story(6)
+    page = f"<body><form id='aspnetForm'><div>{paragraphs(own)}</div><form class='search'><p>Search here</p><input></form></form></body>"
+    assert main_text(page).split("\n") == own
+    sign_up = "<form><p>Leave your address, and a letter comes to you each week with all that is new.</p><input></form>"
+    assert main_text(f"<body><div>{paragraphs(own)}</div>{sign_up}</body>").split("\n") == own
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments", "discussion-thread", "commentBody"])
+@pytest.mark.parametrize("place", ["inside", "beside", "no article"])
+def test_comments_longer_than_the_story_go(name, place):
+    own, said = story(3), story(20, 5)
+    comments = f"<div class='{name}'>" + "".join(f"<div><b>Reader {i}</b><p>{t}</p></div>" for i, t in enumerate(said)) + "</div>"
+    page = {
+        "inside": f"<article>{paragraphs(own)}{comments}</article>",
+        "beside": f"<article>{paragraphs(own)}</article>{comments}",
+        "no article": f"<div>{paragraphs(own)}</div>{comments}",
+    }[place]
+    assert main_text(f"<body>{page}</body>").split("\n") == own
+
+
+def test_a_page_of_comments_alone_keeps_them():
+    said = story(8)
+    assert main_text(f"<body><div class='discussion'>{paragraphs(said)}</div></body>").split("\n") == said
+
+
+def test_deep_pages_and_unfinished_tags_take_time_in_proportion():
+    start = time.perf_counter()
+    deep = "".join(f"<div>line {i} of a deep page" for i in range(12_000))
+    assert len(main_text(deep).split("\n")) == 12_000
+    assert main_text("<p>before</p>" + "<a " * 40_000) == "before"
+    assert main_text("<p>a &lt; b</p> 1 < 2") == "a < b\n1 < 2"
+    assert time.perf_counter() - start < 5
