@@ -25,6 +25,8 @@ BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 #: Bytes of text hashed at once; bounds the memory of a task.
 SLICE_BYTES = 1 << 20
+#: Ids kept for the choice of each training row.
+SPARE = 4
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -170,24 +172,28 @@ def fit_language_model(
 
     The ``max_languages`` commonest languages are learned. Whole texts and two short cuts of each become examples, counted into buckets
     on the executors; the driver gets bucket counts only. A fifth of the rows
-    calibrates. None without labelled rows that have a letter.
+    calibrates. Rows without an id are not learned from; of rows that repeat an id and
+    a language, the smallest text is, so the model does not depend on the order of rows.
+    A task that picks meets about ``SPARE`` times ``per_language`` ids, hot languages
+    included. None without labelled rows that have a letter.
     """
     chance = F.xxhash64(F.lit(8), F.col("doc_id"))
     order = Window.partitionBy("lang").orderBy("chance", "doc_id")
     own = docs.filter(trainable).select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    labelled = own.filter("lang is not null and text is not null").select("doc_id", "lang", chance.alias("chance"))
-    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    languages = [r.lang for r in most.collect()]
-    if not languages:
+    labelled = own.filter("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", chance.alias("chance"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("doc_id").alias("ids"))
+    most = sizes.orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
+    if not most:
         return None
-    picked = (
-        labelled.filter(F.col("lang").isin(languages))
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= per_language)
-    )
-    ids = sorted({(r.doc_id, r.lang) for r in picked.collect() if r.doc_id is not None})
+    # Hashes are even, so those below this bound are a few times per_language ids, however many a language has.
+    shares = {r.lang: SPARE * per_language / max(r.ids, 1) for r in most}
+    bounds = [(lang, 2**63 - 1 if share >= 1 else int(2**64 * share) - 2**63) for lang, share in shares.items()]
+    below = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    few = labelled.join(below, "lang").filter("chance <= bound").select("lang", "doc_id", "chance").distinct()
+    picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    ids = sorted((r.doc_id, r.lang) for r in picked.collect())
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")
-    sample = own.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").filter("text is not null")
+    sample = own.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     schema = "doc_id long, lang string, part int, buckets binary, counts binary"
 
     def count(batches: Batches) -> Batches:
@@ -207,8 +213,8 @@ def fit_language_model(
     counted = scan(sample, {"doc_id": "doc_id", "lang": "lang", "text": "text"}, count, schema)
     rows = {(r.doc_id, r.lang, r.part): r for r in counted.toLocalIterator()}
     examples = [
-        (lang, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), doc_id is not None and doc_id % 5 == 0)
-        for (doc_id, lang, _), r in sorted(rows.items(), key=lambda x: (x[0][0] is None, *map(str, x[0])))
+        (lang, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), doc_id % 5 == 0)
+        for (doc_id, lang, _), r in sorted(rows.items(), key=lambda x: tuple(map(str, x[0])))
     ]
     return train(examples) if examples else None
 

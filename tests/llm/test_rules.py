@@ -82,6 +82,19 @@ def test_language_id(documents, edge_docs, no_docs):
     assert {r.lang_pred for r in lid.language_id(edge_docs, None, is_held_out).collect()} == {"und"}
 
 
+def test_language_model_does_not_depend_on_the_order_of_rows(documents):
+    """Repeated ids with other texts, missing ids and labels, rows in other partitions; a bound that drops ids before the choice."""
+    odd = documents.select("doc_id", F.upper("text").alias("text"), "lang").filter("doc_id % 4 = 0")
+    missing = documents.select(F.lit(None).cast("long").alias("doc_id"), F.lit("x y z").alias("text"), "lang")
+    rows = documents.select("doc_id", "text", "lang").unionByName(odd).unionByName(missing)
+    models = [lid.fit_language_model(r, F.lit(True), per_language=10) for r in (rows.coalesce(1), rows.orderBy(F.desc("text")).repartition(5))]
+    words = ["the house by the river".encode(), "das Haus am Fluss".encode()]
+    logits = [m.logits([lid.letters_of(w) for w in words]) for m in models]
+    assert models[0].languages == models[1].languages and np.array_equal(*logits)
+    labelled = {(r.doc_id, r.lang) for r in rows.filter("doc_id is not null and lang is not null and text is not null").collect()}
+    assert {lang for _, lang in labelled} == set(models[0].languages)
+
+
 def test_sliced_scores_equal_whole_ones(monkeypatch):
     rng = np.random.default_rng(5)
     model = lid.LanguageModel(["a", "b"], rng.normal(size=(lid.BUCKETS, 2)).astype(np.float32), np.zeros(2))
