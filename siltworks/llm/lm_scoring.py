@@ -1,30 +1,25 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is its words and an end. A token is spelled as its bytes and a stop byte,
-each byte as eight binary decisions. A decision's contexts are the last bytes of
-the token, from none up to ``depth``; every context keeps counts of zeros and
-ones, estimates by Krichevsky and Trofimov, and is weighted against the contexts
-that extend it by how well either side explains the training tokens. The code
-length of a byte mixes the estimates of all depths by these weights.
-
-The tree is a table, one row for each context and binary node. It is built from
-the deepest level up and turned into predictions from the top down, by grouping
-and joining on contexts. Contexts do not reach across tokens, so a token's score
-is computed once. The deepest context of all is the token itself: its training
-count, less a discount, is mixed with the tree's probability, which gets what
-the discounts free and so scores what training never met.
-Words depend on the language more than on anything a token's own bytes tell, so
-training texts are counted by language as well, each language's discounted counts
-backed by those of all. A text's probability is the sum over the languages of
-their share times their probability of the text: the text alone decides.
-Texts look up their tokens, frequent ones in a table of
-bounded size that travels with the tasks, all others by a join.
+A text is its words, each with a stop byte, and an end byte. Every byte is eight
+binary decisions. A decision's contexts are the last bytes of the text, from none
+up to ``depth``, across words; every context keeps counts of zeros and ones,
+estimates by Krichevsky and Trofimov, and is weighted against the contexts that
+extend it by how well either side explains the training texts. The code length
+of a byte mixes the estimates of all depths by these weights.
+
+What is gathered is a table with one row for each gram, a byte in its longest
+context. All contexts that share their last ``depth`` - 2 bytes make a subtree of
+at most 2^24 grams, which lies in one partition: subtrees are weighted there in
+arrays, the small tree above them by grouping and joining, from the deepest level
+up and then from the root down. Texts look up their grams and tokens, frequent
+ones in tables of bounded size that travel with the tasks, all others by a join.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,94 +30,123 @@ from siltworks.llm.common import CACHE_ENTRIES, Batches, arrow_type, parked, sca
 
 #: Spelling: neither byte can occur in a word.
 END, STOP = b"\t", b" "
-#: Most rows of the tables of frequent tokens and of frequent byte contexts that tasks hold.
+#: Most rows of the tables of frequent tokens and of frequent grams that tasks hold.
 HEAD_TOKENS = 1 << 17
-HEAD_GRAMS = 1 << 20
+HEAD_GRAMS = 1 << 21
+#: Bytes of text whose grams are made at once, grams a task counts before it sends them, grams of a partition and of one step of it.
+PIECE_BYTES = 1 << 20
+COUNTED_GRAMS = 1 << 22
+PARTITION_GRAMS = 1 << 19
+STEP_GRAMS = 1 << 17
+#: Levels of a subtree below its root.
+SUBTREE = 2
 
+Arrays = tuple[np.ndarray, ...]
 
-def spelled(token: bytes) -> bytes:
-    return token if token == END else token + STOP
 
+def spelled(words: list[bytes]) -> bytes:
+    return STOP.join([*words, END])
 
-def _with_groups(docs: DataFrame, lang: str | None, most: int) -> tuple[DataFrame, list[float]]:
-    """``docs`` with the number of each row's language as ``part``, and the log10 share of each number in training.
 
-    The commonest languages of the training texts get numbers of their own, all others and unknown ones share the last.
-    """
-    if lang is None:
-        return docs.withColumn("part", F.lit(0)), [0.0]
-    found = docs.filter(~F.col("held_out")).groupBy("lang").count()
-    names = [r.lang for r in found.filter("lang is not null").orderBy(F.desc("count"), "lang").limit(most - 1).collect()]
-    part = F.lit(len(names))
-    for i, name in enumerate(names):
-        part = F.when(F.col("lang").eqNullSafe(name), i).otherwise(part)
-    docs = docs.withColumn("part", part)
-    counts = {r.part: r.n for r in found.select(part.alias("part"), "count").groupBy("part").agg(F.sum("count").alias("n")).collect()}
-    total = sum(counts.values()) + len(names) + 1
-    return docs, [math.log10((counts.get(i, 0) + 1) / total) for i in range(len(names) + 1)]
-
-
-def _vocabulary(docs: DataFrame, parts: int) -> DataFrame:
-    """(token, n, by): every token of the corpus with its training counts, in all and by language; 0 where only held-out texts have it."""
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """(token, n): every token of the corpus with its training count, 0 where only held-out texts have it."""
 
     def run(batches: Batches) -> Batches:
-        out = arrow_type("token binary, part int, n long")
-        by_part: dict[int, Counter[bytes]] = {}
+        out = arrow_type("token binary, n long")
+        counts: Counter[bytes] = Counter()
 
         def flush():
-            columns = zip(*((word, part, n) for part, counts in by_part.items() for word, n in counts.items()), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((list(counts), list(counts.values())), out, strict=True)], schema=out)
 
         for batch in batches:
-            for held, part, text in zip(batch.column("held_out").to_pylist(), batch.column("part").to_pylist(), texts_of(batch), strict=True):
-                counts, words = by_part.setdefault(0 if held else part, Counter()), words_of(text)
+            for held, text in zip(batch.column("held_out").to_pylist(), texts_of(batch), strict=True):
+                words = words_of(text)
+                words.append(END)
                 if held:
                     for word in set(words):
                         counts.setdefault(word, 0)
-                    counts.setdefault(END, 0)
                 else:
                     counts.update(words)
-                    counts[END] += 1
-                if sum(map(len, by_part.values())) > CACHE_ENTRIES:
+                if len(counts) > CACHE_ENTRIES:
                     yield flush()
-                    by_part.clear()
-        if by_part:
+                    counts.clear()
+        if counts:
             yield flush()
 
-    found = scan(docs, {c: c for c in ("held_out", "part", "text")}, run, "token binary, part int, n long")
-    by = [F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)) for i in range(parts)]
-    return found.groupBy("token").agg(F.sum("n").alias("n"), F.array(*by).alias("by"))
+    found = scan(docs, {c: c for c in ("held_out", "text")}, run, "token binary, n long")
+    return found.groupBy("token").agg(F.sum("n").alias("n"))
+
 
+def _bits(n: int) -> int:
+    """A mask of the ``n`` low bits of a 64-bit number."""
+    return -1 if n >= 64 else (1 << n) - 1
 
-def grams_of(tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of every byte of the spelled tokens; a key holds the ``depth`` bytes before it and the byte."""
-    spellings = [spelled(t) for t in tokens]
-    lengths = np.array([len(s) for s in spellings])
-    data = np.frombuffer(b"".join(spellings), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(tokens)), lengths)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = data.copy()
-    for back in range(1, depth + 1):
-        before = np.zeros(len(data), np.int64)
-        before[back:] = data[:-back]
-        key |= np.where(place >= back, before, 0) << (8 * back)
-    return owner, key
 
+def grams_of(spellings: list[bytes], depth: int, piece_bytes: int = PIECE_BYTES) -> Iterator[Arrays]:
+    """(owner, key) of every byte of the spelled texts, by pieces of bounded size.
 
-def _grams(tokens: DataFrame, depth: int) -> DataFrame:
-    """(gram, n): bytes in their deepest context with their training counts."""
+    A key holds the ``depth`` bytes before a byte and, lowest, the byte; before a
+    text there are zeros. Long texts are cut, each part with the bytes before it.
+    """
+
+    def keys(group: list[tuple[int, bytes, int]]) -> Arrays:
+        lengths = np.array([len(part) for _, part, _ in group])
+        data = np.frombuffer(b"".join(part for _, part, _ in group), np.uint8).astype(np.int64)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = data.copy()
+        for back in range(1, depth + 1):
+            before = np.zeros(len(data), np.int64)
+            before[back:] = data[:-back]
+            key |= np.where(place >= back, before, 0) << (8 * back)
+        own = place >= np.repeat([lead for _, _, lead in group], lengths)
+        return np.repeat([owner for owner, _, _ in group], lengths)[own], key[own]
+
+    group, size = [], 0
+    for owner, text in enumerate(spellings):
+        for at in range(0, len(text), piece_bytes):
+            lead = min(at, depth)
+            group.append((owner, text[at - lead : at + piece_bytes], lead))
+            size += len(group[-1][1])
+            if size >= piece_bytes:
+                yield keys(group)
+                group, size = [], 0
+    if group:
+        yield keys(group)
+
+
+def _summed(parts: list[Arrays]) -> Arrays:
+    """Keys in order, each once, with the sums of what stands beside them."""
+    keys, *values = map(np.concatenate, zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+    return keys[start], *(np.add.reduceat(v[order], start) for v in values)
+
+
+def _grams(docs: DataFrame, depth: int) -> DataFrame:
+    """(gram, n, seen): all grams of the corpus with their counts in training and in all."""
 
     def run(batches: Batches) -> Batches:
-        out = arrow_type("gram long, n long")
+        names = ["gram", "n", "seen"]
+        parts, size = [], 0
         for batch in batches:
-            words, n = batch.column("token").to_pylist(), batch.column("n").to_numpy()
-            if not words:
-                continue
-            owner, key = grams_of(words, depth)
-            keys, inverse = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(inverse, n[owner]).astype(np.int64))], schema=out)
-
-    return tokens.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            held = np.array(batch.column("held_out").to_pylist(), bool)
+            for owner, key in grams_of([spelled(words_of(t)) for t in texts_of(batch)], depth):
+                for own, trained in ((key[~held[owner]], 1), (key[held[owner]], 0)):
+                    grams, seen = np.unique(own, return_counts=True)
+                    parts.append((grams, seen * trained, seen))
+                    size += len(grams)
+                if size > COUNTED_GRAMS:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    if size > COUNTED_GRAMS // 2:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, parts[0])), names=names)
+                        parts, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(parts))), names=names)
+
+    found = scan(docs, {c: c for c in ("held_out", "text")}, run, "gram long, n long, seen long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def log_gamma(x: Column) -> Column:
@@ -139,33 +163,96 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
 
 
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """As :func:`log_kt`, in arrays."""
+
+    def log_gamma(x):
+        product = x.copy()
+        for i in range(1, 7):
+            product *= x + i
+        z = x + 7
+        return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
+
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
+
+
+class _Subtrees:
+    """The levels from ``top`` to ``depth`` over whole subtrees, as arrays by level and by bit of the byte.
+
+    A node is the cut context and the first ``i`` bits of the byte, one number.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int):
+        self.keys, self.depth, self.top = keys, depth, top
+        self.node, self.zeros, self.ones, self.weighted, self.stop, self.parent = ({} for _ in range(6))
+        half = math.log(0.5)
+        for d in range(top, depth + 1):
+            cut, count = _summed([(keys & _bits(8 * d + 8), n.astype(np.float64))])
+            for i in range(8):
+                node, bit = cut >> (8 - i), (cut >> (7 - i)) & 1
+                start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                self.node[d, i] = node[start]
+                self.zeros[d, i], self.ones[d, i] = np.add.reduceat(count * (1 - bit), start), np.add.reduceat(count * bit, start)
+                if d > top:
+                    self.parent[d, i] = np.searchsorted(self.node[d - 1, i], node[start] & _bits(8 * (d - 1) + i))
+        for i in range(8):
+            for d in range(depth, top - 1, -1):
+                own = _log_kt(self.zeros[d, i], self.ones[d, i])
+                if d == depth:
+                    self.weighted[d, i], self.stop[d, i] = own, np.ones(len(own))
+                    continue
+                split = np.bincount(self.parent[d + 1, i], self.weighted[d + 1, i], len(own))
+                self.weighted[d, i] = np.logaddexp(own + half, split + half)
+                self.stop[d, i] = np.exp(own + half - self.weighted[d, i])
+
+    def top_nodes(self, i: int) -> np.ndarray:
+        """Nodes of the level ``top`` as tables name them: context above, binary node in the low byte."""
+        node = self.node[self.top, i]
+        return (node >> i) << 8 | 1 << i | node & _bits(i)
+
+    def roots(self) -> Arrays:
+        """(node, zeros, ones, weighted, stop) of the level ``top``."""
+        by_bit = [(self.top_nodes(i), *(of[self.top, i] for of in (self.zeros, self.ones, self.weighted, self.stop))) for i in range(8)]
+        return tuple(map(np.concatenate, zip(*by_bit, strict=True)))
+
+    def scores(self, nodes: np.ndarray, one: np.ndarray, total: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 of the probability of every gram, from the predictions of the level ``top``, in order of ``nodes``."""
+        score = np.zeros(len(self.keys))
+        for i in range(8):
+            at = np.searchsorted(nodes, self.top_nodes(i))
+            own, so_far, rest = one[at], total[at], left[at]
+            for d in range(self.top + 1, self.depth + 1):
+                up, zeros, ones, stop = self.parent[d, i], self.zeros[d, i], self.ones[d, i], self.stop[d, i]
+                estimate = (ones + 0.5) / (zeros + ones + 1)
+                own = np.where(zeros + ones > 0, so_far[up] + rest[up] * estimate, own[up])
+                so_far, rest = so_far[up] + rest[up] * stop * estimate, rest[up] * (1 - stop)
+            own = own[np.searchsorted(self.node[self.depth, i], self.keys >> (8 - i))]
+            score += np.log10(np.where((self.keys >> (7 - i)) & 1 == 1, own, 1 - own))
+        return score
+
+
+def _steps(keys: np.ndarray, top: int, most: int = STEP_GRAMS) -> Iterator[np.ndarray]:
+    """Places of the keys in steps of about ``most``, subtrees whole."""
+    roots = (keys >> 8) & _bits(8 * top)
+    order = np.argsort(roots, kind="stable")
+    ends = np.flatnonzero(np.r_[np.diff(roots[order]) != 0, len(keys) > 0]) + 1
+    at = 0
+    while at < len(keys):
+        end = ends[min(np.searchsorted(ends, at + most), len(ends) - 1)]
+        yield order[at:end]
+        at = end
+
+
 def _context(key: Column, depth: int) -> Column:
     """A node (context above, binary node in the low byte) with the context cut to ``depth`` bytes."""
     return key.bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1))
 
 
-def _decisions(grams: DataFrame, *columns: str) -> DataFrame:
-    """Eight rows for a gram: its node at the deepest level and the bit decided there."""
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    nodes = [
-        F.struct(
-            (F.col("gram") - byte + F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i))).alias("node"),
-            F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit"),
-        )
-        for i in range(8)
-    ]
-    return grams.select(*columns, F.explode(F.array(*nodes)).alias("d")).select(*columns, "d.node", "d.bit")
-
-
-def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """The tree from the root's level to the deepest: node, counts and the weight of stopping there."""
+def _levels(level: DataFrame, top: int) -> list[DataFrame]:
+    """The tree from the root's level to the level ``top``, which is given: node, counts and the weight of stopping there."""
     half = math.log(0.5)
-    decided = _decisions(grams, "n").groupBy("node")
-    count = lambda bit: F.sum(F.when(F.col("bit") == bit, F.col("n")).otherwise(0)).cast("double")
-    level = decided.agg(count(0).alias("zeros"), count(1).alias("ones"))
-    level = level.withColumn("weighted", log_kt(F.col("zeros"), F.col("ones"))).withColumn("stop", F.lit(1.0))
-    levels = [parked(level, f"tree-{depth}")]
-    for d in reversed(range(depth)):
+    levels = [level]
+    for d in reversed(range(top)):
         up = levels[-1].groupBy(_context(F.col("node"), d).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("split"))
         stop, split = log_kt(F.col("zeros"), F.col("ones")) + half, F.col("split") + half
         most = F.greatest("log_stop", "log_split")
@@ -177,7 +264,7 @@ def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def _predictions(levels: list[DataFrame]) -> DataFrame:
-    """(node, one): the mixed probability of a one at every node of the deepest level.
+    """(node, one, sum, left) of the deepest level given: the mixed probability of a one, and what deeper levels go on with.
 
     A context that training never met adds nothing; the mixture then ends at the
     longest one it did meet.
@@ -196,19 +283,59 @@ def _predictions(levels: list[DataFrame]) -> DataFrame:
             (F.col("sum_above") + F.col("left_above") * F.col("stop") * estimate).alias("sum"),
             (F.col("left_above") * (1 - F.col("stop"))).alias("left"),
         )
-    return mixed.select("node", "one")
+    return mixed
+
+
+def _columns(batches: Batches, names: list[str]) -> list[np.ndarray]:
+    """Whole columns of a partition."""
+    held = [[b.column(n).to_numpy() for n in names] for b in batches if b.num_rows]
+    return [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _gram_scores(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, n, score): log10 of the probability of a byte in its context."""
-    predicted = _predictions(_levels(grams, depth))
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    return _decisions(grams, "gram", "n").join(predicted, "node").groupBy("gram").agg(F.first("n").alias("n"), F.sum(F.log10(chance)).alias("score"))
+    """(gram, seen, score): log10 of the probability of a byte in its context."""
+    top = max(depth - SUBTREE, 0)
+    partitions = max(16, math.ceil(grams.count() / PARTITION_GRAMS))
+
+    def by_subtree(rows: DataFrame) -> DataFrame:
+        root = F.shiftright("key", 8).bitwiseAND(F.lit(_bits(8 * top)))
+        return rows.repartition(partitions, root)
+
+    def up(batches: Batches) -> Batches:
+        out = arrow_type("node long, zeros double, ones double, weighted double, stop double")
+        columns = _columns(batches, ["key", "n"])
+        if columns:
+            keys, n = columns
+            for own in _steps(keys, top):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _Subtrees(keys[own], n[own], depth, top).roots())), schema=out)
+
+    def down(batches: Batches) -> Batches:
+        out = arrow_type("gram long, seen long, score double")
+        columns = _columns(batches, ["key", "n", "seen", "one", "sum", "left"])
+        if not columns:
+            return
+        is_node = columns[2] < 0
+        nodes, *predicted = (columns[c][is_node] for c in (0, 3, 4, 5))
+        order = np.argsort(nodes)
+        nodes, predicted = nodes[order], [p[order] for p in predicted]
+        keys, n, seen = (c[~is_node] for c in columns[:3])
+        for own in _steps(keys, top):
+            scores = _Subtrees(keys[own], n[own], depth, top).scores(nodes, *predicted)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(seen[own]), pa.array(scores)], schema=out)
+
+    keyed = grams.select(F.col("gram").alias("key"), "n", "seen")
+    roots = by_subtree(keyed.select("key", "n")).mapInArrow(up, "node long, zeros double, ones double, weighted double, stop double")
+    predicted = _predictions(_levels(parked(roots, f"tree-{top}"), top))
+    none = F.lit(0.0)
+    both = keyed.select("*", none.alias("one"), none.alias("sum"), none.alias("left")).unionByName(
+        predicted.select(F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("seen"), "one", "sum", "left")
+    )
+    return by_subtree(both).mapInArrow(down, "gram long, seen long, score double")
 
 
-def _head(rows: DataFrame, most: int) -> DataFrame:
-    """The rows of the largest ``n``, ``most`` at the most: all above a count that a histogram finds."""
-    level = F.floor(8 * F.log2(F.col("n") + 1)).cast("int")
+def _head(rows: DataFrame, times: str, most: int) -> DataFrame:
+    """The rows of the largest ``times``, ``most`` at the most: all above a count that a histogram finds."""
+    level = F.floor(8 * F.log2(F.col(times) + 1)).cast("int")
     histogram = rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
     total, least = 0, None
     for row in histogram:
@@ -219,154 +346,89 @@ def _head(rows: DataFrame, most: int) -> DataFrame:
     return rows.filter(level >= least) if least is not None else rows.limit(0)
 
 
-def _token_scores(tokens: DataFrame, gram_scores: DataFrame, depth: int, most: int) -> DataFrame:
-    """(token, n, score): log10 of the probability of every token of the corpus."""
-    head = _head(gram_scores, most).select("gram", "score").toArrow()
-    order = np.argsort(head["gram"].to_numpy())
-    table = tokens.sparkSession.sparkContext.broadcast((head["gram"].to_numpy()[order], head["score"].to_numpy()[order]))
-    schema = "token binary, n long, by array<long>, score double, rest array<long>"
-
-    def run(batches: Batches) -> Batches:
-        out = pa.schema([("token", pa.binary()), ("n", pa.int64()), ("by", pa.list_(pa.int64())), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
-        keys, scores = table.value
-        for batch in batches:
-            words = batch.column("token").to_pylist()
-            if not words:
-                continue
-            owner, key = grams_of(words, depth)
-            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
-            score = np.bincount(owner[known], scores[place[known]], len(words))
-            rest_owner, rest = owner[~known], key[~known]
-            offsets = np.searchsorted(rest_owner, np.arange(len(words) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("token"), batch.column("n"), batch.column("by").cast(out.field("by").type), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest))], schema=out
-            )
-
-    scored = parked(tokens.select("token", "n", "by").mapInArrow(run, schema), "token-heads")
-    done = scored.filter(F.size("rest") == 0).select("token", "n", "by", "score")
-    rest = scored.filter(F.size("rest") > 0).select("token", F.explode("rest").alias("gram"))
-    rest = rest.join(gram_scores.select("gram", F.col("score").alias("own")), "gram").groupBy("token").agg(F.sum("own").alias("own"))
-    late = scored.filter(F.size("rest") > 0).join(rest, "token").select("token", "n", "by", (F.col("score") + F.col("own")).alias("score"))
-    return done.unionByName(late)
-
-
-def _discount(once: int, twice: int) -> float:
-    """The estimate of Ney and others; kept off the ends, where a table has no rare tokens."""
-    return min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
-
-
-def _language_scores(tokens: DataFrame, parts: int) -> list[Column]:
-    """For each language, log10 of a token's probability from its ``by`` and ``score``: discounted counts, backed by the score for all."""
-    if parts == 1:
-        return [F.col("score")]
-    own = [F.col("by")[i] for i in range(parts)]
-    ask = [F.struct(F.sum(c), *(F.count(F.when(test, 1)) for test in (c > 0, c == 1, c == 2))) for c in own]
-    scores = []
-    for c, row in zip(own, tokens.agg(*ask).first(), strict=True):
-        total, distinct, once, twice = row
-        if not total:  # nothing to learn from
-            scores.append(F.col("score"))
-            continue
-        discount = _discount(once, twice)
-        backed = F.col("score") + math.log10(discount * distinct / total)
-        mixed = F.log10((c - discount) / total + F.pow(F.lit(10.0), backed))
-        scores.append(F.when(c > 0, mixed).otherwise(backed))
-    return scores
-
-
-def _with_counts(trees: DataFrame, tokens: DataFrame, n_train: int, n_distinct: int) -> DataFrame:
-    """Tree scores mixed with absolutely discounted counts; probabilities of all tokens still sum to one."""
-    if not n_train:
-        return trees
-    rare = tokens.agg(F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
-    discount = _discount(rare.once, rare.twice)
-    freed = math.log10(discount * n_distinct / n_train)
-    own = (F.col("n") - discount) / n_train
-    mixed = F.log10(own + F.pow(F.lit(10.0), F.col("score") + freed))
-    return trees.withColumn("score", F.when(F.col("n") > 0, mixed).otherwise(F.col("score") + freed))
-
-
 def score_texts(
     docs: DataFrame,
     is_held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    depth: int = 5,
+    depth: int = 7,
     head_tokens: int = HEAD_TOKENS,
     head_grams: int = HEAD_GRAMS,
-    lang_col: str | None = None,
-    max_languages: int = 8,
 ) -> DataFrame:
     """Scores of every text under a model of the texts that are not held out.
 
     Words are lower-cased (A-Z) and split at ASCII white space; each text ends
     with one more token. ``base_score`` is the add-one unigram score over tokens,
-    ``score`` the log10 probability by counts and context tree, ``bits_per_byte`` its code
+    ``score`` the log10 probability by the context tree, ``bits_per_byte`` its code
     length by spelled byte. One row per input row; a null or empty text is its
     end alone; repeated rows are learned from as often as they come. Without any
-    training text every decision is even. ``lang_col`` names the language of
-    training texts, by which they are counted too: the ``max_languages`` - 1
-    commonest apart, the others and unknown ones together. The language of a
-    text never enters its own score but through what training counted.
+    training text every decision is even.
     """
-    if not 1 <= depth <= 6:
-        raise ValueError("depth lies between 1 and 6 bytes")
+    if not 1 <= depth <= 7:
+        raise ValueError("depth lies between 1 and 7 bytes")
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None)).cast("string").alias("lang"))
-    own, shares = _with_groups(own, lang_col, max_languages)
-    tokens = parked(_vocabulary(own, len(shares)), "vocabulary")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
+    tokens = parked(_vocabulary(own), "vocabulary")
     sums = tokens.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train, n_distinct = sums[0] or 0, sums[1] or 0
-    grams = parked(_grams(tokens.select("token", "n"), depth), "grams")
-    gram_scores = parked(_gram_scores(grams, depth), "gram-scores")
-    trees = _token_scores(tokens, gram_scores, depth, head_grams)
-    token_scores = parked(_with_counts(trees, tokens, n_train, n_distinct), "token-scores")
-
-    languages = _language_scores(token_scores, len(shares))
-    head = _head(token_scores, head_tokens).select("token", "n", *(c.alias(f"score{i}") for i, c in enumerate(languages))).toArrow()
-    index = {t: i for i, t in enumerate(head["token"].to_pylist())}
-    matrix = np.column_stack([head[f"score{i}"].to_numpy() for i in range(len(languages))])
-    table = spark.sparkContext.broadcast((index, head["n"].to_numpy(), matrix))
+    gram_scores = parked(_gram_scores(parked(_grams(own, depth), "grams"), depth), "gram-scores")
+
+    frequent = _head(tokens, "n", head_tokens).toArrow()
+    index = {t: i for i, t in enumerate(frequent["token"].to_pylist())}
+    frequent_grams = _head(gram_scores, "seen", head_grams).select("gram", "score").toArrow()
+    order = np.argsort(frequent_grams["gram"].to_numpy())
+    table = spark.sparkContext.broadcast((index, frequent["n"].to_numpy(), *(frequent_grams[c].to_numpy()[order] for c in ("gram", "score"))))
     per_token = math.log10(n_train + n_distinct + 1)
     partial = "doc_id long, row long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double"
-    schema = f"{partial}, scores array<double>, rest array<struct<token: binary, times: long>>"
+    schema = f"{partial}, rest array<struct<token: binary, times: long>>, tree double, rest_grams array<long>"
 
     def run(batches: Batches) -> Batches:
-        places, counts, scores = table.value
+        places, counts, keys, scores = table.value
         logs = np.log10(counts + 1.0)
         kind = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
-        out = pa.schema([*arrow_type(partial), ("scores", pa.list_(pa.float64())), ("rest", kind)])
+        out = pa.schema([*arrow_type(partial), ("rest", kind), ("tree", pa.float64()), ("rest_grams", pa.list_(pa.int64()))])
         for batch in batches:
-            rows = []
+            rows, spellings = [], []
             for text in texts_of(batch):
                 words = words_of(text)
+                spellings.append(spelled(words))
                 words.append(END)
                 found = np.fromiter((places.get(w, -1) for w in words), np.int64, len(words))
                 known, times = np.unique(found[found >= 0], return_counts=True)
                 rest = Counter(words[i] for i in np.flatnonzero(found < 0))
                 rows.append((
-                    sum(map(len, words)) + len(words) - 1, len(words), int(times[counts[known] > 0].sum()), float(times @ logs[known]),
-                    times @ scores[known], [{"token": t, "times": n} for t, n in rest.items()],
+                    len(spellings[-1]), len(words), int(times[counts[known] > 0].sum()), float(times @ logs[known]),
+                    [{"token": t, "times": n} for t, n in rest.items()],
                 ))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
+            tree, rest_owners, rest_grams = np.zeros(len(rows)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for owner, key in grams_of(spellings, depth):
+                grams, inverse = np.unique(key, return_inverse=True)
+                place = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+                known = keys[place] == grams if len(keys) else np.zeros(len(grams), bool)
+                score = np.where(known, scores[place], 0.0) if len(keys) else np.zeros(len(grams))
+                tree += np.bincount(owner, score[inverse], len(rows))
+                late = ~known[inverse]
+                rest_owners.append(owner[late])
+                rest_grams.append(key[late])
+            offsets = np.searchsorted(np.concatenate(rest_owners), np.arange(len(rows) + 1)).astype(np.int32)
+            columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("held_out")] + [pa.array(c, f.type) for c, f in zip(columns, list(out)[3:], strict=True)], schema=out
-            )
+                [batch.column("doc_id"), batch.column("row"), batch.column("held_out")] + [pa.array(c, f.type) for c, f in zip(columns, list(out)[3:8], strict=True)]
+                + [pa.array(tree), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest_grams)))], schema=out
+            )
 
     picked = own.withColumn("row", F.monotonically_increasing_id())
     partials = parked(scan(picked, {c: c for c in ("doc_id", "row", "held_out", "text")}, run, schema), "text-heads")
     rest = partials.select("row", F.explode("rest").alias("r")).select("row", "r.token", "r.times")
-    rest = rest.join(token_scores, "token").groupBy("row").agg(
+    rest = rest.join(tokens, "token").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_base"),
-        F.array(*(F.sum(F.col("times") * c) for c in languages)).alias("rest_scores"),
     )
+    late = partials.select("row", F.explode("rest_grams").alias("gram"))
+    late = late.join(gram_scores.select("gram", "score"), "gram").groupBy("row").agg(F.sum("score").alias("rest_tree"))
     zero = F.lit(0)
-    by_language = [F.col("scores")[i] + F.coalesce(F.col("rest_scores")[i], zero) + share for i, share in enumerate(shares)]
-    most = F.array_max(F.array(*by_language))
-    total = most + F.log10(sum((F.pow(F.lit(10.0), c - most) for c in by_language), F.lit(0.0)))
-    return partials.drop("rest").join(rest, "row", "left").select(
+    total = F.col("tree") + F.coalesce("rest_tree", F.lit(0.0))
+    return partials.drop("rest", "rest_grams").join(rest, "row", "left").join(late, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("rest_known", zero)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),

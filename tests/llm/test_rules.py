@@ -19,7 +19,7 @@ from siltworks.llm import license_scan as lic
 from siltworks.llm.common import WordHashes, held_out
 from siltworks.llm.html_extraction import extract_pages, main_text, smoothed
 from siltworks.llm.license_texts import LICENSE_TEXTS
-from siltworks.llm.lm_scoring import log_gamma, score_texts
+from siltworks.llm.lm_scoring import grams_of, log_gamma, score_texts
 from siltworks.llm.quality_rules import quality_rules, script_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -190,25 +190,23 @@ def test_extracted_pages(spark, sf_dir):
             assert texts[r.page_id] == "\n".join(p for p in plain if p)
 
 
-def plain_model(train, depth, tokens):
-    """log10 probability of spelled tokens by a context tree over plain dictionaries."""
-    counts = {}
+def plain_model(train, depth, texts):
+    """log10 probability of spelled texts by a context tree over plain dictionaries."""
+    counts, children = {}, {}
 
-    def bits(token):
-        data = token if token == b"\t" else token + b" "
+    def bits(data):
         for i, byte in enumerate(data):
             for k in range(8):
                 node = (1 << k) | (byte >> (8 - k))
                 context = bytes(data[max(0, i - depth) : i]).rjust(depth, b"\0")
                 yield [(context[depth - d :], node) for d in range(depth + 1)], byte >> (7 - k) & 1
 
-    for token, n in train.items():
-        for path, bit in bits(token):
+    for data in train:
+        for path, bit in bits(data):
             for key in path:
-                counts.setdefault(key, [0, 0])[bit] += n
-    children = {}
-    for token in tokens:
-        for path, _ in bits(token):
+                counts.setdefault(key, [0, 0])[bit] += 1
+    for data in texts:
+        for path, _ in bits(data):
             for above, below in zip(path, path[1:], strict=False):
                 children.setdefault(above, set()).add(below)
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
@@ -226,9 +224,9 @@ def plain_model(train, depth, tokens):
         return weighted[key]
 
     out = {}
-    for token in tokens:
+    for data in texts:
         score = 0.0
-        for path, bit in bits(token):
+        for path, bit in bits(data):
             one, total, left = None, 0.0, 1.0
             for key in path:
                 a, b = counts.get(key, (0, 0))
@@ -237,58 +235,47 @@ def plain_model(train, depth, tokens):
                     one = total + left * estimate
                     total, left = total + left * stop * estimate, left * (1 - stop)
             score += math.log10(one if bit else 1 - one)
-        out[token] = score
+        out[data] = score
     return out
 
 
-@pytest.mark.parametrize("heads", [0, 4, 1 << 17])
-def test_scores_equal_a_plain_tree(spark, heads):
-    """Also where the tables of frequent tokens and contexts are too small for all, or empty."""
-    texts = [(1, "The cat sat"), (2, "the CAT ran"), (3, "a dog sat\ton"), (4, None), (5, ""), (6, "the the zebra ran é"), (7, "dog cat"), (8, "a dog sat\ton"), (8, "a dog sat\ton"), (None, "the end")]
+@pytest.mark.parametrize(("heads", "depth"), [(0, 3), (4, 5), (1 << 17, 1), (1 << 17, 2), (1 << 17, 7), (30, 7)])
+def test_scores_equal_a_plain_tree(spark, heads, depth):
+    """Also where the tables of frequent tokens and grams are too small for all, or empty; contexts reach across words."""
+    texts = [(1, "The cat sat"), (2, "the CAT ran"), (3, "a dog sat\ton"), (4, None), (5, ""), (6, "the the zebra ran é"), (7, "dog cat"), (8, "a dog sat\ton"), (8, "a dog sat\ton"), (None, "the end ÿþ \u0080x")]
     held = {6, 7}
     docs = spark.createDataFrame([(i, t, 3) for i, t in texts], "doc_id long, text string, row int").repartition(3)
-    found = by_id(score_texts(docs, F.col("doc_id").isin(6, 7), depth=3, head_tokens=heads, head_grams=heads))
+    found = by_id(score_texts(docs, F.col("doc_id").isin(6, 7), depth=depth, head_tokens=heads, head_grams=heads))
     tokens_of = {i: [*(t or "").encode().lower().split(), b"\t"] for i, t in texts}
     train = Counter(w for i, t in texts if i not in held for w in tokens_of[i])
     n, v = sum(train.values()), len(train)
-    tree = plain_model(train, 3, {w for own in tokens_of.values() for w in own})
-    once, twice = sum(c == 1 for c in train.values()), sum(c == 2 for c in train.values())
-    d = min(0.9, max(0.1, once / (once + 2 * twice)))
-    chance = {w: max(train.get(w, 0) - d, 0) / n + d * v / n * 10**s for w, s in tree.items()}
+    spelled = {i: b" ".join(own) for i, own in tokens_of.items()}
+    tree = plain_model([spelled[i] for i, _ in texts if i not in held], depth, set(spelled.values()))
     for i, own in tokens_of.items():
         r = found[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(own), sum(w in train for w in own), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((train.get(w, 0) + 1) / (n + v + 1)) for w in own))
-        assert r["score"] == pytest.approx(sum(math.log10(chance[w]) for w in own), rel=1e-6)
+        assert r["score"] == pytest.approx(tree[spelled[i]], rel=1e-9)
+        assert r["bits_per_byte"] == pytest.approx(-tree[spelled[i]] * math.log2(10) / len(spelled[i]))
 
 
-@pytest.mark.parametrize(("heads", "most"), [(0, 8), (4, 8), (1 << 17, 8), (1 << 17, 2)])
-def test_scores_by_language_equal_a_plain_mixture(spark, heads, most):
-    """Languages beyond the bound and unknown ones count together; a held-out text's own language plays no part."""
-    rows = [(1, "The cat sat", "en"), (2, "the cat ran the", "en"), (3, "die katze sass", "de"), (4, "die katze die", "de"), (5, "el gato", "es"),
-            (6, "the cat die é", "de"), (7, "die katze zebra", None), (8, None, None), (9, "the end", None)]
-    held = {6, 7}
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    found = by_id(score_texts(docs, F.col("doc_id").isin(6, 7), depth=3, head_tokens=heads, head_grams=heads, lang_col="lang", max_languages=most))
-    tokens_of = {i: [*(t or "").encode().lower().split(), b"\t"] for i, t, _ in rows}
-    names = ["de", "en", "es"][: most - 1]
-    part = {i: names.index(g) if g in names else len(names) for i, _, g in rows}
-    train = Counter(w for i in part if i not in held for w in tokens_of[i])
-    tree = plain_model(train, 3, {w for own in tokens_of.values() for w in own})
-
-    def discounted(counts, back):
-        once, twice, n = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()), sum(counts.values())
-        d = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
-        return {w: max(counts.get(w, 0) - d, 0) / n + d * len(counts) / n * p for w, p in back.items()}
-
-    overall = discounted(train, {w: 10**s for w, s in tree.items()})
-    parts = range(len(names) + 1)
-    chances = [discounted(Counter(w for i in part if i not in held and part[i] == k for w in tokens_of[i]), overall) for k in parts]
-    members = Counter(part[i] for i in part if i not in held)
-    for i, own in tokens_of.items():
-        chance = sum((members[k] + 1) / (7 + len(parts)) * math.prod(chances[k][w] for w in own) for k in parts)
-        assert found[i]["score"] == pytest.approx(math.log10(chance), rel=1e-6)
-        assert found[i]["n_known"] == sum(w in train for w in own)
+def test_the_tree_beats_the_base(spark):
+    """On held-out texts, and more than nothing of it from contexts before the token."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    per_token = {}
+    for depth in (3, 7):
+        found = score_texts(docs, held_out(F.col("doc_id"), 7, 2), depth=depth).filter("held_out")
+        per_token[depth] = found.agg(F.sum("base_score") / F.sum("n_tokens"), F.sum("score") / F.sum("n_tokens")).first()
+    base, tree = per_token[7]
+    assert tree > base and tree > per_token[3][1]
+
+
+def test_grams_of_cut_texts():
+    texts = [b"abcdefghij klm\t", b"\t", b"xy\t"]
+    whole = [np.concatenate(c) for c in zip(*grams_of(texts, 7), strict=True)]
+    cut = [np.concatenate(c) for c in zip(*grams_of(texts, 7, 3), strict=True)]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+    assert whole[1][2] == int.from_bytes(b"abc", "big") and len(whole[0]) == sum(map(len, texts))
 
 
 def test_scores_of_odd_tables(edge_docs, no_docs):
@@ -298,7 +285,7 @@ def test_scores_of_odd_tables(edge_docs, no_docs):
     trained = by_id(score_texts(edge_docs, held_out(F.col("doc_id"), 7, 2)))
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in trained.values())
     with pytest.raises(ValueError):
-        score_texts(no_docs, F.lit(False), depth=7)
+        score_texts(no_docs, F.lit(False), depth=8)
 
 
 def test_log_gamma(spark):
