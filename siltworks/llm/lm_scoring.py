@@ -33,10 +33,9 @@ END, STOP = b"\t", b" "
 #: Most rows of the tables of frequent tokens and of frequent grams that tasks hold.
 HEAD_TOKENS = 1 << 17
 HEAD_GRAMS = 1 << 21
-#: Bytes of text whose grams are made at once, grams a task counts before it sends them, grams of a partition and of one step of it.
+#: Bytes of text whose grams are made at once, grams a task counts before it sends them, grams whose subtrees are weighted at once.
 PIECE_BYTES = 1 << 20
 COUNTED_GRAMS = 1 << 22
-PARTITION_GRAMS = 1 << 19
 STEP_GRAMS = 1 << 17
 #: Levels of a subtree below its root.
 SUBTREE = 2
@@ -124,7 +123,7 @@ def _summed(parts: list[Arrays]) -> Arrays:
 
 
 def _grams(docs: DataFrame, depth: int) -> DataFrame:
-    """(gram, n, seen): all grams of the corpus with their counts in training and in all."""
+    """(gram, n, seen): all grams of the corpus with their counts in training and in all, summed by task only."""
 
     def run(batches: Batches) -> Batches:
         names = ["gram", "n", "seen"]
@@ -145,8 +144,7 @@ def _grams(docs: DataFrame, depth: int) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(parts))), names=names)
 
-    found = scan(docs, {c: c for c in ("held_out", "text")}, run, "gram long, n long, seen long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return scan(docs, {c: c for c in ("held_out", "text")}, run, "gram long, n long, seen long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -293,21 +291,32 @@ def _columns(batches: Batches, names: list[str]) -> list[np.ndarray]:
 
 
 def _gram_scores(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, seen, score): log10 of the probability of a byte in its context."""
+    """(gram, seen, score): log10 of the probability of a byte in its context.
+
+    Grams are summed where their subtree is weighted. What that finds is written
+    as one table: grams with their counts, and the subtrees' roots (``seen`` -1).
+    """
     top = max(depth - SUBTREE, 0)
-    partitions = max(16, math.ceil(grams.count() / PARTITION_GRAMS))
 
     def by_subtree(rows: DataFrame) -> DataFrame:
-        root = F.shiftright("key", 8).bitwiseAND(F.lit(_bits(8 * top)))
-        return rows.repartition(partitions, root)
+        return rows.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(_bits(8 * top))))
+
+    up_schema = "key long, n long, seen long, zeros double, ones double, weighted double, stop double"
 
     def up(batches: Batches) -> Batches:
-        out = arrow_type("node long, zeros double, ones double, weighted double, stop double")
-        columns = _columns(batches, ["key", "n"])
+        out = arrow_type(up_schema)
+
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+        columns = _columns(batches, ["key", "n", "seen"])
         if columns:
-            keys, n = columns
+            keys, n, seen = _summed([tuple(columns)])
             for own in _steps(keys, top):
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, _Subtrees(keys[own], n[own], depth, top).roots())), schema=out)
+                none = np.zeros(len(own))
+                yield rows(keys[own], n[own], seen[own], none, none, none, none)
+                node, *found = _Subtrees(keys[own], n[own], depth, top).roots()
+                yield rows(node, np.zeros(len(node), np.int64), np.full(len(node), -1), *found)
 
     def down(batches: Batches) -> Batches:
         out = arrow_type("gram long, seen long, score double")
@@ -319,15 +328,17 @@ def _gram_scores(grams: DataFrame, depth: int) -> DataFrame:
         order = np.argsort(nodes)
         nodes, predicted = nodes[order], [p[order] for p in predicted]
         keys, n, seen = (c[~is_node] for c in columns[:3])
+        order = np.argsort(keys)
+        keys, n, seen = keys[order], n[order], seen[order]
         for own in _steps(keys, top):
             scores = _Subtrees(keys[own], n[own], depth, top).scores(nodes, *predicted)
             yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(seen[own]), pa.array(scores)], schema=out)
 
-    keyed = grams.select(F.col("gram").alias("key"), "n", "seen")
-    roots = by_subtree(keyed.select("key", "n")).mapInArrow(up, "node long, zeros double, ones double, weighted double, stop double")
-    predicted = _predictions(_levels(parked(roots, f"tree-{top}"), top))
+    found = parked(by_subtree(grams.withColumnRenamed("gram", "key")).mapInArrow(up, up_schema), f"tree-{top}")
+    level = found.filter("seen < 0").select(F.col("key").alias("node"), "zeros", "ones", "weighted", "stop")
+    predicted = _predictions(_levels(level, top))
     none = F.lit(0.0)
-    both = keyed.select("*", none.alias("one"), none.alias("sum"), none.alias("left")).unionByName(
+    both = found.filter("seen >= 0").select("key", "n", "seen", none.alias("one"), none.alias("sum"), none.alias("left")).unionByName(
         predicted.select(F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("seen"), "one", "sum", "left")
     )
     return by_subtree(both).mapInArrow(down, "gram long, seen long, score double")
@@ -351,7 +362,7 @@ def score_texts(
     is_held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    depth: int = 7,
+    depth: int = 6,
     head_tokens: int = HEAD_TOKENS,
     head_grams: int = HEAD_GRAMS,
 ) -> DataFrame:
@@ -371,7 +382,7 @@ def score_texts(
     tokens = parked(_vocabulary(own), "vocabulary")
     sums = tokens.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_train, n_distinct = sums[0] or 0, sums[1] or 0
-    gram_scores = parked(_gram_scores(parked(_grams(own, depth), "grams"), depth), "gram-scores")
+    gram_scores = parked(_gram_scores(_grams(own, depth), depth), "gram-scores")
 
     frequent = _head(tokens, "n", head_tokens).toArrow()
     index = {t: i for i, t in enumerate(frequent["token"].to_pylist())}
