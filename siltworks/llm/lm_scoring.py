@@ -35,8 +35,10 @@ HEAD_TOKENS = 1 << 17
 HEAD_GRAMS = 1 << 21
 #: Bytes of text whose grams are made at once, grams a task counts before it sends them, grams whose subtrees are weighted at once.
 PIECE_BYTES = 1 << 20
-COUNTED_GRAMS = 1 << 22
+COUNTED_GRAMS = 3 << 20
 STEP_GRAMS = 1 << 17
+#: Slots of the table of frequent grams, as a power of two.
+SLOT_BITS = 22
 #: Levels of a subtree below its root.
 SUBTREE = 2
 
@@ -88,23 +90,21 @@ def grams_of(spellings: list[bytes], depth: int, piece_bytes: int = PIECE_BYTES)
     text there are zeros. Long texts are cut, each part with the bytes before it.
     """
 
-    def keys(group: list[tuple[int, bytes, int]]) -> Arrays:
-        lengths = np.array([len(part) for _, part, _ in group])
-        data = np.frombuffer(b"".join(part for _, part, _ in group), np.uint8).astype(np.int64)
-        place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = data.copy()
+    def keys(group: list[tuple[int, bytes]]) -> Arrays:
+        lengths = np.array([len(part) for _, part in group])
+        data = np.frombuffer(b"".join(part for _, part in group), np.uint8).astype(np.int64)
+        key = data[depth:].copy()
         for back in range(1, depth + 1):
-            before = np.zeros(len(data), np.int64)
-            before[back:] = data[:-back]
-            key |= np.where(place >= back, before, 0) << (8 * back)
-        own = place >= np.repeat([lead for _, _, lead in group], lengths)
-        return np.repeat([owner for owner, _, _ in group], lengths)[own], key[own]
+            key |= data[depth - back : len(data) - back] << (8 * back)
+        own = np.ones(len(data), bool)
+        own[np.add.outer(np.cumsum(lengths) - lengths, np.arange(depth)).ravel()] = False
+        return np.repeat([owner for owner, _ in group], lengths - depth), key[own[depth:]]
 
     group, size = [], 0
     for owner, text in enumerate(spellings):
         for at in range(0, len(text), piece_bytes):
-            lead = min(at, depth)
-            group.append((owner, text[at - lead : at + piece_bytes], lead))
+            before = text[max(at - depth, 0) : at].rjust(depth, b"\0")
+            group.append((owner, before + text[at : at + piece_bytes]))
             size += len(group[-1][1])
             if size >= piece_bytes:
                 yield keys(group)
@@ -357,6 +357,34 @@ def _head(rows: DataFrame, times: str, most: int) -> DataFrame:
     return rows.filter(level >= least) if least is not None else rows.limit(0)
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.int64(-7046029254386353131)) >> (64 - SLOT_BITS) & _bits(SLOT_BITS)
+
+
+def _frequent(keys: np.ndarray, seen: np.ndarray, scores: np.ndarray) -> Arrays:
+    """Keys in order, their scores, and for each slot the place of the most frequent key of that hash."""
+    order = np.argsort(keys)
+    keys, scores = keys[order], scores[order]
+    slots = np.zeros(1 << SLOT_BITS, np.int32)
+    rising = np.argsort(seen[order], kind="stable")
+    slots[_slot(keys[rising])] = rising
+    return keys, scores, slots
+
+
+def _looked_up(table: Arrays, grams: np.ndarray) -> Arrays:
+    """Whether each gram is in the table, and its score or 0: by its slot, else by bisection."""
+    keys, scores, slots = table
+    if not len(keys):
+        return np.zeros(len(grams), bool), np.zeros(len(grams))
+    at = slots[_slot(grams)]
+    known, score = keys[at] == grams, scores[at]
+    missed = np.flatnonzero(~known)
+    at = np.minimum(np.searchsorted(keys, grams[missed]), len(keys) - 1)
+    known[missed] = found = keys[at] == grams[missed]
+    score[missed] = np.where(found, scores[at], 0.0)
+    return known, score
+
+
 def score_texts(
     docs: DataFrame,
     is_held_out: Column,
@@ -386,15 +414,15 @@ def score_texts(
 
     frequent = _head(tokens, "n", head_tokens).toArrow()
     index = {t: i for i, t in enumerate(frequent["token"].to_pylist())}
-    frequent_grams = _head(gram_scores, "seen", head_grams).select("gram", "score").toArrow()
-    order = np.argsort(frequent_grams["gram"].to_numpy())
-    table = spark.sparkContext.broadcast((index, frequent["n"].to_numpy(), *(frequent_grams[c].to_numpy()[order] for c in ("gram", "score"))))
+    frequent_grams = _head(gram_scores, "seen", head_grams).toArrow()
+    held = _frequent(*(frequent_grams[c].to_numpy() for c in ("gram", "seen", "score")))
+    table = spark.sparkContext.broadcast((index, frequent["n"].to_numpy(), held))
     per_token = math.log10(n_train + n_distinct + 1)
     partial = "doc_id long, row long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double"
     schema = f"{partial}, rest array<struct<token: binary, times: long>>, tree double, rest_grams array<long>"
 
     def run(batches: Batches) -> Batches:
-        places, counts, keys, scores = table.value
+        places, counts, frequent_grams = table.value
         logs = np.log10(counts + 1.0)
         kind = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
         out = pa.schema([*arrow_type(partial), ("rest", kind), ("tree", pa.float64()), ("rest_grams", pa.list_(pa.int64()))])
@@ -413,14 +441,10 @@ def score_texts(
                 ))
             tree, rest_owners, rest_grams = np.zeros(len(rows)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for owner, key in grams_of(spellings, depth):
-                grams, inverse = np.unique(key, return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
-                known = keys[place] == grams if len(keys) else np.zeros(len(grams), bool)
-                score = np.where(known, scores[place], 0.0) if len(keys) else np.zeros(len(grams))
-                tree += np.bincount(owner, score[inverse], len(rows))
-                late = ~known[inverse]
-                rest_owners.append(owner[late])
-                rest_grams.append(key[late])
+                known, score = _looked_up(frequent_grams, key)
+                tree += np.bincount(owner, score, len(rows))
+                rest_owners.append(owner[~known])
+                rest_grams.append(key[~known])
             offsets = np.searchsorted(np.concatenate(rest_owners), np.arange(len(rows) + 1)).astype(np.int32)
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
