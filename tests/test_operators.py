@@ -1,4 +1,6 @@
+import glob
 import math
+import os
 from datetime import UTC, datetime
 
 import numpy as np
@@ -525,3 +527,30 @@ def test_enrich_bounds_compares_blocks(spark, rows):
         joins.enrich_bounds(t.withColumn("s", F.lit("x")), r, [("s", "<", "d")])
     with pytest.raises(ValueError, match="different types"):
         joins.enrich_bounds(t, r, [("a", "<", "d")])
+
+
+@pytest.mark.parametrize("ops", [("<", ">="), (">", "<"), ("<=",)])
+@pytest.mark.parametrize("pairs_per_row", [0, 8])
+def test_enrich_bounds_refines_places(spark, rows, monkeypatch, ops, pairs_per_row):
+    """Grids of any fineness give the same rows, those without a partner too."""
+    monkeypatch.setattr(joins, "PAIRS_PER_ROW", pairs_per_row)
+    t = spark.range(300).selectExpr("id", "if(id % 50 = 0, null, if(id % 7 = 0, double('NaN'), double(id * 37 % 101))) as a", "id % 25 as b")
+    r = spark.range(90).selectExpr("id as j", "cast(id * 11 % 97 as double) as c", "if(id % 30 = 0, null, id % 13 + 4) as d")
+    bounds = [("a", ops[0], "c"), *[("b", op, "d") for op in ops[1:]]]
+    condition = F.expr(" and ".join(f"{a} {op} {b}" for a, op, b in bounds))
+    found = joins.enrich_bounds(t, r, bounds, "left", block_rows=16)
+    assert rows(found.fillna(-1)) == rows(t.join(r, condition, "left").fillna(-1))
+
+
+def test_enrich_bounds_sends_few_rows(spark):
+    """Pairs fulfilled by a quarter of all rows: each row is sent to few places, and no side is broadcast."""
+    t = spark.range(20000).selectExpr("id", "id * 7919 % 20011 as a", "id % 25 as b")
+    r = spark.range(4000).selectExpr("id as j", "id * 4177 % 20011 as c", "id % 25 as d")
+    found = joins.enrich_bounds(t, r, [("a", ">", "c"), ("b", "<", "d")], "left", block_rows=64)
+    assert found.count() == t.join(r, F.expr("a > c and b < d"), "left").count()
+    root = spark.conf.get("spark.checkpoint.dir")
+    places = max(glob.glob(f"{root}/siltworks/*/bounds-places-*"), key=os.path.getmtime)
+    met = spark.read.parquet(places)
+    # A pair of places stands for tn * rn pairs of blocks of up to 64 rows each.
+    assert met.agg(F.sum(F.col("tn") * F.col("rn"))).first()[0] <= (20000 // 64 + 1) * (4000 // 64 + 1)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
