@@ -278,9 +278,9 @@ def html_title(spark, sf_dir):
 
 @query("\nunion all ".join(f"select '{name}.parquet' as file, count(*) as rows from {name}" for name in TABLES))
 def inventory_rows(spark, sf_dir):
-    """The files below the folder and the rows in each."""
-    found = inventory.object_inventory(spark, sf_dir, ".parquet")
-    return inventory.file_rows(found, [table(spark, sf_dir, name) for name in TABLES])
+    """The files below the folder and the rows in each; a table in parts is one."""
+    found = inventory.object_inventory(spark, sf_dir)
+    return inventory.file_rows(found, [table(spark, sf_dir, name) for name in TABLES], sf_dir, ".parquet")
 
 
 @query("""

@@ -1,4 +1,5 @@
 import json
+import shutil
 from datetime import datetime
 
 import pytest
@@ -290,3 +291,16 @@ def test_release_deletes_intermediate_tables(spark):
     assert os.path.isdir(folder)
     release_scratch(spark)
     assert not os.path.exists(folder)
+
+
+def test_file_rows_of_tables_in_parts(spark, rows, tmp_path):
+    """A table in a folder of parts is one entry, by its own name, also where the names are odd."""
+    root = tmp_path / "a b%20+c" / "data"
+    spark.range(10).repartition(3).write.parquet(f"{root}/parts.parquet")
+    spark.range(0).write.parquet(f"{root}/none.parquet")
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/one")
+    shutil.copy(next((tmp_path / "one").glob("*.parquet")), root / "single.parquet")
+    (root / "notes.txt").write_text("x")
+    tables = [spark.read.schema("id long").parquet(f"{root}/{n}.parquet") for n in ("parts", "none", "single")]
+    found = inventory.file_rows(inventory.object_inventory(spark, f"{root}/"), tables, f"{root}/", ".parquet")
+    assert rows(found) == [("none.parquet", 0), ("parts.parquet", 10), ("single.parquet", 4)]
