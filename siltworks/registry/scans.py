@@ -25,6 +25,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Records of a written XML file.
+XML_RECORDS = 1 << 17
+
 
 @query("""
 select l_returnflag, l_linestatus, count(*) as rows, sum(l_quantity) as quantity, max(l_shipdate) as last_shipped
@@ -176,7 +179,8 @@ def api_xml_records(spark, sf_dir):
     path = scratch_path(spark, "customers")
     customer = table(spark, sf_dir, "customer")
     nested = customer.select("c_custkey", "c_name", F.struct("c_nationkey", "c_acctbal").alias("Detail"), "c_mktsegment")
-    nested.write.format("xml").options(rowTag="Record", rootTag="Records").save(path)
+    # A file is read by one task, whatever its size.
+    nested.write.format("xml").options(rowTag="Record", rootTag="Records", maxRecordsPerFile=XML_RECORDS).save(path)
     text = "c_custkey string, c_name string, Detail struct<c_nationkey: string, c_acctbal: string>, c_mktsegment string"
     return payloads.read_xml_records(spark, path, schema=T.StructType.fromDDL(text))
 

@@ -75,6 +75,9 @@ def read_xml_records(
     schema: T.StructType | None = None,
     infer_types: bool = False,
 ) -> DataFrame:
-    """One row per record node, one column per descendant tag, as text unless told otherwise."""
+    """One row per record node, one column per descendant tag, as text unless told otherwise.
+
+    Records may span lines, so a file is read by one task: large ones are landed in parts.
+    """
     reader = spark.read.format("xml").options(rowTag=row_tag, inferSchema=infer_types, excludeAttribute=True)
     return flatten_leaves((reader.schema(schema) if schema is not None else reader).load(path))

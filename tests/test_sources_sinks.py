@@ -304,3 +304,13 @@ def test_file_rows_of_tables_in_parts(spark, rows, tmp_path):
     tables = [spark.read.schema("id long").parquet(f"{root}/{n}.parquet") for n in ("parts", "none", "single")]
     found = inventory.file_rows(inventory.object_inventory(spark, f"{root}/"), tables, f"{root}/", ".parquet")
     assert rows(found) == [("none.parquet", 0), ("parts.parquet", 10), ("single.parquet", 4)]
+
+
+def test_xml_records_lie_in_files_of_bounded_size(spark, rows, sf_dir, monkeypatch):
+    from siltworks.registry import scans
+
+    whole = scans.api_xml_records(spark, sf_dir)
+    monkeypatch.setattr(scans, "XML_RECORDS", 40)
+    parts = scans.api_xml_records(spark, sf_dir)
+    assert len(parts.inputFiles()) >= parts.count() / 40
+    assert rows(parts) == rows(whole)
