@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -28,6 +29,11 @@ MANIFEST_SCHEMA = (
 SOURCE_PATH, SOURCE_FILE = "source_path", "source_file"
 # Ids of files are as many hexadecimal digits.
 ID_DIGITS = 32
+#: Rows, and bytes of source files, of one task that writes: rows carry their paths, so they are much larger there than in a shuffle.
+TASK_ROWS = 1 << 16
+TASK_BYTES = 1 << 26
+#: Pieces of a file for each such task, which even out what a task gets.
+TASK_PIECES = 8
 
 
 @dataclass(frozen=True)
@@ -104,6 +110,8 @@ def files_to_silver(
         outcomes.append(unreadable.select("file", "fingerprint", "rows", F.lit(None).cast("string").alias("output"), F.coalesce("reason", F.lit("unreadable")).alias("error")))
         for name, shape in landing.shapes.items():
             listed = own.join(catalogue.filter(F.col("fingerprint") == name), "file").withColumn("output", output_of(F.col("relative"), run_time, output_format))
+            # Written, so that its size is known: a join with it then sends no rows of data through a shuffle by file.
+            listed = materialize(listed, "listed")
             job = _Job(shape, destination, output_format, chain, run_time, index_by)
             outcomes += job.run(listed, 0, 16**ID_DIGITS)
     run = uuid.uuid4().hex
@@ -185,16 +193,28 @@ class _Job:
     def _write(self, files: DataFrame) -> None:
         rows, file = self._processed(files)
         taken = rows.columns
-        path, name, output = free_names([c for c in taken if c != file], SOURCE_PATH, SOURCE_FILE, "output")
-        own = files.select(F.col("file").alias("_file_key"), F.col("path").alias(path), F.element_at(F.split("path", "/"), -1).alias(name), F.col("output").alias(output))
+        path, name, output, piece = free_names([c for c in taken if c != file], SOURCE_PATH, SOURCE_FILE, "output", "_piece")
+        size = F.greatest(F.coalesce("rows", F.lit(0)) / TASK_ROWS, F.col("length") / TASK_BYTES)
+        pieces = F.greatest(F.lit(1), F.ceil(size * TASK_PIECES)).cast("int")
+        own = files.select(
+            F.col("file").alias("_file_key"), F.col("path").alias(path), F.element_at(F.split("path", "/"), -1).alias(name),
+            F.col("output").alias(output), pieces.alias(piece),
+        )
+        total = files.agg(F.sum(size)).first()[0] or 0
+        tasks = max(math.ceil(total), 1)
+        # Equal rows of a file lie in one piece, and a small file is one; the rows of a piece meet in one task, where they are compared and written.
         named = rows.join(own, F.col(quoted(file)) == F.col("_file_key")).drop("_file_key", file)
-        made = distinct_rows(add_metadata(named, self.run_time))
+        stamped = add_metadata(named, self.run_time)
+        compared = [F.col(quoted(f.name)) for f in stamped.schema.fields if f.name != piece and not isinstance(f.dataType, T.MapType)]
+        spread = [F.col(quoted(output)), F.col(piece)]
+        placed = stamped.withColumn(piece, F.pmod(F.xxhash64(*compared), F.col(piece))).repartition(tasks, *spread)
+        made = distinct_rows(placed)
         if self.index_by:
-            made = row_index(made, self.index_by, within=[path])
+            made = row_index(made, self.index_by, within=[path]).repartition(tasks, *spread)
+        made = made.drop(piece)
         if output != "output":
             made = made.withColumnsRenamed({"output": f"{output}_data", output: "output"})
-        # Rows of a file come together, and a file much larger than the others is still split.
-        write_table(made.hint("rebalance", F.col("output")), self.destination, self.output_format, "append", ["output"])
+        write_table(made, self.destination, self.output_format, "append", ["output"])
 
     def _processed(self, files: DataFrame) -> tuple[DataFrame, str]:
         """The processed rows, and the name of the column that has their file.

@@ -16,6 +16,7 @@ import csv
 import hashlib
 import io
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,9 @@ JOB_ERRORS = (PySparkException, Py4JJavaError)
 CATALOGUE = "file string, fingerprint string, rows bigint, reason string"
 FILES = "path string, file string, relative string, length bigint, modified timestamp, ending string"
 MALFORMED = "malformed record"
+#: Bytes of a piece of a text file, and pieces of a task that stages them.
+PIECE_BYTES = 1 << 23
+TASK_PIECES = 4
 #: Stands between no cells: a line read with it is one cell.
 NO_SEPARATOR = "￿"
 # Options of the text readers that the reading of lines needs too.
@@ -134,6 +138,23 @@ def _staged(rows: DataFrame) -> str:
     return path
 
 
+def _staged_lines(rows: DataFrame, files: DataFrame) -> str:
+    """As :func:`_staged`, for texts of files whose shape is known; many tasks write a large file.
+
+    The ids beside every text hardly show in the bytes of a shuffle, but do in the
+    memory of a task, so tasks are given bytes of the files themselves.
+    """
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("length") / PIECE_BYTES))
+    own = files.select("file", "shape", pieces.alias("pieces"))
+    tasks = max(math.ceil((files.agg(F.sum("length")).first()[0] or 0) / PIECE_BYTES / TASK_PIECES), 1)
+    # Numbered as they are read, so that a task that runs again deals them out alike.
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).join(own, "file")
+    dealt = dealt.withColumn("piece", F.pmod("place", "pieces")).repartition(tasks, "shape", "file", "piece")
+    path = scratch_path(rows.sparkSession, "staged")
+    dealt.drop("place", "pieces", "piece").write.partitionBy("shape", "file").parquet(path)
+    return path
+
+
 def _read_staged(spark: SparkSession, path: str, shape: str, columns: str) -> DataFrame:
     return spark.read.schema(f"{columns}, file string").parquet(f"{path}/shape={shape}")
 
@@ -223,7 +244,7 @@ def _land_csv(reader: Reader) -> Landing:
     heads = heads.select(file_id().alias("file"), "value", F.monotonically_increasing_id().alias("place"))
     heads = heads.groupBy("file").agg(F.min_by("value", "place").alias("header"))
     # An empty file has no columns, unless they are given.
-    files = reader.files.select("file").join(heads, "file", "left").withColumn("shape", F.md5("header"))
+    files = reader.files.select("file", "length").join(heads, "file", "left").withColumn("shape", F.md5("header"))
     files = materialize(files, "headers")
     refused = _failed(files.filter("header is null"), "no columns to read")
     files = files.filter("header is not null")
@@ -235,7 +256,7 @@ def _land_csv(reader: Reader) -> Landing:
         **({"modifiedAfter": reader.since} if reader.since else {}),
     ).csv(reader.source)
     lines = lines.select(file_id().alias("file"), "value")
-    staged = _staged(lines.join(files.select("file", "shape"), "file"))
+    staged = _staged_lines(lines, files)
     bad = "_bad_record"
 
     def read(shape: str) -> DataFrame:
@@ -355,10 +376,10 @@ def _land_json(reader: Reader) -> Landing:
     listed = F.col("schema").startswith("ARRAY<STRUCT<")
     bad = F.col("bad") | ~(listed | F.col("schema").startswith("STRUCT<"))
     judged = judged.select("file", "rows", "schema", bad.alias("bad"), F.md5("schema").alias("shape"))
-    judged = materialize(reader.files.select("file").join(judged, "file", "left"), "json-schemas")
+    judged = materialize(reader.files.select("file", "length").join(judged, "file", "left"), "json-schemas")
     refused = _failed(judged.filter("bad is null"), "no records to read").unionByName(_failed(judged.filter("bad"), MALFORMED))
     files = judged.filter("not bad")
-    staged = _staged(texts.join(files.select("file", "shape"), "file"))
+    staged = _staged_lines(texts, files)
     found = files.select("shape", "schema").distinct().collect()
     if reader.schema is not None:
         corrupt = "_bad_record"

@@ -372,3 +372,24 @@ def test_distinct_combines_before_the_shuffle(spark, plan):
 def test_contract_read_back(spark, sf_dir):
     frame = QUERIES["ingest_contract_bronze"](spark, sf_dir)
     assert isinstance(frame.first()["price"], float)
+
+
+def test_large_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file of many rows, each twice: every row once, numbered, in parts that each hold few rows."""
+    from siltworks.plans import files_to_silver as plan
+    from siltworks.plans import landing
+
+    monkeypatch.setattr(plan, "TASK_ROWS", 500)
+    monkeypatch.setattr(landing, "PIECE_BYTES", 1000)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\n" + "".join(f"{i % 2000},x\n" for i in range(4000)))
+    (tmp_path / "in" / "b.csv").write_text("k,v\n7,x\n7,x\n")
+    (tmp_path / "in" / "c.jsonl").write_text("".join(f'{{"k": {i % 2000}}}\n' for i in range(4000)))
+    files_to_silver(spark, str(tmp_path / "in"), str(tmp_path / "out"), run_time=RUN_TIME, index_by=["k"])
+    for name, keys in (("a.csv", 2000), ("b.csv", 1), ("c.jsonl", 2000)):
+        out = spark.read.parquet(str(tmp_path / "out" / f"output={output_name(name, RUN_TIME, 'parquet')}"))
+        assert sorted(r["index"] for r in out.collect()) == list(range(keys))
+        assert out.select("k").distinct().count() == keys
+        parts = [r["count"] for r in out.groupBy(F.col("_metadata.file_path")).count().collect()]
+        # 4000 rows are eight tasks' and 32 pieces'.
+        assert max(parts) < 1000 and (len(parts) > 2) == (keys > 1)
