@@ -37,6 +37,8 @@ HEAD_GRAMS = 1 << 21
 PIECE_BYTES = 1 << 20
 COUNTED_GRAMS = 3 << 20
 STEP_GRAMS = 1 << 17
+#: Grams of a batch that a task sends: the JVM holds whole batches beside its heap.
+SENT_GRAMS = 1 << 16
 #: Slots of the table of frequent grams, as a power of two.
 SLOT_BITS = 22
 #: Levels of a subtree below its root.
@@ -114,12 +116,28 @@ def grams_of(spellings: list[bytes], depth: int, piece_bytes: int = PIECE_BYTES)
 
 
 def _summed(parts: list[Arrays]) -> Arrays:
-    """Keys in order, each once, with the sums of what stands beside them."""
-    keys, *values = map(np.concatenate, zip(*parts, strict=True))
+    """Keys in order, each once, with the sums of what stands beside them. The list is emptied, so that no column is held twice."""
+    columns = [list(c) for c in zip(*parts, strict=True)]
+    parts.clear()
+
+    def taken() -> np.ndarray:
+        return np.concatenate(columns.pop(0))
+
+    keys = taken()
     order = np.argsort(keys)
     keys = keys[order]
     start = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
-    return keys[start], *(np.add.reduceat(v[order], start) for v in values)
+    keys = keys[start]
+    sums = []
+    while columns:
+        sums.append(np.add.reduceat(taken()[order], start))
+    return keys, *sums
+
+
+def _sent(columns: Arrays, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of bounded size."""
+    whole = pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+    yield from (whole.slice(at, SENT_GRAMS) for at in range(0, len(whole), SENT_GRAMS))
 
 
 def _grams(docs: DataFrame, depth: int) -> DataFrame:
@@ -139,10 +157,10 @@ def _grams(docs: DataFrame, depth: int) -> DataFrame:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
                     if size > COUNTED_GRAMS // 2:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, parts[0])), names=names)
-                        parts, size = [], 0
+                        yield from _sent(parts.pop(), names)
+                        size = 0
         if size:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(parts))), names=names)
+            yield from _sent(_summed(parts), names)
 
     return scan(docs, {c: c for c in ("held_out", "text")}, run, "gram long, n long, seen long")
 

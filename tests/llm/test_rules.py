@@ -292,3 +292,15 @@ def test_log_gamma(spark):
     rows = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 3.0, 77.5, 1e6, 3e9)], "x double").select("x", log_gamma(F.col("x")).alias("y"))
     for r in rows.collect():
         assert r.y == pytest.approx(math.lgamma(r.x), rel=1e-9, abs=1e-8)
+
+
+def test_grams_are_summed_and_sent_in_bounded_memory(monkeypatch):
+    """Summing lets go of its parts; what a task sends are small batches."""
+    from siltworks.llm import lm_scoring as module
+
+    monkeypatch.setattr(module, "SENT_GRAMS", 3)
+    parts = [(np.array([5, 1, 9]), np.array([1, 2, 3]), np.array([1, 1, 1])), (np.array([9, 2]), np.array([4, 5]), np.array([1, 1]))]
+    summed = module._summed(parts)
+    assert parts == [] and [c.tolist() for c in summed] == [[1, 2, 5, 9], [2, 5, 1, 7], [1, 1, 1, 2]]
+    sent = list(module._sent(summed, ["gram", "n", "seen"]))
+    assert [len(b) for b in sent] == [3, 1] and [g for b in sent for g in b.column("gram").to_pylist()] == [1, 2, 5, 9]
