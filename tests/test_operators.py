@@ -554,3 +554,31 @@ def test_enrich_bounds_sends_few_rows(spark):
     # A pair of places stands for tn * rn pairs of blocks of up to 64 rows each.
     assert met.agg(F.sum(F.col("tn") * F.col("rn"))).first()[0] <= (20000 // 64 + 1) * (4000 // 64 + 1)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_enrich_bounds_compares_runs(spark, rows, monkeypatch, how):
+    """Runs cut rows that are alike; ties, nulls, three conditions, odd names and maps change nothing."""
+    monkeypatch.setattr(joins, "RUN_ROWS", {"t": 2, "r": 3})
+    t = spark.range(60).selectExpr("id div 2 as id", "if(id % 9 = 0, null, id * 7 % 13) as `a.x`", "id % 5 as `b y`", "map(id, 'k') as kept")
+    r = spark.range(40).selectExpr("id div 2 as j", "if(id % 11 = 0, double('NaN'), double(id * 3 % 17)) as c", "id % 4 as d", "date_add(date'2024-01-01', int(id)) as e")
+    bounds = [("a.x", ">", "c"), ("b y", "<=", "d"), ("id", ">=", "j")]
+    condition = F.expr("`a.x` > c and `b y` <= d and id >= j")
+    plain = lambda df: rows(df.withColumn("kept", F.to_json("kept")).fillna(-1))
+    assert plain(joins.enrich_bounds(t, r, bounds, how, block_rows=7)) == plain(t.join(r, condition, how))
+
+
+def test_enrich_bounds_result_takes_little_space(spark, tmp_path):
+    """Pairs lie so that values repeat in a file, and the rows of a block are sent once, to tasks whose number does not hang on their bytes."""
+    t = spark.range(3000).selectExpr("id", "id * 7919 % 20011 as a", "id % 25 as b")
+    r = spark.range(2000).selectExpr("id as j", "id * 4177 % 20011 as c", "id * 7 % 25 as d")
+    found = joins.enrich_bounds(t, r, [("a", ">", "c"), ("b", "<", "d")], "left", block_rows=2048)
+    found.write.parquet(f"{tmp_path}/pairs")
+    written = spark.read.parquet(f"{tmp_path}/pairs")
+    sums = [F.count("*"), F.count("j"), F.sum("id"), F.sum(F.col("id") * F.col("j"))]
+    assert written.agg(*sums).first() == t.join(r, F.expr("a > c and b < d"), "left").agg(*sums).first()
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/pairs/*.parquet"))
+    assert size < 2 * written.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    blocks = [line for line in plan.splitlines() if "hashpartitioning(" in line and "block" in line]
+    assert blocks and all("REPARTITION_BY_NUM" in line for line in blocks)
